@@ -15,6 +15,15 @@ NOCASE = "(?iUd)"
 NOCASE_DOTALL = "(?iUds)"
 
 
+def quote(text: str) -> str:
+    """A string as a SQL literal, for expressions that are built as one SQL text.
+
+    Long conditions are written as SQL text: one parse instead of hundreds of column
+    objects, each of which costs milliseconds on the driver.
+    """
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
 def rx(col: Column, pattern: str) -> Column:
     """Case-insensitive search."""
     return col.rlike(NOCASE + pattern)
@@ -30,18 +39,19 @@ def rx_dotall(col: Column, pattern: str) -> Column:
     return col.rlike(NOCASE_DOTALL + pattern)
 
 
-def any_of(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for cond in conditions[1:]:
-        out = out | cond
-    return out
-
-
 def strip(col: Column) -> Column:
     """Drop white space of any kind at both ends."""
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
 
 
+def strip_sql(expr: str) -> str:
+    return rf"regexp_replace({expr}, '(?U)^\\s+|\\s+$', '')"
+
+
+def fold_sql(expr: str) -> str:
+    return f"lower(upper(translate({expr}, 'İ', 'I')))"
+
+
 def is_blank(col: Column) -> Column:
     return F.length(strip(col)) == 0
 

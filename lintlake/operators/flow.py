@@ -23,7 +23,7 @@ from ..fixed import (
     UNBATCHED_TXN,
 )
 from ..functions.lang import severity
-from ..functions.text import fold, rx, split_lines, strip
+from ..functions.text import NOCASE, fold_sql, quote, split_lines, strip_sql
 from .lines import context_after, context_before
 from .rules import COUNT_STAR_RX, FLOW_ORD, SELECT_STAR_RX, contains_any
 from .scan import with_file_columns
@@ -31,6 +31,7 @@ from .scan import with_file_columns
 CUT = "\u0001"          # marks statement borders; turned into a blank when a file holds it
 NO_END = 1 << 29        # end of a block that is never closed
 LANGUAGES = (JAVA, PYTHON, CSHARP)
+_NO_INTS = "cast(array() as array<int>)"
 
 # --- lexing --------------------------------------------------------------------
 
@@ -56,6 +57,7 @@ LEXERS = {
         _PREFIX + _PLAIN, _PREFIX + _CHARS, r"\n", r"\w+", r"""[^\w#"'\n\\]+""", ".",
     ]),
 }
+_LOOP_WORD = r"\b(?:for|foreach|while)\b"
 _STRING_START = r"""^(?:[rRbBuUfF]{1,2}|[$@]{1,2}|\$+)?["']"""
 
 # balanced brackets up to four levels, strings inside skipped
@@ -147,55 +149,55 @@ FLOW_WORDS = (
     "insert", "update", "delete",
 )
 
-# --- helpers -------------------------------------------------------------------
+# --- helpers (SQL text) ----------------------------------------------------------
 
+_PY = f"language = '{PYTHON}'"
 
-def _newlines(col: Column) -> Column:
-    return F.length(col) - F.length(F.replace(col, F.lit("\n"), F.lit("")))
 
+def _newlines(expr: str) -> str:
+    return f"(length({expr}) - length(replace({expr}, '\\n', '')))"
 
-def _count(col: Column, chars: str) -> Column:
-    return F.length(col) - F.length(F.translate(col, chars, ""))
 
+def _count(expr: str, chars: str) -> str:
+    return f"(length({expr}) - length(translate({expr}, '{chars}', '')))"
 
-def _is_py() -> Column:
-    return F.col("language") == PYTHON
 
+def _all_matches(expr: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({expr}, {quote(pattern)}, {group})"
 
-def _lexemes(text: Column) -> Column:
-    out = F.regexp_extract_all(text, F.lit(LEXERS[JAVA]), F.lit(0))
-    for name in (CSHARP, PYTHON):
-        out = F.when(F.col("language") == name,
-                     F.regexp_extract_all(text, F.lit(LEXERS[name]), F.lit(0))).otherwise(out)
-    return out
 
+def _first_match(expr: str, pattern: str, group: int = 1) -> str:
+    return f"regexp_extract({expr}, {quote(pattern)}, {group})"
 
-def _is_comment(t: Column) -> Column:
-    return F.when(_is_py(), t.startswith("#")).otherwise(t.startswith("//") | t.startswith("/*"))
 
+def _search(expr: str, pattern: str, flags: str = "") -> str:
+    return f"{expr} RLIKE {quote(flags + pattern)}"
 
-def _is_string(t: Column) -> Column:
-    return t.rlike(_STRING_START)
 
+def _lexemes(text: str) -> str:
+    whens = " ".join(f"WHEN '{name}' THEN {_all_matches(text, LEXERS[name])}" for name in LANGUAGES)
+    return f"CASE language {whens} END"
 
-def _masked(t: Column) -> Column:
-    """A comment or string body as blanks of the same length; newlines stay."""
-    inner = F.regexp_replace(
-        F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0))), "[^\n]", " ")
-    return (
-        F.when(_is_comment(t), F.regexp_replace(t, "[^\n]", " "))
-        .when(_is_string(t) & (F.length(t) > 1), F.concat(F.lit('"'), inner, F.lit('"')))
-        .otherwise(t)
-    )
+
+_IS_COMMENT = (
+    f"(CASE WHEN {_PY} THEN startswith(t, '#') ELSE startswith(t, '//') OR startswith(t, '/*') END)"
+)
+_IS_STRING = f"(t RLIKE {quote(_STRING_START)})"
+# a comment or string body as blanks of the same length; newlines stay
+_MASKED = (
+    f"CASE WHEN {_IS_COMMENT} THEN regexp_replace(t, '[^\\n]', ' ') "
+    f"WHEN {_IS_STRING} AND length(t) > 1 THEN concat('\"', "
+    "regexp_replace(substring(t, 2, length(t) - 2), '[^\\n]', ' '), '\"') ELSE t END"
+)
 
 
 def flow_files(files: DataFrame) -> DataFrame:
     """Java, Python and C# files that hold at least one word the checks look for."""
     return (
         with_file_columns(files)
-        .where(F.col("file_path").endswith(".java") | F.col("file_path").endswith(".py")
-               | F.col("file_path").endswith(".cs"))
-        .where(contains_any(fold(F.col("content")), FLOW_WORDS))
+        .where(F.expr("endswith(file_path, '.java') OR endswith(file_path, '.py') "
+                      "OR endswith(file_path, '.cs')"))
+        .where(F.expr(contains_any(fold_sql("content"), FLOW_WORDS)))
         .select("file_path", F.col("rule_language").alias("language"),
                 F.col("platform_base").alias("platform"),
                 F.translate("content", CUT, " ").alias("content"))
@@ -204,10 +206,8 @@ def flow_files(files: DataFrame) -> DataFrame:
 
 def code_mask(files: DataFrame) -> DataFrame:
     """Files with comments and string bodies blanked, character for character."""
-    return flow_files(files).select(
-        "file_path", "language",
-        F.array_join(F.transform(_lexemes(F.col("content")), _masked), "").alias("code"),
-    )
+    return flow_files(files).select("file_path", "language", F.expr(
+        f"array_join(transform({_lexemes('content')}, t -> {_MASKED}), '')").alias("code"))
 
 
 # --- statements ----------------------------------------------------------------
@@ -215,32 +215,23 @@ def code_mask(files: DataFrame) -> DataFrame:
 
 def segments(files: DataFrame) -> DataFrame:
     """Pieces between code-level delimiters, raw and masked."""
-    def is_cut(t: Column) -> Column:
-        return F.when(_is_py(), t == "\n").otherwise(t.isin("{", "}", ";"))
-
-    def joined(show) -> Column:
-        marked = F.transform(
-            F.col("lexemes"), lambda t: F.when(is_cut(t), F.concat(t, F.lit(CUT))).otherwise(show(t)))
-        return F.split(F.array_join(marked, ""), CUT, -1)
+    def pieces(shown: str) -> Column:
+        is_cut = f"CASE WHEN {_PY} THEN t = '\\n' ELSE t IN ('{{', '}}', ';') END"
+        return F.expr(
+            f"split(array_join(transform(lexemes, t -> CASE WHEN {is_cut} THEN concat(t, char(1)) "
+            f"ELSE {shown} END), ''), char(1), -1)")
 
-    raw, masked = F.col("raws"), F.col("codes")
     return (
         flow_files(files)
-        .select("file_path", "language", "platform", _lexemes(F.col("content")).alias("lexemes"))
-        .select("file_path", "language", "platform", joined(lambda t: t).alias("raws"),
-                joined(_masked).alias("codes"))
-        .select("file_path", "language", "platform", F.explode(F.transform(
-            F.sequence(F.lit(1), F.size(raw)),
-            lambda i: F.struct(
-                i.alias("seg_no"),
-                F.element_at(raw, i).alias("raw"),
-                F.element_at(masked, i).alias("code"),
-                # what follows a loop header, to be quoted; a segment has at least one character
-                F.when(F.element_at(masked, i).rlike(r"\b(?:for|foreach|while)\b"),
-                       F.substring(F.array_join(F.slice(raw, i + 1, F.lit(120)), ""), 1, 120))
-                .alias("ahead"),
-            ),
-        )).alias("s"))
+        .select("file_path", "language", "platform", F.expr(_lexemes("content")).alias("lexemes"))
+        .select("file_path", "language", "platform", pieces("t").alias("raws"),
+                pieces(_MASKED).alias("codes"))
+        # after a loop header what follows is kept to be quoted: a piece has at least one character
+        .select("file_path", "language", "platform", F.expr(f"""explode(transform(
+            sequence(1, size(raws)), i -> named_struct(
+              'seg_no', i, 'raw', element_at(raws, i), 'code', element_at(codes, i),
+              'ahead', CASE WHEN {_search('element_at(codes, i)', _LOOP_WORD)}
+                THEN substring(array_join(slice(raws, i + 1, 120), ''), 1, 120) END)))""").alias("s"))
         .select("file_path", "language", "platform", "s.*")
         .where("raw <> ''")
     )
@@ -255,45 +246,45 @@ def statements(files: DataFrame) -> DataFrame:
     seg = segments(files)
     by_file = Window.partitionBy("file_path").orderBy("seg_no")
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)
-    term = F.when(_is_py(), F.lit("\n")).otherwise(
-        F.when(F.substring("code", -1, 1).isin("{", "}", ";"), F.substring("code", -1, 1))
-        .otherwise(F.lit("")))
-    opened = F.when(_is_py(), _count(F.col("code"), "([{") - _count(F.col("code"), ")]}")).otherwise(
-        _count(F.col("code"), "([") - _count(F.col("code"), ")]"))
-    is_brace = F.col("term").isin("{", "}")
     seg = (
-        seg.withColumn("term", term).withColumn("opened", opened)
-        .withColumn("line0", 1 + F.coalesce(F.sum(_newlines(F.col("raw"))).over(before), F.lit(0)))
+        seg.withColumn("term", F.expr(
+            f"CASE WHEN {_PY} THEN '\\n' WHEN right(code, 1) IN ('{{', '}}', ';') THEN right(code, 1) "
+            "ELSE '' END"))
+        .withColumn("opened", F.expr(
+            f"CASE WHEN {_PY} THEN {_count('code', '([{')} - {_count('code', ')]}')} "
+            f"ELSE {_count('code', '([')} - {_count('code', ')]')} END"))
+        .withColumn("is_brace", F.expr("term IN ('{', '}')"))
+        .withColumn("line0", 1 + F.coalesce(F.sum(F.expr(_newlines("raw"))).over(before), F.lit(0)))
         .withColumn("end_off", F.sum(F.length("raw")).over(by_file))
-        .withColumn("run", F.coalesce(F.sum(is_brace.cast("int")).over(before), F.lit(0)))
+        .withColumn("run", F.coalesce(F.sum(F.col("is_brace").cast("int")).over(before), F.lit(0)))
         .withColumn("balance", F.sum("opened").over(
             Window.partitionBy("file_path", "run").orderBy("seg_no")))
-        .withColumn("is_end", is_brace | (F.col("balance") <= 0))
+        .withColumn("is_end", F.expr("is_brace OR balance <= 0"))
         .withColumn("stmt", F.coalesce(F.sum(F.col("is_end").cast("int")).over(before), F.lit(0)))
     )
-    parts = F.array_sort(F.collect_list(F.struct("seg_no", "raw", "code", "ahead", "term", "line0", "end_off")))
-    py_text = strip(F.col("raw"))
-    brace_text = F.regexp_replace(F.col("raw"), r"(?s)^(?:\s|//[^\n]*\n|/\*.*?\*/)*+", "")
-    first = F.element_at(F.col("parts"), 1)
-    last = F.element_at(F.col("parts"), -1)
     stitched = (
-        seg.groupBy("file_path", "language", "platform", "stmt").agg(parts.alias("parts"))
-        .select(
-            "file_path", "language", "platform", F.col("stmt").cast("int").alias("no"),
-            F.array_join(F.transform("parts", lambda p: p["raw"]), "").alias("raw"),
-            F.array_join(F.transform("parts", lambda p: p["code"]), "").alias("masked"),
-            last["ahead"].alias("ahead"), last["term"].alias("term"),
-            first["line0"].alias("line0"), last["end_off"].alias("end_off"),
-        )
+        seg.groupBy("file_path", "language", "platform", "stmt")
+        .agg(F.expr("sort_array(collect_list(struct(seg_no, raw, code, ahead, term, line0, end_off)))")
+             .alias("p"))
+        .select("file_path", "language", "platform", *[F.expr(e) for e in (
+            "cast(stmt as int) AS no",
+            "array_join(transform(p, x -> x.raw), '') AS raw",
+            "array_join(transform(p, x -> x.code), '') AS masked",
+            "element_at(p, -1).ahead AS ahead", "element_at(p, -1).term AS term",
+            "element_at(p, 1).line0 AS line0", "element_at(p, -1).end_off AS end_off",
+        )])
     )
-    lead = F.regexp_replace(F.col("raw"), r"^\s+", "")
+    trivia = r"(?s)^(?:\s|//[^\n]*\n|/\*.*?\*/)*+"
     return (
-        stitched.withColumn("code", strip(F.col("masked")))
+        stitched.withColumn("code", F.expr(strip_sql("masked")))
         .where("code <> ''")
-        .withColumn("text", F.when(_is_py(), py_text).otherwise(brace_text))
-        .withColumn("line", (F.col("line0") + _newlines(F.col("raw")) - _newlines(
-            F.when(_is_py(), lead).otherwise(F.col("text")))).cast("int"))
-        .withColumn("indent", F.length(F.regexp_extract("raw", r"^([ \t]*)", 1)))
+        # lead: without blanks and comments in front; text: also without the final line break
+        .withColumn("lead", F.expr(
+            f"CASE WHEN {_PY} THEN regexp_replace(raw, '^\\\\s+', '') "
+            f"ELSE regexp_replace(raw, {quote(trivia)}, '') END"))
+        .withColumn("text", F.expr(f"CASE WHEN {_PY} THEN {strip_sql('raw')} ELSE lead END"))
+        .withColumn("line", F.expr(f"cast(line0 + {_newlines('raw')} - {_newlines('lead')} as int)"))
+        .withColumn("indent", F.expr("length(regexp_extract(raw, '^([ \\t]*)', 1))"))
         .drop("line0", "masked")
     )
 
@@ -321,46 +312,49 @@ _LOOP_START = {
 }
 
 
-def _matches_any(col: Column, patterns) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | col.rlike(p)
-    return out
+def _search_any(expr: str, patterns) -> str:
+    return "(" + " OR ".join(_search(expr, p) for p in patterns) + ")"
+
+
+_IS_LOOP = "CASE language " + " ".join(
+    f"WHEN '{name}' THEN {_search('code', p)}" for name, p in _LOOP_START.items()) + " END"
+# opens a statement block (Java, C#) or a function (Python)
+_IS_SCOPE = (
+    f"CASE WHEN {_PY} THEN {_search('code', r'^(?:async\s+)?def\b')} WHEN term <> '{{' THEN false "
+    f"WHEN language = '{JAVA}' THEN NOT {_search_any('code', _JAVA_NOT_BLOCK)} "
+    f"ELSE NOT {_search_any('code', _CS_NOT_BLOCK)} END"
+)
 
 
 def with_ranges(stmts: DataFrame) -> DataFrame:
     """Adds to every opener the last statement of what it opens (``last_no``, ``last_off``)."""
     by_file = Window.partitionBy("file_path").orderBy("no")
-    step = F.when(_is_py(), 0).when(F.col("term") == "{", 1).when(F.col("term") == "}", -1).otherwise(0)
     df = (
-        stmts.withColumn("depth", F.sum(step).over(by_file))
+        stmts.withColumn("depth", F.sum(F.expr(
+            f"CASE WHEN {_PY} THEN 0 WHEN term = '{{' THEN 1 WHEN term = '}}' THEN -1 ELSE 0 END"))
+            .over(by_file))
         .withColumn("prev_indent", F.lag("indent").over(by_file))
         .withColumn("prev_off", F.lag("end_off").over(by_file))
         .withColumn("file_off", F.max("end_off").over(Window.partitionBy("file_path")))
-        .withColumn("is_loop", _loop_condition())
-        .withColumn("is_scope", _scope_condition())
-    )
-    is_open = F.when(_is_py(), F.col("is_loop") | F.col("is_scope")).otherwise(F.col("term") == "{")
-    level = F.when(_is_py(), F.col("indent")).otherwise(F.col("depth"))
-    closed = F.when(
-        _is_py(),
-        F.when(F.col("indent") <= F.col("prev_indent"), F.sequence("indent", "prev_indent")),
-    ).when(F.col("term") == "}", F.array((F.col("depth") + 1).cast("int")))
-    keep = [c for c in df.columns if c not in ("file_path", "no")]
-    nothing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in keep]
-    none_end = F.lit(None).cast("struct<last_no:int,last_off:bigint>")
-    end = F.struct(
-        F.when(_is_py(), F.col("no") - 1).otherwise(F.col("no")).cast("int").alias("last_no"),
-        F.when(_is_py(), F.col("prev_off")).otherwise(F.col("end_off")).cast("bigint").alias("last_off"),
-    )
-    rows = F.concat(
-        F.array(F.struct(F.lit(0).alias("role"), F.when(is_open, level).cast("int").alias("level"),
-                         none_end.alias("end"), *keep)),
-        F.transform(
-            F.coalesce(closed, F.array().cast("array<int>")),
-            lambda l: F.struct(F.lit(1).alias("role"), l.alias("level"), end.alias("end"), *nothing),
-        ),
+        .withColumn("is_loop", F.expr(_IS_LOOP))
+        .withColumn("is_scope", F.expr(_IS_SCOPE))
+        .withColumn("closed", F.expr(
+            f"CASE WHEN {_PY} THEN if(indent <= prev_indent, sequence(indent, prev_indent), null) "
+            "WHEN term = '}' THEN array(cast(depth + 1 as int)) END"))
+        .withColumn("opens_level", F.expr(
+            f"CASE WHEN {_PY} THEN if(is_loop OR is_scope, indent, null) "
+            "WHEN term = '{' THEN cast(depth as int) END"))
+        .withColumn("closing", F.expr(
+            f"CASE WHEN {_PY} THEN struct(no - 1 AS last_no, prev_off AS last_off) "
+            "ELSE struct(no AS last_no, end_off AS last_off) END"))
     )
+    keep = [c for c in stmts.columns if c not in ("file_path", "no")] + ["file_off", "is_loop", "is_scope"]
+    kept = ", ".join(f"'{c}', {c}" for c in keep)
+    empty = ", ".join(f"'{c}', cast(null as {df.schema[c].dataType.simpleString()})" for c in keep)
+    rows = F.expr(
+        f"concat(array(named_struct('role', 0, 'level', opens_level, 'end', if(false, closing, null), {kept})), "
+        f"transform(coalesce(closed, {_NO_INTS}), l -> named_struct('role', 1, 'level', l, "
+        f"'end', closing, {empty})))")
     # walking backwards, the last closer seen at a level is the next one in the file
     backwards = Window.partitionBy("file_path", "level").orderBy(F.desc("no"), "role")
     return (
@@ -368,50 +362,29 @@ def with_ranges(stmts: DataFrame) -> DataFrame:
         .select("file_path", "no", "r.*")
         .withColumn("found", F.last("end", ignorenulls=True).over(backwards))
         .where("role = 0")
-        .withColumn("last_no", F.when(F.col("level").isNotNull(),
-                                      F.coalesce("found.last_no", F.lit(NO_END))))
-        .withColumn("last_off", F.when(F.col("level").isNotNull(),
-                                       F.coalesce("found.last_off", "file_off")))
-        .drop("role", "level", "end", "found", "prev_indent", "prev_off", "file_off")
-    )
-
-
-def _loop_condition() -> Column:
-    out = F.lit(False)
-    for name, pattern in _LOOP_START.items():
-        out = F.when(F.col("language") == name, F.col("code").rlike(pattern)).otherwise(out)
-    return out
-
-
-def _scope_condition() -> Column:
-    """Opens a statement block (Java, C#) or a function (Python)."""
-    code = F.col("code")
-    brace = F.col("term") == "{"
-    return (
-        F.when(_is_py(), code.rlike(r"^(?:async\s+)?def\b"))
-        .when(F.col("language") == JAVA, brace & ~_matches_any(code, _JAVA_NOT_BLOCK))
-        .otherwise(brace & ~_matches_any(code, _CS_NOT_BLOCK))
+        .withColumn("last_no", F.expr(f"if(level is null, null, coalesce(found.last_no, {NO_END}))"))
+        .withColumn("last_off", F.expr("if(level is null, null, coalesce(found.last_off, file_off))"))
+        .drop("role", "level", "end", "found", "file_off")
     )
 
 
 def with_scope(df: DataFrame) -> DataFrame:
     """Adds the innermost enclosing scope of each statement (``scope_no``, ``scope_last``)."""
     keep = [c for c in df.columns if c not in ("file_path", "no")]
-    nothing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in keep]
-    none_scope = F.lit(None).cast("struct<no:int,last_no:int>")
-    this = F.struct(F.col("no"), F.col("last_no").cast("int").alias("last_no"))
-    close_pos = F.when(_is_py(), F.col("last_no") + 1).otherwise(F.col("last_no"))
-    close_phase = F.when(_is_py(), 0).otherwise(2)
-
-    def event(pos, phase, delta, scope, columns):
-        return F.struct(pos.cast("int").alias("pos"), phase.cast("int").alias("phase"),
-                        F.lit(delta).alias("delta"), scope.alias("scope"), *columns)
-
-    rows = F.when(F.col("is_scope"), F.array(
-        event(F.col("no"), F.lit(1), 0, none_scope, keep),
-        event(F.col("no"), F.lit(2), 1, this, nothing),
-        event(close_pos, close_phase, -1, none_scope, nothing),
-    )).otherwise(F.array(event(F.col("no"), F.lit(1), 0, none_scope, keep)))
+    kept = ", ".join(f"'{c}', {c}" for c in keep)
+    empty = ", ".join(f"'{c}', cast(null as {df.schema[c].dataType.simpleString()})" for c in keep)
+
+    def event(pos: str, phase: str, delta: int, scope: str, columns: str) -> str:
+        return (f"named_struct('pos', {pos}, 'phase', {phase}, 'delta', {delta}, 'scope', "
+                f"{scope}, {columns})")
+
+    this = "struct(no, last_no)"
+    point = event("no", "1", 0, f"if(false, {this}, null)", kept)
+    opening = event("no", "2", 1, this, empty)
+    closing = event(f"if({_PY}, last_no + 1, last_no)", f"if({_PY}, 0, 2)", -1,
+                    f"if(false, {this}, null)", empty)
+    rows = F.expr(f"CASE WHEN is_scope THEN array({point}, {opening}, {closing}) "
+                  f"ELSE array({point}) END")
     sweep = Window.partitionBy("file_path").orderBy("pos", "phase", "delta").rowsBetween(
         Window.unboundedPreceding, 0)
     at_depth = Window.partitionBy("file_path", "nesting").orderBy("pos", "phase").rowsBetween(
@@ -421,8 +394,8 @@ def with_scope(df: DataFrame) -> DataFrame:
         .withColumn("nesting", F.sum("delta").over(sweep))
         .withColumn("in_scope", F.last("scope", ignorenulls=True).over(at_depth))
         .where("delta = 0")
-        .withColumn("scope_no", F.when(F.col("nesting") > 0, F.col("in_scope.no")))
-        .withColumn("scope_last", F.when(F.col("nesting") > 0, F.col("in_scope.last_no")))
+        .withColumn("scope_no", F.expr("if(nesting > 0, in_scope.no, null)"))
+        .withColumn("scope_last", F.expr("if(nesting > 0, in_scope.last_no, null)"))
         .drop("pos", "phase", "delta", "scope", "nesting", "in_scope")
     )
 
@@ -441,297 +414,250 @@ def loop_blocks(files: DataFrame) -> DataFrame:
         F.coalesce("last_no", "no").alias("last_no"), "line")
 
 
-# --- facts ---------------------------------------------------------------------
-
-_FACT = (
-    "struct<name:string,item:int,k:int,key:string,is_event:boolean,pos:int,hi:int,"
-    "expect:boolean,line:int,quoted:string,word:string>"
-)
-
-
-def _fact(name=None, key=None, is_event=False, pos=None, hi=None, expect=None, line=None,
-          quoted=None, word=None, item=0, k=0) -> Column:
-    def c(value, dtype):
-        return (value if isinstance(value, Column) else F.lit(value)).cast(dtype)
+# --- facts (SQL text) ------------------------------------------------------------
 
-    return F.struct(
-        c(name, "string").alias("name"), c(item, "int").alias("item"), c(k, "int").alias("k"),
-        c(key, "string").alias("key"), c(is_event, "boolean").alias("is_event"),
-        c(pos, "int").alias("pos"), c(hi, "int").alias("hi"), c(expect, "boolean").alias("expect"),
-        c(line, "int").alias("line"), c(quoted, "string").alias("quoted"),
-        c(word, "string").alias("word"),
-    )
-
-
-def _none() -> Column:
-    return F.array().cast(f"array<{_FACT}>")
+_FIELDS = {
+    "name": "string", "item": "int", "k": "int", "key": "string", "is_event": "boolean",
+    "pos": "int", "hi": "int", "expect": "boolean", "line": "int", "quoted": "string",
+    "word": "string",
+}
+_NO_FACTS = "cast(array() as array<struct<" + ",".join(f"{n}:{t}" for n, t in _FIELDS.items()) + ">>)"
+_TEXT120 = f"substring({strip_sql('text')}, 1, 120)"
+# an interval covers the inside of the enclosing block
+_BLOCK = {"pos": "(scope_no + 1) * 2", "hi": "scope_last * 2 + 1"}
 
 
-def _one(cond: Column, fact: Column) -> Column:
-    return F.when(cond, F.array(fact)).otherwise(_none())
+def _fact(**values: str) -> str:
+    values = {"item": "0", "k": "0", "is_event": "false", **values}
+    return "named_struct(" + ", ".join(
+        f"'{n}', cast({values.get(n, 'null')} as {t})" for n, t in _FIELDS.items()) + ")"
 
 
-def _line_of(fragment: Column) -> Column:
-    head = F.substring(
-        F.col("text"), F.lit(1), F.greatest(F.position(fragment, F.col("text")), F.lit(1)) - 1)
-    return F.col("line") + _newlines(head)
+def _when(condition: str, facts: str) -> str:
+    return f"CASE WHEN {condition} THEN {facts} ELSE {_NO_FACTS} END"
 
 
-def _calls(cond: Column, name: str | Column, pattern: str, test) -> Column:
-    """Facts for all matches of ``pattern`` in the statement text that pass ``test``."""
-    found = F.filter(F.regexp_extract_all(F.col("text"), F.lit("(?s)" + pattern), F.lit(0)), test)
-    facts = F.transform(found, lambda call, i: _fact(
-        name=name, line=_line_of(call), quoted=F.substring(call, 1, 120), item=i))
-    return F.when(cond, facts).otherwise(_none())
+def _one(condition: str, **values: str) -> str:
+    return _when(condition, f"array({_fact(**values)})")
 
 
-def _var_events(pattern: str, prefixes: bool = False) -> Column:
-    """Events keyed by the variable in group 1; with ``prefixes`` by every prefix of it too."""
-    names = F.array_distinct(F.regexp_extract_all(F.col("raw"), F.lit(pattern), F.lit(1)))
-    if prefixes:
-        names = F.array_distinct(F.flatten(F.transform(names, lambda v: F.transform(
-            F.sequence(F.lit(1), F.length(v)), lambda n: F.substring(v, F.lit(1), n)))))
-    return F.transform(names, lambda v: _fact(
-        key=F.concat(F.lit("var "), v), is_event=True, pos=F.col("no") * 2 + 1))
+def _line_of(fragment: str) -> str:
+    before = f"substring(text, 1, greatest(position({fragment}, text), 1) - 1)"
+    return f"line + {_newlines(before)}"
 
 
-def _word_event(word: str, key: str) -> list[Column]:
-    """Events where the statement text or the comments before it hold a word."""
-    trivia = F.substring(F.col("raw"), F.lit(1), F.length("raw") - F.length("text"))
-    return [
-        _one(F.col("text").contains(word), _fact(key=key, is_event=True, pos=F.col("no") * 2 + 1)),
-        _one(trivia.contains(word), _fact(key=key, is_event=True, pos=F.col("no") * 2)),
-    ]
+def _calls(condition: str, name: str, pattern: str, test: str) -> str:
+    """Facts for all matches ``c`` of ``pattern`` in the statement text that pass ``test``."""
+    found = f"filter({_all_matches('text', '(?s)' + pattern)}, c -> {test})"
+    fact = _fact(name=quote(name), line=_line_of("c"), quoted="substring(c, 1, 120)", item="i")
+    return _when(condition, f"transform({found}, (c, i) -> {fact})")
 
 
-def _block_lo() -> Column:
-    return (F.col("scope_no") + 1) * 2
+def _var_events(condition: str, *patterns: tuple[str, bool]) -> str:
+    """Events keyed by the variable in group 1, or by every prefix of it."""
+    lists = []
+    for pattern, prefixes in patterns:
+        names = _all_matches("raw", pattern, 1)
+        if prefixes:
+            names = (f"flatten(transform({names}, v -> transform(sequence(1, length(v)), "
+                     f"n -> substring(v, 1, n))))")
+        lists.append(names)
+    fact = _fact(key="concat('var ', v)", is_event="true", pos="no * 2 + 1")
+    return _when(condition,
+                 f"transform(array_distinct(concat({', '.join(lists)})), v -> {fact})")
 
 
-def _block_hi() -> Column:
-    return F.col("scope_last") * 2 + 1
+def _word_events(words: dict[str, str]) -> str:
+    """Events (key -> word) where the statement, or the comments before it, hold a word."""
+    pairs = "array(" + ", ".join(
+        f"named_struct('key', '{k}', 'word', {quote(w)})" for k, w in words.items()) + ")"
+    fact = _fact(key="w.key", is_event="true",
+                 pos="no * 2 + if(contains(lead, w.word), 1, 0)")
+    return f"transform(filter({pairs}, w -> contains(raw, w.word)), w -> {fact})"
 
 
-def _loop_facts(name: str, calls: tuple[str, ...]) -> Column:
+def _loop_facts(name: str, calls: tuple[str, ...]) -> str:
     """One interval per call pattern; the first pattern that has an event names the hit."""
-    lang_py = _is_py()
-    start_off = F.col("end_off") - F.length("text") - F.when(lang_py, 1).otherwise(0)
-    length = F.coalesce(F.col("last_off"), F.col("end_off")) - start_off
-    whole = F.concat(F.col("text"), F.when(lang_py, F.lit("\n")).otherwise(F.lit("")),
-                     F.coalesce("ahead", F.lit("")))
-    quoted = F.substring(strip(F.substring(whole, F.lit(1), length.cast("int"))), 1, 120)
-    lo = F.when(lang_py, (F.col("no") + 1) * 2).otherwise(F.col("no") * 2 + 1)
-    hi = F.coalesce(F.col("last_no"), F.col("no")) * 2 + 1
-    body = F.regexp_extract("text", r"(?s)^[^\n]*?:\s*(?!#)(\S.*)$", 1)  # one-line loops
-    patterns = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(c).alias("call"))
-                         for i, c in enumerate(calls)])
-    facts = F.transform(patterns, lambda p: _fact(
-        name=name, key=F.concat(F.lit("loop "), p["k"].cast("string")), pos=lo, hi=hi, expect=True,
-        line=F.col("line"), quoted=quoted, k=p["k"],
-        word=F.regexp_replace(p["call"], r"\($", "") if name != "java_loop" else p["call"]))
-    inline = F.transform(
-        F.filter(patterns, lambda p: body.contains(p["call"])),
-        lambda p: _fact(name=name, line=F.col("line"), quoted=quoted, k=p["k"],
-                        word=F.regexp_replace(p["call"], r"\($", "")))
-    out = F.concat(facts, inline) if name == "py_loop" else facts
-    return F.when(F.col("is_loop"), out).otherwise(_none())
-
-
-def _string_facts(wanted: list[tuple[str, Column]]) -> Column:
-    """Facts for the string lexemes of the statement; ``wanted`` pairs names with tests on x."""
-    def step(acc, t):
-        hits = F.concat(*[
-            F.when(_is_string(t) & test(t), F.array(_fact(
-                name=name, line=acc["line"], quoted=F.substring(strip(t), 1, 120),
-                item=F.size(acc["hits"])))).otherwise(_none())
-            for name, test in wanted
-        ])
-        return F.struct(
-            (acc["line"] + _newlines(t)).cast("int").alias("line"),
-            F.concat(acc["hits"], hits).alias("hits"),
-        )
-
-    start = F.struct(
-        (F.col("line") - _newlines(F.substring(
-            F.col("raw"), F.lit(1), F.length("raw") - F.length("lead")))).cast("int").alias("line"),
-        _none().alias("hits"))
-    return F.aggregate(_lexemes(F.col("raw")), start, step)["hits"]
-
-
-def _star(t: Column) -> Column:
-    return rx(t, SELECT_STAR_RX) & ~rx(t, COUNT_STAR_RX)
-
-
-def _java_facts() -> list[Column]:
-    text, code = F.col("text"), F.col("code")
-    in_block = F.col("scope_no").isNotNull()
+    pairs = "array(" + ", ".join(
+        f"named_struct('k', {i}, 'call', {quote(c)})" for i, c in enumerate(calls)) + ")"
+    whole = "concat(lead, coalesce(ahead, ''))"
+    size = "cast(coalesce(last_off, end_off) - end_off + length(lead) as int)"
+    quoted = f"substring({strip_sql(f'substring({whole}, 1, {size})')}, 1, 120)"
+    shown = "p.call" if name == "java_loop" else "regexp_replace(p.call, '[(]$', '')"
+    common = {"name": quote(name), "line": "line", "quoted": quoted, "k": "p.k", "word": shown}
+    inside = _fact(
+        key="concat('loop ', p.k)", expect="true", hi="coalesce(last_no, no) * 2 + 1",
+        pos="(no + 1) * 2" if name == "py_loop" else "no * 2 + 1", **common)
+    facts = f"transform({pairs}, p -> {inside})"
+    if name == "py_loop":  # a body on the line of the header
+        body = _first_match("text", r"(?s)^[^\n]*?:\s*(?!#)(\S.*)$")
+        facts = (f"concat({facts}, transform(filter({pairs}, p -> contains({body}, p.call)), "
+                 f"p -> {_fact(**common)}))")
+    return _when("is_loop", facts)
+
+
+def _loop_events(calls: tuple[str, ...]) -> str:
+    return _word_events({f"loop {i}": c for i, c in enumerate(calls)})
+
+
+def _string_facts(condition: str, *wanted: tuple[str, str]) -> str:
+    """Facts for the string lexemes ``t``; ``wanted`` pairs names with tests on t."""
+    facts = ", ".join(
+        _one(f"{_IS_STRING} AND {test}", name=quote(name), line="acc.line",
+             quoted=f"substring({strip_sql('t')}, 1, 120)", item="size(acc.hits)")
+        for name, test in wanted)
+    trivia = "substring(raw, 1, length(raw) - length(lead))"
+    return _when(condition, (
+        f"aggregate({_lexemes('raw')}, "
+        f"named_struct('line', cast(line - {_newlines(trivia)} as int), 'hits', {_NO_FACTS}), "
+        f"(acc, t) -> named_struct('line', cast(acc.line + {_newlines('t')} as int), "
+        f"'hits', concat(acc.hits, {facts})), acc -> acc.hits)"))
+
+
+_STAR = f"{_search('t', SELECT_STAR_RX, NOCASE)} AND NOT {_search('t', COUNT_STAR_RX, NOCASE)}"
+_HAS_SELECT = f"contains({fold_sql('raw')}, 'select')"
+_BUILT_SQL = f"contains(text, '+') AND {_search('text', SQL_WORD, NOCASE)}"
+
+
+def _java_facts() -> list[str]:
     decl = (
         r"^(?!(?:return|throw|else|case|new|assert|yield|package|import)\b)"
         r"(?:final\s+|@\w+(?:\([^)]*\))?\s+)*[\w.]+(?:<[^=;]*>)?(?:\s*\[\s*\])*\s+(\w+)"
         r"(?:\s*\[\s*\])*\s*="
     )
-    name = F.regexp_extract("code", decl, 1)
-    is_decl = in_block & (name != "")
-    built = is_decl & text.contains("+") & rx(text, SQL_WORD)
-    plain = is_decl & text.contains("createStatement()") & ~text.contains("PreparedStatement")
-    annotated = code.contains("@Transactional")
-    marker = r"@Transactional\w*+(?!\s*\()"
-    with_args = r"@Transactional\w*+\s*" + ARGS
-    args = r"(?s)" + JAVA_EXECUTE + r"\s*(" + ARGS + r")$"
+    name = _first_match("code", decl)
+    is_decl = f"scope_no is not null AND {name} <> ''"
+    args = _first_match("c", r"(?s)" + JAVA_EXECUTE + r"\s*(" + ARGS + r")$")
+    annotated = "contains(code, '@Transactional')"
+    no_timeout = "NOT contains(lower(c), 'timeout')"
     return [
-        _one(built, _fact("java_sql_var", key=F.concat(F.lit("var "), name), pos=_block_lo(),
-                          hi=_block_hi(), expect=True, line=F.col("line"),
-                          quoted=F.substring(strip(text), 1, 120))),
-        F.when(contains_any(F.col("raw"), ("execute", "createQuery", "prepareStatement")),
-               _var_events(JAVA_SINK)).otherwise(_none()),
-        _calls(code.rlike(r"\b" + JAVA_EXECUTE + r"\s*\(") & text.contains("+"),
+        _one(f"{is_decl} AND {_BUILT_SQL}", name="'java_sql_var'", key=f"concat('var ', {name})",
+             expect="true", line="line", quoted=_TEXT120, **_BLOCK),
+        _var_events(contains_any("raw", ("execute", "createQuery", "prepareStatement")),
+                    (JAVA_SINK, False)),
+        _calls(f"contains(text, '+') AND {_search('code', JAVA_EXECUTE + r'\s*\(')}",
                "java_concat_call", _CHAIN + r"\b" + JAVA_EXECUTE + r"\s*" + ARGS,
-               lambda c: F.regexp_extract(c, args, 1).contains("+")
-               & rx(F.regexp_extract(c, args, 1), r"""["'].*(?:SELECT|INSERT|UPDATE|DELETE)""")),
+               f"contains({args}, '+') AND "
+               + _search(args, r"""["'].*(?:SELECT|INSERT|UPDATE|DELETE)""", NOCASE)),
         _loop_facts("java_loop", JAVA_LOOP_CALLS),
-        *[e for i, c in enumerate(JAVA_LOOP_CALLS) for e in _word_event(c, f"loop {i}")],
-        _calls(annotated, "java_transactional", marker, lambda c: ~F.lower(c).contains("timeout")),
-        _calls(annotated, "java_transactional_args", with_args,
-               lambda c: ~F.lower(c).contains("timeout")),
-        _one(plain, _fact("java_stmt_prepared", key="executeQuery", pos=_block_lo(),
-                          hi=_block_hi(), expect=True, line=F.col("line"),
-                          quoted=F.substring(strip(text), 1, 120))),
-        *_word_event("executeQuery", "executeQuery"),
-        F.when(fold(F.col("raw")).contains("select"),
-               _string_facts([("java_select_star", _star)])).otherwise(_none()),
+        _loop_events(JAVA_LOOP_CALLS),
+        _calls(annotated, "java_transactional", r"@Transactional\w*+(?!\s*\()", no_timeout),
+        _calls(annotated, "java_transactional_args", r"@Transactional\w*+\s*" + ARGS, no_timeout),
+        _one(f"{is_decl} AND contains(text, 'createStatement()') "
+             "AND NOT contains(text, 'PreparedStatement')",
+             name="'java_stmt_prepared'", key="'executeQuery'", expect="true", line="line",
+             quoted=_TEXT120, **_BLOCK),
+        _word_events({"executeQuery": "executeQuery"}),
+        _string_facts(_HAS_SELECT, ("java_select_star", _STAR)),
     ]
 
 
-def _cs_facts() -> list[Column]:
-    text, code = F.col("text"), F.col("code")
-    in_block = F.col("scope_no").isNotNull()
+def _cs_facts() -> list[str]:
     decl = (
         r"^(?!(?:return|throw|else|case|new|goto|yield)\b)"
         r"(?:(?:using|await|const|static|readonly|scoped|ref)\s+)*"
         r"[\w.]+(?:<[^=;]*>)?\??(?:\s*\[[\s,]*\])*\??\s+(\w+)\s*=(?![=>])"
     )
-    name = F.regexp_extract("code", decl, 1)
-    built = in_block & (name != "") & text.contains("+") & rx(text, SQL_WORD)
+    name = _first_match("code", decl)
     command = r"\bnew\s+[\w.]*(?:SqlCommand|NpgsqlCommand|OracleCommand)\w*\s*(?:" + ARGS + r"|\{)"
-    commands = F.regexp_extract_all(text, F.lit("(?s)" + command), F.lit(0))
+    command_fact = _fact(
+        name="'cs_cmd_timeout'", key="'CommandTimeout'", expect="false", line=_line_of("c"),
+        quoted="substring(c, 1, 120)", item="i", **_BLOCK)
     return [
-        _one(built, _fact("cs_sql_var", key=F.concat(F.lit("var "), name), pos=_block_lo(),
-                          hi=_block_hi(), expect=True, line=F.col("line"),
-                          quoted=F.substring(strip(text), 1, 120))),
-        F.when(contains_any(F.col("raw"), ("Command(", "ExecuteSql(")),
-               _var_events(CS_SINK, prefixes=True)).otherwise(_none()),
+        _one(f"scope_no is not null AND {name} <> '' AND {_BUILT_SQL}", name="'cs_sql_var'",
+             key=f"concat('var ', {name})", expect="true", line="line", quoted=_TEXT120, **_BLOCK),
+        _var_events(contains_any("raw", ("Command(", "ExecuteSql(")), (CS_SINK, True)),
         _loop_facts("cs_loop", CS_LOOP_CALLS),
-        *[e for i, c in enumerate(CS_LOOP_CALLS) for e in _word_event(c, f"loop {i}")],
-        _calls(code.contains("TransactionScope"), "cs_txnscope",
+        _loop_events(CS_LOOP_CALLS),
+        _calls("contains(code, 'TransactionScope')", "cs_txnscope",
                r"\bnew\s+[\w.]*TransactionScope\w*\s*(?:" + ARGS + r"|\{)",
-               lambda c: ~c.contains("Timeout") & ~c.contains("TransactionOptions")),
-        F.when(
-            in_block & code.contains("Command"),
-            F.transform(commands, lambda c, i: _fact(
-                "cs_cmd_timeout", key="CommandTimeout", pos=_block_lo(), hi=_block_hi(),
-                expect=False, line=_line_of(c), quoted=F.substring(c, 1, 120), item=i)),
-        ).otherwise(_none()),
-        *_word_event("CommandTimeout", "CommandTimeout"),
-        F.when(contains_any(fold(F.col("raw")), ("select", "insert", "update", "delete")),
-               _string_facts([
-                   ("cs_interpolated", lambda t: t.rlike(r'^(?:\$+|\$@|@\$)"') & rx(t, SQL_WORD)),
-                   ("cs_select_star", _star),
-               ])).otherwise(_none()),
+               "NOT contains(c, 'Timeout') AND NOT contains(c, 'TransactionOptions')"),
+        _when("scope_no is not null AND contains(code, 'Command')",
+              f"transform({_all_matches('text', '(?s)' + command)}, (c, i) -> {command_fact})"),
+        _word_events({"CommandTimeout": "CommandTimeout"}),
+        _string_facts(
+            contains_any(fold_sql("raw"), ("select", "insert", "update", "delete")),
+            ("cs_interpolated",
+             _search("t", r'^(?:\$+|\$@|@\$)"') + " AND " + _search("t", SQL_WORD, NOCASE)),
+            ("cs_select_star", _STAR)),
     ]
 
 
-def _py_facts() -> list[Column]:
-    text, code = F.col("text"), F.col("code")
-    assign = r"(?s)^([\w.]+)\s*(?::[^=]+)?=(?!=)\s*(.*)$"
-    name = F.regexp_extract("code", r"(?s)^([\w.]+)\s*(?::[^=]+?)?=(?!=)", 1)
-    rhs = F.regexp_extract("text", assign, 2)
-    rhs_code = F.regexp_extract("code", assign, 2)
+def _py_facts() -> list[str]:
+    assign = r"(?s)^([\w.]+)\s*(?::[^=]+?)?=(?!=)\s*(.*)$"
+    name, rhs_code = _first_match("code", assign), _first_match("code", assign, 2)
+    rhs = _first_match("text", assign, 2)
     # operators outside brackets make the right side an expression; else it is one value
     outer = rhs_code
     for _ in range(4):
-        outer = F.regexp_replace(outer, r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", "")
-    binary = outer.rlike(r"[+\-*/%|&^]") & ~outer.rlike(r"^lambda\b")
-    literal = rhs_code.rlike(r'^"[^"]*"(?:\s*"[^"]*")*$')
+        outer = f"regexp_replace({outer}, " + quote(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}") + ", '')"
+    expression = f"({_search(outer, r'[+\-*/%|&^]')} AND NOT {_search(outer, r'^lambda\b')})"
+    literal = _search(rhs_code, r'^"[^"]*"(?:\s*"[^"]*")*$')
     built = (
-        (name != "") & rx(rhs, SQL_WORD)
-        & (rhs.contains("+") | rhs.contains("%") | rhs.contains("{"))
-        & (binary | literal | rhs.contains("%"))
+        f"{name} <> '' AND {_search(rhs, SQL_WORD, NOCASE)} "
+        f"AND (contains({rhs}, '+') OR contains({rhs}, '%') OR contains({rhs}, '{{')) "
+        f"AND ({expression} OR {literal} OR contains({rhs}, '%'))"
     )
-    lo = F.coalesce(F.col("scope_no") * 2 + 1, F.lit(0))
-    hi = F.coalesce(F.col("scope_last") * 2 + 1, F.lit(2 * NO_END))
     fstring = (
-        r"""(?:^\(|,)\s*(f(?:\"{3}(?:[^"]|"(?!""))*+\"{3}|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'))\s*(?=[,)])"""
+        r"""(?:^\(|,)\s*(f(?:"{3}(?:[^"]|"(?!""))*+"{3}|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'))\s*(?=[,)])"""
     )
-    last_args = r"(?s)(" + ARGS + r")$"
+    call_args = _first_match("c", r"(?s)(" + ARGS + r")$")
     more = r"(?:\s*\.\s*\w+(?:" + ARGS + r")?)*"
 
-    def args_lack(*words):
-        def test(call):
-            groups = F.regexp_extract_all(call, F.lit("(?s)" + ARGS), F.lit(0))
-            cond = lambda g: ~contains_any(F.lower(g), words)
-            return F.exists(groups, cond)
-        return test
+    def some_args_lack(*words: str) -> str:
+        return f"exists({_all_matches('c', '(?s)' + ARGS)}, g -> NOT {contains_any('lower(g)', words)})"
 
     return [
-        _one(built, _fact("py_sql_var", key=F.concat(F.lit("var "), name), pos=lo, hi=hi,
-                          expect=True, line=F.col("line"),
-                          quoted=F.substring(strip(text), 1, 120))),
-        F.when(contains_any(F.col("raw"), ("execute", "query(", "text(")), F.concat(
-            _var_events(PY_SINK), _var_events(PY_SINK_CLOSED),
-            _var_events(PY_SINK_OPEN, prefixes=True))).otherwise(_none()),
-        _calls(code.rlike(r"\.(?:execute|query|run)\w*\s*\("), "py_fstring",
+        _one(built, name="'py_sql_var'", key=f"concat('var ', {name})", expect="true", line="line",
+             quoted=_TEXT120, pos="coalesce(scope_no * 2 + 1, 0)",
+             hi=f"coalesce(scope_last * 2 + 1, {2 * NO_END})"),
+        _var_events(contains_any("raw", ("execute", "query(", "text(")),
+                    (PY_SINK, False), (PY_SINK_CLOSED, False), (PY_SINK_OPEN, True)),
+        _calls(_search("code", r"\.(?:execute|query|run)\w*\s*\("), "py_fstring",
                r"(?:\w+(?:" + ARGS + r")?\s*\.\s*)+(?:execute|query|run)\w*" + ARGS,
-               lambda c: F.exists(
-                   F.regexp_extract_all(F.regexp_extract(c, last_args, 1), F.lit(fstring), F.lit(1)),
-                   lambda s: rx(s, SQL_WORD))),
+               f"exists({_all_matches(call_args, fstring, 1)}, g -> {_search('g', SQL_WORD, NOCASE)})"),
         _loop_facts("py_loop", PY_LOOP_CALLS),
-        *[e for i, c in enumerate(PY_LOOP_CALLS) for e in _word_event(c, f"loop {i}")],
-        _calls(code.contains("MongoClient"), "py_mongo",
+        _loop_events(PY_LOOP_CALLS),
+        _calls("contains(code, 'MongoClient')", "py_mongo",
                r"(?:\w+\s*\.\s*)*\w*MongoClient\w*\s*" + ARGS + more,
-               args_lack("read_preference", "readpreference")),
-        _calls(code.contains("connect"), "py_connect",
+               some_args_lack("read_preference", "readpreference")),
+        _calls("contains(code, 'connect')", "py_connect",
                r"(?:\w+\s*\.\s*)*(?:psycopg2\.connect|pymysql\.connect|cx_Oracle\.connect)\w*\s*"
-               + ARGS + more, args_lack("timeout")),
-        F.when(fold(F.col("raw")).contains("select"),
-               _string_facts([("py_select_star", _star)])).otherwise(_none()),
+               + ARGS + more, some_args_lack("timeout")),
+        _string_facts(_HAS_SELECT, ("py_select_star", _STAR)),
     ]
 
 
 def flow_hits(files: DataFrame) -> DataFrame:
     """(file_path, check, line_number, quoted, description, ...) of all flow checks."""
     stmts = with_scope(with_ranges(statements(files)))
-    stmts = stmts.withColumn("lead", F.when(
-        _is_py(), F.regexp_replace("raw", r"^\s+", "")).otherwise(F.col("text")))
-    facts = F.concat(*_py_facts())
-    for name, build in ((CSHARP, _cs_facts), (JAVA, _java_facts)):
-        facts = F.when(F.col("language") == name, F.concat(*build())).otherwise(facts)
+    facts = "CASE language " + " ".join(
+        f"WHEN '{name}' THEN concat({', '.join(build())})"
+        for name, build in ((JAVA, _java_facts), (CSHARP, _cs_facts), (PYTHON, _py_facts))) + " END"
     backwards = Window.partitionBy("file_path", "key").orderBy(
         F.desc("pos"), F.desc("is_event")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = (
-        stmts.select("file_path", "language", "platform", "no", F.explode(facts).alias("f"))
+    hits = (
+        stmts.select("file_path", "language", "platform", "no", F.expr(f"explode({facts})").alias("f"))
         .select("file_path", "language", "platform", "no", "f.*")
-        .withColumn("next_pos", F.last(F.when(F.col("is_event"), F.col("pos")), ignorenulls=True)
+        .withColumn("next_pos", F.last(F.expr("if(is_event, pos, null)"), ignorenulls=True)
                     .over(backwards))
-        .where(~F.col("is_event"))
-        .where(F.col("key").isNull()
-               | (F.coalesce(F.col("next_pos") <= F.col("hi"), F.lit(False)) == F.col("expect")))
-    )
-    best = F.min(F.struct("k", "line", "quoted", "word"))
-    hits = rows.groupBy("file_path", "language", "platform", "no", "name", "item").agg(best.alias("b"))
-
-    def by_name(index: int) -> Column:
-        return F.create_map(*[x for n, v in CHECKS.items() for x in (F.lit(n), F.lit(v[index]))])[
-            F.col("name")]
-
-    return hits.select(
-        "file_path", "language", "platform", F.col("name").alias("check"),
-        F.col("b.line").alias("line_number"), F.col("b.quoted").alias("quoted"),
-        by_name(1).alias("violation_type"), by_name(2).alias("confidence_score"),
-        F.when(F.col("b.word").isNotNull(), F.replace(by_name(3), F.lit("%s"), F.col("b.word")))
-        .otherwise(by_name(3)).alias("description"),
-        (by_name(0) * 1000000 + F.col("b.line")).cast("int").alias("emit_ord"),
+        .where("NOT is_event AND (key is null OR coalesce(next_pos <= hi, false) = expect)")
+        .groupBy("file_path", "language", "platform", "no", "name", "item")
+        .agg(F.expr("min(struct(k, line, quoted, word)) AS b"))
     )
 
+    def by_name(index: int, show) -> str:
+        return "CASE name " + " ".join(f"WHEN '{n}' THEN {show(v[index])}" for n, v in CHECKS.items()) + " END"
+
+    text = by_name(3, quote)
+    return hits.select("file_path", "language", "platform", *[F.expr(e) for e in (
+        "name AS check", "b.line AS line_number", "b.quoted AS quoted",
+        by_name(1, quote) + " AS violation_type",
+        by_name(2, lambda c: f"{c}D") + " AS confidence_score",
+        f"if(b.word is null, {text}, replace({text}, '%s', b.word)) AS description",
+        f"cast({by_name(0, str)} * 1000000 + b.line as int) AS emit_ord",
+    )])
+
 
 def flow_violations(files: DataFrame, checks: tuple[str, ...] | None = None) -> DataFrame:
     """Flow hits as violation rows, with contexts from the file."""
@@ -744,17 +670,15 @@ def flow_violations(files: DataFrame, checks: tuple[str, ...] | None = None) ->
     # both sides are partitioned by file; the file is split once for all its findings
     joined = flow_files(files).select("file_path", "content").join(per_file, "file_path").select(
         "file_path", "hits", split_lines(F.col("content")).alias("lines"))
-    lines = F.col("lines")
     return (
-        joined.select("file_path", F.explode(F.transform("hits", lambda h: F.struct(
-            h.alias("h"),
-            context_before(lines, h["line_number"]).alias("context_before"),
-            context_after(lines, h["line_number"]).alias("context_after"),
-        ))).alias("x"))
+        joined.select("file_path", F.expr(
+            "explode(transform(hits, h -> named_struct('h', h, "
+            f"'context_before', {context_before('h.line_number')}, "
+            f"'context_after', {context_after('h.line_number')})))").alias("x"))
         .select("file_path", "x.h.*", "x.context_before", "x.context_after")
         .select(
             "file_path", "line_number", F.substring("quoted", 1, 150).alias("line_content"),
-            "violation_type", severity(F.col("violation_type")).alias("severity"), "platform",
+            "violation_type", severity().alias("severity"), "platform",
             "language", F.concat(F.lit("[AST] "), F.col("description")).alias("description"),
             "context_before", "context_after", "confidence_score",
             F.lit(FLOW_ORD).alias("detector_ord"), "emit_ord",

@@ -1,4 +1,4 @@
-"""The rule table: line rules as data, compiled to Column conditions.
+"""The rule table: line rules as data, compiled to SQL conditions.
 
 To add a check, append a ``Rule`` (pattern, language, windows, message); nothing else
 in the scan changes and no Python runs per line.
@@ -7,16 +7,12 @@ in the scan changes and no Python runs per line.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from ..fixed import (
     CSHARP, JAVA, LONG_RUNNING_TXN, PYTHON, READ_PREFERENCE, SELECT_STAR, SQL,
     STRING_CONCAT_SQL, UNBATCHED_TXN,
 )
-from ..functions.text import rx, rx_case
+from ..functions.text import NOCASE, UNICODE, quote
 from .lines import LONG_TXN_WINDOW
 
 
@@ -214,15 +210,20 @@ LOOP_RULES: tuple[WindowRule, ...] = (
 )
 
 
-# --- compilation ---------------------------------------------------------------
+# --- compilation to SQL conditions ----------------------------------------------
+
+
+def search(expr: str, pattern: str, flags: str = NOCASE) -> str:
+    return f"{expr} RLIKE {quote(flags + pattern)}"
 
 
-def _and(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def contains_any(expr: str, words) -> str:
+    return "(" + " OR ".join(f"contains({expr}, {word(w)})" for w in words) + ")"
 
 
-def _or(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def word(text: str) -> str:
+    """A word as a literal; ``${`` is kept away from variable substitution."""
+    return quote(text) if "${" not in text else "concat('$', " + quote(text.replace("$", "", 1)) + ")"
 
 
 def window_column(span: tuple[int, int]) -> str:
@@ -234,15 +235,12 @@ def windows_of(rules) -> list[tuple[int, int]]:
     return sorted({r.window for r in rules if r.window})
 
 
-def contains_any(col: Column, words) -> Column:
-    return _or([col.contains(w) for w in words])
-
-
-def route_condition(detector: Detector) -> Column | None:
-    return F.col("route_language").isin(*detector.routes) if detector.routes else None
+def route_condition(detector: Detector) -> str:
+    routes = ", ".join(quote(r) for r in detector.routes)
+    return f"route_language IN ({routes})" if routes else "true"
 
 
-def gate_condition(rules, folded: Column) -> Column:
+def gate_condition(rules, folded: str) -> str:
     """Necessary for any of ``rules``: one of its words, in a file of its language."""
     tests: dict[tuple[str, str | None], set[str]] = {}
     for r in rules:
@@ -253,30 +251,29 @@ def gate_condition(rules, folded: Column) -> Column:
         # a word is redundant when another one is part of it
         words = {w for w in words if not any(o != w and o in w for o in words)}
         cond = contains_any(folded, sorted(words))
-        parts.append(cond if language is None else (F.col(column) == language) & cond)
-    return _or(parts)
+        parts.append(cond if language is None else f"({column} = {quote(language)} AND {cond})")
+    return "(" + " OR ".join(parts) + ")"
 
 
-def rule_condition(rule: Rule) -> Column:
+def rule_condition(rule: Rule) -> str:
     """Condition over the columns line, *_language, route_language, is_mongo and windows."""
     det = DETECTORS[rule.detector]
-    line = F.col("line")
-    tests: list[Column] = []
+    tests: list[str] = []
     if rule.language is not None:
-        tests.append(F.col(f"{det.language}_language") == rule.language)
-    route = route_condition(det)
-    if route is not None:
-        tests.append(route)
+        tests.append(f"{det.language}_language = {quote(rule.language)}")
+    if det.routes:
+        tests.append(route_condition(det))
     if det.mongo_files_only:
-        tests.append(F.col("is_mongo"))
-    tests += [~line.contains(w) for w in rule.lacks]
-    tests += [~F.lower(line).contains(w) for w in rule.lacks_lower]
-    tests.append(_or(
-        [rx(line, p) for p in rule.any_of] + [rx_case(line, p) for p in rule.case_sensitive]
-    ))
-    tests += [~rx(line, p) for p in rule.none_of + rule.after]
+        tests.append("is_mongo")
+    tests += [f"NOT contains(line, {word(w)})" for w in rule.lacks]
+    tests += [f"NOT contains(lower(line), {word(w)})" for w in rule.lacks_lower]
+    tests.append("(" + " OR ".join(
+        [search("line", p) for p in rule.any_of]
+        + [search("line", p, UNICODE) for p in rule.case_sensitive]
+    ) + ")")
+    tests += ["NOT " + search("line", p) for p in rule.none_of + rule.after]
     if rule.window:
-        window = F.col(window_column(rule.window))
-        tests += [~window.contains(w) for w in rule.window_lacks]
-        tests += [~F.upper(window).contains(w) for w in rule.window_lacks_upper]
-    return _and(tests)
+        window = window_column(rule.window)
+        tests += [f"NOT contains({window}, {word(w)})" for w in rule.window_lacks]
+        tests += [f"NOT contains(upper({window}), {word(w)})" for w in rule.window_lacks_upper]
+    return " AND ".join(tests)

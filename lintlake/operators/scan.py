@@ -8,20 +8,20 @@ optional merge with the flow checks, whatever the number of rules.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed import HIGH, MONGODB
+from ..fixed import HIGH, MONGODB, SEVERITY_OF_TYPE
 from ..functions.lang import (
-    concat_language, is_mongo_file, platform, route_language, rule_language, severity,
+    concat_language, is_mongo_file, platform, route_language, rule_language,
+)
+from ..functions.text import (
+    NOCASE_DOTALL, fold_sql, is_blank, quote, split_lines, strip, strip_sql,
 )
-from ..functions.text import fold, is_blank, rx_dotall, split_lines, strip
 from .lines import UNBATCHED_WINDOW, context_after, context_before, window_text
 from .rules import (
     DETECTORS, LOOP_RULES, RULES, UNBATCHED_TEXT, WindowRule, contains_any, gate_condition,
-    route_condition, rule_condition, window_column, windows_of,
+    route_condition, rule_condition, search, window_column, windows_of,
 )
 
 VIOLATION_COLUMNS = (
@@ -37,117 +37,107 @@ _FILE_COLUMNS = (
 
 def with_file_columns(files: DataFrame) -> DataFrame:
     """Languages, platforms and gates, once per file."""
-    path, low = F.col("file_path"), F.lower(F.col("content"))
     if "route_language" not in files.columns:
-        files = files.withColumn("route_language", route_language(path))
-    return files.where(F.col("route_language").isNotNull()).select(
+        files = files.withColumn("route_language", route_language())
+    return files.where("route_language is not null").select(
         "file_path", "route_language", "content",
-        rule_language(path).alias("rule_language"),
-        concat_language(path).alias("concat_language"),
-        platform(low, path).alias("platform_base"),
-        platform(low, path, "select").alias("platform_select"),
-        platform(low, path, "longtxn").alias("platform_longtxn"),
+        rule_language().alias("rule_language"),
+        concat_language().alias("concat_language"),
+        platform().alias("platform_base"),
+        platform(variant="select").alias("platform_select"),
+        platform(variant="longtxn").alias("platform_longtxn"),
         F.lit(MONGODB).alias("platform_mongo"),
-        is_mongo_file(low, path).alias("is_mongo"),
+        is_mongo_file().alias("is_mongo"),
     )
 
 
-def _matching_windows(rule: WindowRule) -> Column:
-    lines, folds = F.col("lines"), F.col("folds")
-    calls = F.filter(
-        F.sequence(F.lit(1), F.size(folds)),
-        lambda n: contains_any(F.element_at(folds, n), rule.call_words),
-    )
-    near = F.array_distinct(F.flatten(F.transform(
-        calls, lambda n: F.sequence(F.greatest(n - UNBATCHED_WINDOW[1], F.lit(1)), n)
-    )))
-    return F.filter(
-        near, lambda n: rx_dotall(window_text(lines, n, UNBATCHED_WINDOW), rule.pattern)
-    )
+_NO_LINES = "cast(array() as array<int>)"
 
 
-def _loop_lines(loop_rules) -> Column:
+def _matching_windows(rule: WindowRule) -> str:
     """Ascending numbers of the lines whose 16-line window matches a loop rule.
 
     Only windows that hold a line with one of the rule's call words are tested.
     """
-    out = F.array().cast("array<int>")
-    for rule in loop_rules:
-        out = F.when(F.col("rule_language") == rule.language, _matching_windows(rule)).otherwise(out)
-    return F.when(route_condition(DETECTORS["unbatched"]), out).otherwise(
-        F.array().cast("array<int>")
+    calls = (
+        f"filter(sequence(1, size(folds)), n -> "
+        f"{contains_any('element_at(folds, n)', rule.call_words)})"
     )
+    near = (
+        f"array_distinct(flatten(transform({calls}, "
+        f"n -> sequence(greatest(n - {UNBATCHED_WINDOW[1]}, 1), n))))"
+    )
+    return f"filter({near}, n -> {search(window_text(UNBATCHED_WINDOW), rule.pattern, NOCASE_DOTALL)})"
 
 
-def _first_per_bucket(numbers: Column) -> Column:
-    """Of ascending line numbers, the first of each group of ten."""
-    return F.filter(
-        numbers,
-        lambda n, i: (i == 0) | (F.floor(n / 10) != F.floor(F.get(numbers, i - 1) / 10)),
+def _loop_lines(loop_rules) -> str:
+    whens = " ".join(
+        f"WHEN rule_language = {quote(r.language)} THEN {_matching_windows(r)}" for r in loop_rules)
+    return (
+        f"CASE WHEN NOT ({route_condition(DETECTORS['unbatched'])}) THEN {_NO_LINES} "
+        f"{whens} ELSE {_NO_LINES} END"
     )
 
 
+# of ascending line numbers, the first of each group of ten
+_FIRST_PER_BUCKET = (
+    "filter(loop_all, (n, i) -> i = 0 OR n div 10 <> get(loop_all, i - 1) div 10)"
+)
+
+
 def candidate_lines(files: DataFrame, rules=RULES, loop_rules=LOOP_RULES,
                     strict_blank: bool = True) -> DataFrame:
     """Lines on which some rule may match, with windows and contexts."""
-    lines, folds = F.col("lines"), F.col("folds")
-    df = with_file_columns(files).withColumn("folded", fold(F.col("content")))
+    df = with_file_columns(files).withColumn("folded", F.expr(fold_sql("content")))
 
     # files without any rule word never get split
-    file_gates = []
-    if rules:
-        file_gates.append(gate_condition(rules, F.col("folded")))
-    for r in loop_rules:
-        file_gates.append(
-            (F.col("rule_language") == r.language) & contains_any(F.col("folded"), r.call_words)
-        )
-    df = df.where(reduce(lambda a, b: a | b, file_gates)).select(
+    gates = [gate_condition(rules, "folded")] if rules else []
+    gates += [
+        f"(rule_language = {quote(r.language)} AND {contains_any('folded', r.call_words)})"
+        for r in loop_rules
+    ]
+    df = df.where(" OR ".join(gates)).select(
         *_FILE_COLUMNS, split_lines(F.col("content")).alias("lines"),
         split_lines(F.col("folded")).alias("folds"),
     )
 
-    loops = F.array().cast("array<int>")
+    loops = _NO_LINES
     if loop_rules:
-        df = df.withColumn("loop_all", _loop_lines(loop_rules))
-        df = df.withColumn("loop_first", _first_per_bucket(F.col("loop_all")))
-        loops = F.col("loop_first")
+        df = df.withColumn("loop_all", F.expr(_loop_lines(loop_rules)))
+        df = df.withColumn("loop_first", F.expr(_FIRST_PER_BUCKET))
+        loops = "loop_first"
         if strict_blank:
             # one blank reported line discards the loop findings of the whole file
-            loops = F.when(
-                F.exists(loops, lambda n: is_blank(F.element_at(lines, n))),
-                F.array().cast("array<int>"),
-            ).otherwise(loops)
-    df = df.withColumn("loops", loops)
+            loops = (
+                f"CASE WHEN exists(loop_first, n -> {strip_sql('element_at(lines, n)')} = '') "
+                f"THEN {_NO_LINES} ELSE loop_first END"
+            )
+    df = df.withColumn("loops", F.expr(loops))
 
-    gated = F.array().cast("array<int>")
+    gated = _NO_LINES
     if rules:
-        gated = F.filter(
-            F.sequence(F.lit(1), F.size(folds)),
-            lambda n: gate_condition(rules, F.element_at(folds, n)),
+        gated = (
+            f"filter(sequence(1, size(folds)), n -> {gate_condition(rules, 'element_at(folds, n)')})"
         )
-    return df.select(*_FILE_COLUMNS, F.explode(F.transform(
-        F.array_union(gated, F.col("loops")),
-        lambda n: F.struct(
-            n.alias("line_number"),
-            F.element_at(lines, n).alias("line"),
-            F.array_contains(F.col("loops"), n).alias("is_loop"),
-            context_before(lines, n).alias("context_before"),
-            context_after(lines, n).alias("context_after"),
-            *[window_text(lines, n, w).alias(window_column(w)) for w in windows_of(rules)],
-        ),
-    )).alias("c")).select(*_FILE_COLUMNS, "c.*")
-
-
-def _hit(detector_name: str, description: str) -> Column:
+    fields = {
+        "line_number": "n", "line": "element_at(lines, n)", "is_loop": "array_contains(loops, n)",
+        "context_before": context_before(), "context_after": context_after(),
+        **{window_column(w): window_text(w) for w in windows_of(rules)},
+    }
+    pairs = ", ".join(f"'{name}', {expr}" for name, expr in fields.items())
+    return df.select(*_FILE_COLUMNS, F.expr(
+        f"explode(transform(array_union({gated}, loops), n -> named_struct({pairs})))"
+    ).alias("c")).select(*_FILE_COLUMNS, "c.*")
+
+
+def _hit(detector_name: str, condition: str, description: str) -> str:
     det = DETECTORS[detector_name]
-    return F.struct(
-        F.lit(det.violation_type).alias("violation_type"),
-        severity(F.lit(det.violation_type)).alias("severity"),
-        F.col(f"platform_{det.platform}").alias("platform"),
-        F.col(f"{det.language}_language").alias("language"),
-        F.lit(description).alias("description"),
-        F.lit(det.confidence).alias("confidence_score"),
-        F.lit(det.ord).alias("detector_ord"),
+    level = SEVERITY_OF_TYPE.get(det.violation_type, HIGH)
+    return (
+        f"CASE WHEN {condition} THEN named_struct('violation_type', '{det.violation_type}', "
+        f"'severity', '{level}', 'platform', platform_{det.platform}, "
+        f"'language', {det.language}_language, 'description', {quote(description)}, "
+        f"'confidence_score', {det.confidence}D, 'detector_ord', {det.ord}) END"
     )
 
 
@@ -155,23 +145,21 @@ def scan_lines(files: DataFrame, rules=RULES, loop_rules=LOOP_RULES,
                strict_blank: bool = True) -> DataFrame:
     """Violations of the line and loop rules: one narrow stage, no exchange."""
     candidates = candidate_lines(files, rules, loop_rules, strict_blank)
-    by_detector: dict[str, list[Column]] = {}
+    by_detector: dict[str, list[str]] = {}
     for rule in rules:
         by_detector.setdefault(rule.detector, []).append(
-            F.when(rule_condition(rule), _hit(rule.detector, rule.description))
-        )
+            _hit(rule.detector, rule_condition(rule), rule.description))
     if loop_rules:
-        by_detector["unbatched"] = [
-            F.when(F.col("is_loop"), _hit("unbatched", UNBATCHED_TEXT))
-        ]
+        by_detector["unbatched"] = [_hit("unbatched", "is_loop", UNBATCHED_TEXT)]
+    # at most one hit per detector and line: the first branch that matches
     per_detector = [
-        F.coalesce(*branches) if len(branches) > 1 else branches[0]
+        f"coalesce({', '.join(branches)})"
         for _, branches in sorted(by_detector.items(), key=lambda kv: DETECTORS[kv[0]].ord)
     ]
     return (
         candidates.select(
             "file_path", "line_number", "line", "context_before", "context_after",
-            F.explode(F.array(*per_detector)).alias("hit"),
+            F.expr(f"explode(array({', '.join(per_detector)}))").alias("hit"),
         )
         .where("hit is not null")
         .select("file_path", "line_number", strip(F.col("line")).alias("line_content"),
@@ -246,7 +234,7 @@ def all_facets(violations: DataFrame, *keys: str) -> DataFrame:
 def totals(files: DataFrame, violations: DataFrame) -> DataFrame:
     """One row: scanned files (clean ones too) and violations."""
     scanned = files if "route_language" in files.columns else files.withColumn(
-        "route_language", route_language(F.col("file_path")))
+        "route_language", route_language())
     f = scanned.where("route_language is not null").agg(
         F.count(F.lit(1)).alias("total_files_scanned"))
     v = violations.agg(F.count(F.lit(1)).alias("total_violations"))

@@ -7,17 +7,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import (
     CSHARP, JAVA, LONG_RUNNING_TXN, PYTHON, READ_PREFERENCE, SELECT_STAR, SQL, STRING_CONCAT_SQL,
 )
-from ..functions.text import fold, rx, rx_case, split_lines
+from ..functions.text import NOCASE, UNICODE, fold_sql, quote, split_lines
 from .lines import SQL_PACK_WINDOW, window_text
 from .rules import (
     BEGIN_RX, CS_CONCAT_RX, COUNT_STAR_RX, EXISTS_STAR_RX, JAVA_CONCAT_RX, MAPPER_RX,
-    SELECT_STAR_RX, SQL_CONCAT_RX, contains_any,
+    SELECT_STAR_RX, SQL_CONCAT_RX, contains_any, search,
 )
 from .scan import with_file_columns
 
@@ -93,58 +93,43 @@ PACK_WORDS = {
 }
 
 
-def _condition(rule: PackRule) -> Column:
-    line = F.col("line")
-    cond = rx_case(line, rule.pattern) if rule.case_sensitive else rx(line, rule.pattern)
-    for pattern in rule.none_of:
-        cond = cond & ~rx(line, pattern)
+def _condition(rule: PackRule) -> str:
+    tests = [search("line", rule.pattern, UNICODE if rule.case_sensitive else NOCASE)]
+    tests += ["NOT " + search("line", p) for p in rule.none_of]
     if rule.also_case:
-        cond = cond & rx_case(line, rule.also_case)
-    for word in rule.lacks:
-        cond = cond & ~line.contains(word)
-    for word in rule.lacks_lower:
-        cond = cond & ~F.lower(line).contains(word)
+        tests.append(search("line", rule.also_case, UNICODE))
+    tests += [f"NOT contains(line, {quote(w)})" for w in rule.lacks]
+    tests += [f"NOT contains(lower(line), {quote(w)})" for w in rule.lacks_lower]
     if rule.lacks_in:
-        cond = cond & ~F.col(rule.lacks_in[0]).contains(rule.lacks_in[1])
+        tests.append(f"NOT contains({rule.lacks_in[0]}, {quote(rule.lacks_in[1])})")
     if rule.lacks_in_upper:
-        cond = cond & ~F.upper(F.col(rule.lacks_in_upper[0])).contains(rule.lacks_in_upper[1])
-    return cond
+        tests.append(f"NOT contains(upper({rule.lacks_in_upper[0]}), {quote(rule.lacks_in_upper[1])})")
+    return " AND ".join(tests)
 
 
 def secondary_hits(files: DataFrame, language: str | None = None) -> DataFrame:
     """Hits of the pack for one language or all; narrow, no exchange."""
     languages = [language] if language else list(PACK)
-    lines, folds, lang = F.col("lines"), F.col("folds"), F.col("rule_language")
     df = (
-        with_file_columns(files).where(lang.isin(*languages))
+        with_file_columns(files).where(F.col("rule_language").isin(*languages))
         .select("file_path", "rule_language", split_lines(F.col("content")).alias("lines"),
-                split_lines(fold(F.col("content"))).alias("folds"))
+                F.expr(f"split({fold_sql('content')}, '\\n', -1)").alias("folds"))
     )
-
-    def wanted(n: Column) -> Column:
-        cond = F.lit(False)
-        for name in languages:
-            cond = cond | ((lang == name) & contains_any(F.element_at(folds, n), PACK_WORDS[name]))
-        return cond
-
-    rows = df.select("file_path", "rule_language", F.explode(F.transform(
-        F.filter(F.sequence(F.lit(1), F.size(lines)), wanted),
-        lambda n: F.struct(
-            n.alias("line_number"),
-            F.element_at(lines, n).alias("line"),
-            window_text(lines, n, AHEAD_WINDOW).alias("ahead"),
-            F.coalesce(F.get(lines, n), F.element_at(lines, n)).alias("next_line"),
-            window_text(lines, n, SQL_PACK_WINDOW).alias("around"),
-        ),
-    )).alias("c")).select("file_path", "rule_language", "c.*")
-
-    hits = F.array(*[
-        F.when((lang == name) & _condition(rule), F.struct(
-            F.lit(rule.violation_type).alias("violation_type"), F.lit(i).alias("emit_ord")))
-        for name in languages for i, rule in enumerate(PACK[name], 1)
-    ])
+    wanted = " OR ".join(
+        f"(rule_language = {quote(name)} AND {contains_any('element_at(folds, n)', PACK_WORDS[name])})"
+        for name in languages)
+    rows = df.select("file_path", "rule_language", F.expr(
+        f"explode(transform(filter(sequence(1, size(lines)), n -> {wanted}), n -> named_struct("
+        f"'line_number', n, 'line', element_at(lines, n), 'ahead', {window_text(AHEAD_WINDOW)}, "
+        f"'next_line', coalesce(get(lines, n), element_at(lines, n)), "
+        f"'around', {window_text(SQL_PACK_WINDOW)})))"
+    ).alias("c")).select("file_path", "rule_language", "c.*")
+    hits = ", ".join(
+        f"CASE WHEN rule_language = {quote(name)} AND {_condition(rule)} THEN "
+        f"named_struct('violation_type', '{rule.violation_type}', 'emit_ord', {i}) END"
+        for name in languages for i, rule in enumerate(PACK[name], 1))
     return (
-        rows.select("file_path", "line_number", "line", F.explode(hits).alias("h"))
+        rows.select("file_path", "line_number", "line", F.expr(f"explode(array({hits}))").alias("h"))
         .where("h is not null")
         .select("file_path", "line_number", "h.violation_type", "line", "h.emit_ord")
     )
