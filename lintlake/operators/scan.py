@@ -85,6 +85,29 @@ _FIRST_PER_BUCKET = (
 )
 
 
+def loop_matches(files: DataFrame, loop_rules=LOOP_RULES) -> DataFrame:
+    """Every line whose window matches a loop rule, before one per ten lines is kept."""
+    return (
+        with_file_columns(files)
+        .select("file_path", "route_language", "rule_language",
+                split_lines(F.col("content")).alias("lines"),
+                F.expr(f"split({fold_sql('content')}, '\\n', -1)").alias("folds"))
+        .select("file_path", F.expr(f"explode({_loop_lines(loop_rules)})").alias("line_number"))
+    )
+
+
+def language_routes(files: DataFrame) -> DataFrame:
+    """(file_path, detector): which detectors see a file."""
+    names = ", ".join(
+        f"CASE WHEN {route_condition(d)} THEN '{name}' END" for name, d in DETECTORS.items())
+    flow = "CASE WHEN route_language IN ('C#', 'JAVA', 'PYTHON') THEN 'flow' END"
+    return (
+        with_file_columns(files)
+        .select("file_path", F.expr(f"explode(array({names}, {flow}))").alias("detector"))
+        .where("detector is not null")
+    )
+
+
 def candidate_lines(files: DataFrame, rules=RULES, loop_rules=LOOP_RULES,
                     strict_blank: bool = True) -> DataFrame:
     """Lines on which some rule may match, with windows and contexts."""
@@ -243,16 +266,20 @@ def totals(files: DataFrame, violations: DataFrame) -> DataFrame:
 
 
 def type_counts(violations: DataFrame) -> DataFrame:
-    """Count per type, most frequent first, ties in order of first appearance."""
+    """Count per type with the place of its first finding, which breaks ties."""
     first = F.min(F.struct("file_path", "detector_ord", "emit_ord"))
     return (
         violations.groupBy("violation_type")
         .agg(F.count(F.lit(1)).alias("n"), first.alias("first_seen"))
         .withColumn("severity", F.lit(HIGH))
-        .orderBy(F.desc("n"), "first_seen").drop("first_seen")
     )
 
 
+def most_common_types(violations: DataFrame) -> DataFrame:
+    """Most frequent type first, ties in order of first appearance."""
+    return type_counts(violations).orderBy(F.desc("n"), "first_seen").drop("first_seen")
+
+
 def gate_decision(files: DataFrame, violations: DataFrame, *keys: str) -> DataFrame:
     """Per artefact whether approval is required; artefacts without findings appear too."""
     keys = keys or ("file_path",)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,10 +54,3 @@ def cut_lineage(spark: SparkSession, df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
-
-
-def local_path(path: str) -> str | None:
-    """Path on a mounted file system, or None for an object-store or HDFS address."""
-    if path.startswith("file:"):
-        return path[len("file:"):].replace("//", "", 1) if path.startswith("file://") else path[5:]
-    return None if "://" in path else os.path.abspath(path)
