@@ -294,22 +294,25 @@ def statements(files: DataFrame) -> DataFrame:
 # Headers that open something else than a statement block.
 _JAVA_NOT_BLOCK = (
     r"\b(?:class|interface|enum|record)\s+\w+", r"\bswitch\s*\(", r"[=\]]\s*\{$",
-    r"\bnew\s+[\w.<>, ]+\s*\([^{]*\)\s*\{$",
-    r"^(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private)\s+)?(?:<[^>]*>\s*)?"
-    r"[A-Z]\w*\s*\([^)]*\)\s*(?:throws\s+[\w.,\s]+)?\{$",
+    r"\bnew\s+[\w.<>, ]+\s*" + ARGS + r"\s*\{$",
+    r"^(?:@\w+(?:" + ARGS + r")?\s+)*(?:(?:public|protected|private)\s+)?(?:<[^>]*>\s*)?"
+    r"[A-Z]\w*\s*" + ARGS + r"\s*(?:throws\s+[\w.,\s]+)?\{$",
 )
 _CS_NOT_BLOCK = (
     r"\b(?:class|struct|interface|enum|record|namespace)\s+\w+", r"\bswitch\b",
-    r"[=\]]\s*\{$", r"\bnew\b[\w\s.<>,\[\]?]*(?:\([^{]*\))?\s*\{$",
+    r"[=\]]\s*\{$", r"\bnew\b[\w\s.<>,\[\]?]*(?:" + ARGS + r")?\s*\{$",
     # a property: a name without parameters
     r"^(?!(?:else|try|finally|do|get|set|init|add|remove|checked|unchecked|unsafe|catch)\b)"
     r"[^()]*\w\s*\{$",
 )
+# statements without braces that may stand before a loop: if (..) for (..) ..
+_BEFORE_LOOP = r"(?:(?:\w+\s*:(?!:)|else\b|(?:if|using|lock|fixed|synchronized)\s*" + ARGS + r")\s*)*"
 _LOOP_START = {
-    JAVA: r"^(?:\w+\s*:\s*)?(?:for|while)\s*\(",
-    CSHARP: r"^(?:await\s+)?(?:for|foreach|while)\s*\(",
+    JAVA: "^" + _BEFORE_LOOP + r"(?:for|while)\s*\(",
+    CSHARP: "^" + _BEFORE_LOOP + r"(?:await\s+)?(?:for|foreach|while)\s*\(",
     PYTHON: r"^(?:async\s+)?(?:for|while)\b",
 }
+_DO_TAIL = r"^while\s*" + ARGS + r"\s*;$"
 
 
 def _search_any(expr: str, patterns) -> str:
@@ -336,7 +339,10 @@ def with_ranges(stmts: DataFrame) -> DataFrame:
         .withColumn("prev_indent", F.lag("indent").over(by_file))
         .withColumn("prev_off", F.lag("end_off").over(by_file))
         .withColumn("file_off", F.max("end_off").over(Window.partitionBy("file_path")))
-        .withColumn("is_loop", F.expr(_IS_LOOP))
+        .withColumn("prev_term", F.lag("term").over(by_file))
+        # the condition of do { .. } while (..); is no loop of its own
+        .withColumn("is_loop", F.expr(
+            f"{_IS_LOOP} AND NOT (coalesce(prev_term = '}}', false) AND {_search('code', _DO_TAIL)})"))
         .withColumn("is_scope", F.expr(_IS_SCOPE))
         .withColumn("closed", F.expr(
             f"CASE WHEN {_PY} THEN if(indent <= prev_indent, sequence(indent, prev_indent), null) "
@@ -480,11 +486,15 @@ def _loop_facts(name: str, calls: tuple[str, ...]) -> str:
     """One interval per call pattern; the first pattern that has an event names the hit."""
     pairs = "array(" + ", ".join(
         f"named_struct('k', {i}, 'call', {quote(c)})" for i, c in enumerate(calls)) + ")"
-    whole = "concat(lead, coalesce(ahead, ''))"
-    size = "cast(coalesce(last_off, end_off) - end_off + length(lead) as int)"
+    # code and lead are aligned, so what stands before the loop keyword can be measured
+    skip = "0" if name == "py_loop" else f"length({_first_match('code', '^(' + _BEFORE_LOOP + ')')})"
+    loop = f"substring(lead, {skip} + 1)"
+    line = "line" if skip == "0" else f"line + {_newlines(f'substring(lead, 1, {skip})')}"
+    whole = f"concat({loop}, coalesce(ahead, ''))"
+    size = f"cast(coalesce(last_off, end_off) - end_off + length({loop}) as int)"
     quoted = f"substring({strip_sql(f'substring({whole}, 1, {size})')}, 1, 120)"
     shown = "p.call" if name == "java_loop" else "regexp_replace(p.call, '[(]$', '')"
-    common = {"name": quote(name), "line": "line", "quoted": quoted, "k": "p.k", "word": shown}
+    common = {"name": quote(name), "line": line, "quoted": quoted, "k": "p.k", "word": shown}
     inside = _fact(
         key="concat('loop ', p.k)", expect="true", hi="coalesce(last_no, no) * 2 + 1",
         pos="(no + 1) * 2" if name == "py_loop" else "no * 2 + 1", **common)

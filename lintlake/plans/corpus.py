@@ -51,7 +51,7 @@ SNIPPETS: dict[str, list[list[str]]] = {
     ".java": [
         ['String q = "SELECT * FROM account{u}";'],
         ['em.createQuery("SELECT id FROM t{u} WHERE a=" + v);'],
-        ["@Transactional"],
+        ["@Transactional", "void save{u}() { }"],
         ["for (Object o : items) {", "    em.persist(o);", "}"],
         ["Statement st = conn.createStatement();"],
         ["MongoClient c = MongoClient.create(uri{u});"],
@@ -62,7 +62,8 @@ SNIPPETS: dict[str, list[list[str]]] = {
         ["Statement st = connection.createStatement();", "st.setQueryTimeout(5);",
          "OracleConnection oc{u};"],
         ["", "while (more) {", "  st.executeUpdate(u{u});", "}"],
-        ["@Transactional(readOnly = true)", "MongoClientSettings.from(u{u}).readPreference(p);"],
+        ["@Transactional(readOnly = true)", "void read{u}() { }",
+         "MongoClientSettings.from(u{u}).readPreference(p);"],
         ["void run{u}() {", "  Statement s = conn.createStatement();",
          '  s.executeQuery("SELECT id FROM t{u} WHERE b=" + b);', "}",
          'String p = "${name{u}}";'],

