@@ -49,7 +49,7 @@ def strip_sql(expr: str) -> str:
 
 
 def fold_sql(expr: str) -> str:
-    return f"lower(upper(translate({expr}, 'İ', 'I')))"
+    return f"lower(translate({expr}, 'İıſK', 'iisk'))"
 
 
 def is_blank(col: Column) -> Column:
@@ -57,8 +57,9 @@ def is_blank(col: Column) -> Column:
 
 
 def fold(col: Column) -> Column:
-    """Lower case after upper case, so that long s, Kelvin sign and dotted I fold like in a regex."""
-    return F.lower(F.upper(F.translate(col, "İ", "I")))
+    """Lower case in which long s, the Kelvin sign and the dotted and dotless I are plain letters,
+    as a case-insensitive regex takes them."""
+    return F.lower(F.translate(col, "İıſK", "iisk"))
 
 
 def normalise_newlines(col: Column) -> Column:

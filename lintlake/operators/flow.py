@@ -65,7 +65,8 @@ _QUOTED = r'"(?:[^"\\]|\\.)*+"|' + r"'(?:[^'\\]|\\.)*+'"
 ARGS = r"\((?:[^()\"']|" + _QUOTED + r")*+\)"
 for _ in range(3):
     ARGS = r"\((?:[^()\"']|" + _QUOTED + "|" + ARGS + r")*+\)"
-_CHAIN = r"(?:\w+(?:\s*" + ARGS + r")?\s*\.\s*)*"
+# receiver of a call; reluctant, so that every call of a chain gets its turn
+_CHAIN = r"(?:\w+(?:\s*" + ARGS + r")?\s*\.\s*)*?"
 
 # --- fixed values: patterns, messages and confidences of the checks ---------------
 
@@ -624,7 +625,7 @@ def _py_facts() -> list[str]:
         _var_events(contains_any("raw", ("execute", "query(", "text(")),
                     (PY_SINK, False), (PY_SINK_CLOSED, False), (PY_SINK_OPEN, True)),
         _calls(_search("code", r"\.(?:execute|query|run)\w*\s*\("), "py_fstring",
-               r"(?:\w+(?:" + ARGS + r")?\s*\.\s*)+(?:execute|query|run)\w*" + ARGS,
+               r"(?:\w+(?:" + ARGS + r")?\s*\.\s*)+?(?:execute|query|run)\w*" + ARGS,
                f"exists({_all_matches(call_args, fstring, 1)}, g -> {_search('g', SQL_WORD, NOCASE)})"),
         _loop_facts("py_loop", PY_LOOP_CALLS),
         _loop_events(PY_LOOP_CALLS),

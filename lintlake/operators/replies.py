@@ -213,15 +213,15 @@ def run(violations: DataFrame, classify: DataFrame | None, fix: DataFrame,
 
 def run_stats(violations: DataFrame | None, generated: DataFrame, approved: DataFrame) -> DataFrame:
     """One row of counts: classified, generated (not empty), approved, rejected."""
-    def one(df: DataFrame | None, *aggs: Column) -> DataFrame:
-        return df.agg(*aggs).withColumn("one", F.lit(1))
-
-    count = F.count(F.lit(1))
-    out = one(generated, F.count_if(F.col("fixed_code") != "").alias("fixes_generated"),
-              count.alias("all_fixes")).join(one(approved, count.alias("fixes_approved")), "one")
-    if violations is None:
-        out = out.withColumn("violations_classified", F.lit(0).cast("long"))
-    else:
-        out = out.join(one(violations, count.alias("violations_classified")), "one")
-    return out.select("violations_classified", "fixes_generated", "fixes_approved",
-                      (F.col("all_fixes") - F.col("fixes_approved")).alias("fixes_rejected"))
+    marks = generated.select(F.when(F.col("fixed_code") != "", "full").otherwise("empty").alias("kind"))
+    marks = marks.unionByName(approved.select(F.lit("approved").alias("kind")))
+    if violations is not None:
+        marks = marks.unionByName(violations.select(F.lit("classified").alias("kind")))
+
+    def n(*kinds: str) -> Column:
+        return F.count_if(F.col("kind").isin(*kinds))
+
+    return marks.agg(
+        n("classified").alias("violations_classified"), n("full").alias("fixes_generated"),
+        n("approved").alias("fixes_approved"),
+        (n("full", "empty") - n("approved")).alias("fixes_rejected"))

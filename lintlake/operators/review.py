@@ -150,9 +150,9 @@ def pr_body_lines(fixes: DataFrame, *keys: str, variant: str = "library",
     counts = fixes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     intro = _fill(text["intro"], F.col("n"))
     if variant == "web" and totals is not None:
-        # totals is one row
-        counts = counts.crossJoin(F.broadcast(totals)) if not keys else counts.join(
-            totals, list(keys), "left")
+        both = counts.unionByName(totals, allowMissingColumns=True)
+        counts = both.groupBy(*keys).agg(*[
+            F.max(c).alias(c) for c in ("n", "total_violations", "total_files_scanned")])
         intro = F.concat(intro, _fill(text["summary"], F.col("total_violations"),
                                       F.col("total_files_scanned")))
     no_ord = F.struct(F.lit("").alias("file_path"), F.lit(0).alias("detector_ord"),

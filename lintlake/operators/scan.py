@@ -258,11 +258,11 @@ def totals(files: DataFrame, violations: DataFrame) -> DataFrame:
     """One row: scanned files (clean ones too) and violations."""
     scanned = files if "route_language" in files.columns else files.withColumn(
         "route_language", route_language())
-    f = scanned.where("route_language is not null").agg(
-        F.count(F.lit(1)).alias("total_files_scanned"))
-    v = violations.agg(F.count(F.lit(1)).alias("total_violations"))
-    # two one-row relations side by side
-    return f.withColumn("one", F.lit(1)).join(v.withColumn("one", F.lit(1)), "one").drop("one")
+    marks = scanned.where("route_language is not null").select(F.lit("file").alias("kind")).unionByName(
+        violations.select(F.lit("violation").alias("kind")))
+    return marks.agg(
+        F.count_if(F.col("kind") == "file").alias("total_files_scanned"),
+        F.count_if(F.col("kind") == "violation").alias("total_violations"))
 
 
 def type_counts(violations: DataFrame) -> DataFrame:
