@@ -171,16 +171,16 @@ ORDER = ("file_path", "detector_ord", "emit_ord")
 def select_batch(violations: DataFrame, limit: int = MAX_FIX_BATCH) -> DataFrame:
     """All CRITICAL first, then the first HIGH of each type no CRITICAL has; the first ``limit``.
 
-    The first HIGH per type is an aggregate with map-side combine (there are five types),
-    the limit a top-k, so nothing is collected into one task.
+    The HIGH part is one aggregate over five types with map-side combine, the limit a top-k,
+    so nothing is collected into one task.
     """
     critical = violations.where(F.col("severity") == CRITICAL).withColumn("tier", F.lit(0))
-    high = violations.where(F.col("severity") == HIGH)
-    columns = F.struct(*high.columns)
+    is_high = F.col("severity") == HIGH
     first_high = (
-        high.groupBy("violation_type").agg(F.min_by(columns, F.struct(*ORDER)).alias("v"))
-        .join(critical.select("violation_type").distinct(), "violation_type", "left_anti")
-        .select("v.*").withColumn("tier", F.lit(1))
+        violations.groupBy("violation_type").agg(
+            F.bool_or(F.col("severity") == CRITICAL).alias("has_critical"),
+            F.min_by(F.struct(*violations.columns), F.when(is_high, F.struct(*ORDER))).alias("v"))
+        .where("NOT has_critical").select("v.*").withColumn("tier", F.lit(1))
     )
     return critical.unionByName(first_high).orderBy("tier", *ORDER).limit(limit)
 

@@ -6,6 +6,7 @@ in the scan changes and no Python runs per line.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from ..fixed import (
@@ -240,19 +241,28 @@ def route_condition(detector: Detector) -> str:
     return f"route_language IN ({routes})" if routes else "true"
 
 
+# rule languages a file can have when its mapper-aware language is the key
+_RULE_LANGUAGES = {CSHARP: (CSHARP,), JAVA: (JAVA, SQL), PYTHON: (PYTHON,), SQL: (SQL,)}
+
+
 def gate_condition(rules, folded: str) -> str:
-    """Necessary for any of ``rules``: one of its words, in a file of its language."""
-    tests: dict[tuple[str, str | None], set[str]] = {}
-    for r in rules:
-        column = f"{DETECTORS[r.detector].language}_language"
-        tests.setdefault((column, r.language), set()).update(r.needs)
-    parts = []
-    for (column, language), words in tests.items():
+    """Necessary for any of ``rules``: the folded text holds a word of a rule of its language.
+
+    One alternation of plain words per language, so a text is searched once.
+    """
+    whens = []
+    for language, rule_languages in _RULE_LANGUAGES.items():
+        words: set[str] = set()
+        for r in rules:
+            own = (language,) if DETECTORS[r.detector].language == "concat" else rule_languages
+            if r.language is None or r.language in own:
+                words |= set(r.needs)
         # a word is redundant when another one is part of it
         words = {w for w in words if not any(o != w and o in w for o in words)}
-        cond = contains_any(folded, sorted(words))
-        parts.append(cond if language is None else f"({column} = {quote(language)} AND {cond})")
-    return "(" + " OR ".join(parts) + ")"
+        if words:
+            pattern = "|".join(re.escape(w) for w in sorted(words))
+            whens.append(f"WHEN {quote(language)} THEN {folded} RLIKE {quote(pattern)}")
+    return f"(CASE concat_language {' '.join(whens)} ELSE false END)"
 
 
 def rule_condition(rule: Rule) -> str:

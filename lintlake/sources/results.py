@@ -9,7 +9,7 @@ from ..operators.scan import VIOLATION_COLUMNS, all_facets
 from ..schema import SCAN_RESULT
 
 MAX_ROWS_PER_DOCUMENT = 100_000
-_BUCKETS = 1024
+_BUCKETS = 1 << 20
 _FACET_FIELDS = {
     "violation_type": "violations_by_type", "severity": "violations_by_severity",
     "platform": "violations_by_platform", "language": "violations_by_language",
@@ -22,18 +22,20 @@ def scan_documents(files: DataFrame, violations: DataFrame, repo: str = "repo",
 
     A repository with more than ``max_rows`` findings gets several documents, each with part
     of the findings and the full statistics, so no row grows without bound and none is lost.
-    Findings are first grouped by hashed file, then neighbouring groups are packed.
+    Which document a finding goes to is settled on counts per hashed file (small rows), then
+    the findings follow by an equi-join on that hash, however large their repository is.
     """
     entry = F.struct("file_path", "detector_ord", "emit_ord", F.struct(
         *VIOLATION_COLUMNS, F.lit(None).cast("timestamp").alias("created_at")).alias("v"))
-    groups = (
-        violations.withColumn("bucket", F.pmod(F.xxhash64("file_path"), F.lit(_BUCKETS)).cast("int"))
-        .groupBy(repo, "bucket").agg(F.collect_list(entry).alias("rows"), F.count(F.lit(1)).alias("n"))
-    )
+    hashed = violations.withColumn("bucket", F.pmod(F.xxhash64("file_path"), F.lit(_BUCKETS)).cast("int"))
     w = Window.partitionBy(repo).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (
+        hashed.groupBy(repo, "bucket").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("doc_no", F.floor((F.sum("n").over(w) - 1) / max_rows).cast("int")).drop("n")
+    )
     packed = (
-        groups.withColumn("doc_no", F.floor((F.sum("n").over(w) - 1) / max_rows).cast("int"))
-        .groupBy(repo, "doc_no").agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("rows"))
+        hashed.join(placed, [repo, "bucket"])
+        .groupBy(repo, "doc_no").agg(F.sort_array(F.collect_list(entry)).alias("rows"))
         .select(repo, "doc_no", F.transform("rows", lambda r: r["v"]).alias("violations"))
     )
     facets = all_facets(violations, repo).groupBy(repo).agg(*[
