@@ -120,17 +120,17 @@ def parse_json(content: Column) -> Column:
 
 def parsed_replies(replies: DataFrame, schema: str) -> DataFrame:
     """Adds ``r`` (struct, null unless the reply is a JSON object) and ``parse_error``."""
-    parsed = (
-        replies.withColumn("json", F.when(
-            F.coalesce(F.col("error"), F.lit("")) == "", parse_json(F.col("content"))))
-        .withColumn("is_object", F.coalesce(F.col("json").startswith("{"), F.lit(False)))
-    )
-    options = {"allowSingleQuotes": "false"}
-    return parsed.withColumn("r", F.when(
-        F.col("is_object"), F.from_json("json", schema, options))).withColumn(
-        "parse_error", F.when(F.coalesce(F.col("error"), F.lit("")) != "", F.col("error"))
-        .when(F.col("json").isNull(), F.lit("No valid JSON found in response"))
-        .when(~F.col("is_object"), F.lit("Reply is not a JSON object")))
+    no_error = F.coalesce(F.col("error"), F.lit("")) == ""
+    json = F.col("json")
+    is_object = F.coalesce(json.startswith("{"), F.lit(False))
+    # exploding a one-element array keeps filters on the result from being pushed into, and
+    # with them copies of, the parsing steps: each reply is parsed once
+    once = replies.select("*", F.explode(F.array(F.when(no_error, parse_json(F.col("content"))))).alias("json"))
+    parsed = once.select("*", F.explode(F.array(F.when(
+        is_object, F.from_json("json", schema, {"allowSingleQuotes": "false"})))).alias("r"))
+    return parsed.withColumn("parse_error", F.when(~no_error, F.col("error"))
+                             .when(json.isNull(), F.lit("No valid JSON found in response"))
+                             .when(~is_object, F.lit("Reply is not a JSON object")))
 
 
 def merge_classification(violations: DataFrame, replies: DataFrame) -> DataFrame:

@@ -12,7 +12,11 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", shuffle_partitions=4)
+    # small inputs: compiling generated code and recording call sites would take most of the time
+    session = build_session("local[8]", shuffle_partitions=4, spark__sql__codegen__wholeStage="false",
+                            spark__sql__codegen__factoryMode="NO_CODEGEN",
+                            spark__python__sql__dataFrameDebugging__enabled="false",
+                            spark__driver__memory="4g")
     yield session
     session.stop()
 
