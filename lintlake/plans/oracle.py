@@ -578,6 +578,11 @@ def build() -> dict[str, str]:
         f"SELECT file_path, line_number, '{t}' AS violation_type, '{'CRITICAL' if t == _S else 'HIGH'}' AS severity, "
         f"rule_language AS language, CAST({c} AS DOUBLE) AS confidence_score, 6 AS detector_ord, {order[key]} AS emit_ord "
         f"FROM src WHERE rule_language = '{lang}' AND {where}" for key, (lang, t, c, where) in FLOW.items())
+    out["flow_emit"] = on_lines(" UNION ALL ".join(
+        f"SELECT file_path, line_number, '{t}' AS violation_type, '{'CRITICAL' if t == _S else 'HIGH'}' AS severity, "
+        f"platform_base AS platform, rule_language AS language, CAST({c} AS DOUBLE) AS confidence_score, "
+        f"true AS is_marked, ctx_before, ctx_after FROM src WHERE rule_language = '{lang}' AND {where}"
+        for lang, t, c, where in FLOW.values()))
     out["scan_repository_flow"] = on_hits(
         "SELECT file_path, line_number, violation_type, severity, language, confidence_score, detector_ord FROM ("
         "SELECT *, row_number() OVER (PARTITION BY file_path, violation_type, line_number ORDER BY detector_ord, emit_ord) AS rn "

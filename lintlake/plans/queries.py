@@ -331,7 +331,10 @@ for _key, _checks in FLOW_QUERIES.items():
 
 @query("flow_emit")
 def _flow_emit(spark, sf):
-    return _flat(flow.flow_violations(_CODE(spark, sf)))
+    return _flat(flow.flow_violations(_CODE(spark, sf))).select(
+        "file_path", "line_number", "violation_type", "severity", "platform", "language",
+        "confidence_score", F.col("description").startswith("[AST] ").alias("is_marked"),
+        "ctx_before", "ctx_after")
 
 
 # --- scan, dedup, statistics -----------------------------------------------------------
