@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,10 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing sub-folder of the shared folder."""
-    import uuid
+    """A new, not yet existing sub-folder of the shared folder.
 
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    The address carries its scheme, so that JVM and Python code mean the same file system.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(folder).toString()
 
 
 def cut_lineage(spark: SparkSession, df: DataFrame) -> DataFrame:
