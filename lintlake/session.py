@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,14 +31,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as named by ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a fresh temporary folder is made
-    and registered as the checkpoint folder.
+    Only where that is unset and the master is one machine (tests) a fresh temporary folder
+    is made and registered as the checkpoint folder. On a cluster that would lose data
+    without a message, so there the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         configured = current.get() if current.isDefined() else None
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="lintlake-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
