@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, minhash
+from . import exact, licenses, minhash, mixing
 from .common import documents
 
 
@@ -18,8 +18,23 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), share=1.5, max_repeats=2.0).drop("order_key", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op3_exact_dedup)}
+    f.__name__: f for f in (
+        op1_minhash_near_dedup, op3_exact_dedup, op6_license_scan, op7_source_mixing)}
+
+def _license_rows() -> str:
+    return ", ".join(f"({no}, '{label}', {base}, {at}, '{word}', {mandatory})"
+                     for no, (label, base, parts) in enumerate(licenses.library())
+                     for at, word, mandatory in parts)
+
 
 ORACLE_SQL: dict[str, str] = {
     # words and 2-word shingles; pairs by shared shingles; smallest id reachable by recursion
@@ -46,4 +61,46 @@ FROM sets JOIN least_ USING (doc_id)""",
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
     doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    # places of all templates by counting their words at the same relative start
+    "op6_license_scan": rf"""
+WITH library(no, label, base, place, word, mandatory) AS (VALUES {_license_rows()}),
+templates AS (SELECT no, label, base, count(*) AS n, count(*) FILTER (mandatory) AS needed
+    FROM library GROUP BY no, label, base),
+split AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM split),
+starts AS (SELECT doc_id, no, pos - place AS start, count(*) AS matched, count(*) FILTER (mandatory) AS held
+    FROM words JOIN library USING (word) GROUP BY doc_id, no, start),
+places AS (SELECT * FROM starts JOIN templates USING (no) WHERE held = needed),
+found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word,
+    max(start) FILTER (base) AS last_word, max(matched / n) AS score,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels FROM places GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+    coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM split LEFT JOIN found USING (doc_id)""",
+    "op7_source_mixing": r"""
+WITH sized AS MATERIALIZED (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+        md5(concat(doc_id::VARCHAR, ':', coalesce(text, ''))) AS h FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size,
+    row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM sized GROUP BY source),
+weighed AS (SELECT *, [3.0, 1.0, 2.0][rank % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM sources),
+levels AS (SELECT *, cap / weight AS ratio, (1.5::DOUBLE * sum(source_size) OVER ()
+        - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+plan AS (SELECT *, coalesce(least(cap, weight * (SELECT arg_min(level, ratio) FROM levels WHERE ratio > level)), cap)
+    AS target FROM levels),
+lined AS (SELECT s.*, p.source_size, p.target, p.rank, coalesce(sum(size) OVER (PARTITION BY s.source
+    ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+done AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target) / source_size) ELSE 0 END AS passes FROM lined),
+taken AS (SELECT *, (passes * size + greatest(0, least(size, floor(target) - passes * source_size - before)))::BIGINT
+    AS taken, least(1.0::DOUBLE, before / target) AS q FROM done)
+SELECT doc_id, size, source_size, target, taken,
+    CASE WHEN taken > 0 OR (size = 0 AND before < target) THEN CASE rank % 3
+        WHEN 0 THEN (sqrt(2.25::DOUBLE - 2 * q) - 1.5::DOUBLE) / -1.0::DOUBLE WHEN 1 THEN q
+        ELSE sqrt(0.25::DOUBLE + 2 * q) - 0.5::DOUBLE END END AS position
+FROM taken""",
 }
