@@ -28,6 +28,16 @@ def ship(*names: str) -> None:
 ship(__name__)
 
 
+#: Arrow batches are cut by bytes as well as rows: texts and joined pairs of texts can be long.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once, unless the session already does."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, hashed_words, mix, shingle_sets, ship, text_chunks, written
+from .common import U64, bounded_batches, hashed_words, mix, shingle_sets, ship, text_chunks, written
 from .components import components
 
 ship(__name__)
@@ -208,6 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     they get one component and are all linked where one of them is.  Further columns of
     ``docs`` are not looked at.  An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(signatures(docs, width), "signatures")
