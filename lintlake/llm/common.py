@@ -141,3 +141,9 @@ def shingle_sets(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.
     first = np.ones(len(acc), bool)
     first[1:] = (acc[1:] != acc[:-1]) | (of[1:] != of[:-1])
     return acc[first], np.bincount(of[first], minlength=len(counts))
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, for models that are costly to load."""
+    holder = sys.modules.setdefault("_lintlake_worker_cache", type(sys)("_lintlake_worker_cache"))
+    return holder.__dict__.setdefault("entries", {})

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, licenses, minhash, mixing
+from . import exact, licenses, minhash, mixing, packing, store
 from .common import documents
 
 
@@ -18,6 +19,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"),
+                                  spaced=False, end_id=1, capacity=4096)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
@@ -26,9 +32,15 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), share=1.5, max_repeats=2.0).drop("order_key", "source")
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.token_store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                             spaced=True, end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_minhash_near_dedup, op3_exact_dedup, op6_license_scan, op7_source_mixing)}
+        op1_minhash_near_dedup, op3_exact_dedup, op5_best_fit_packing, op6_license_scan, op7_source_mixing,
+        op10_token_store)}
 
 def _license_rows() -> str:
     return ", ".join(f"({no}, '{label}', {base}, {at}, '{word}', {mandatory})"

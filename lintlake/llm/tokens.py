@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import ship
+from .common import ship, worker_cache
 
 ship(__name__)
 
@@ -170,3 +170,11 @@ class Encoder:
         cuts = np.searchsorted(begins, bounds).tolist() + [len(begins)]
         ids = got.ids
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def encoder(path: str, spaced: bool) -> Encoder:
+    """One encoder for each Python worker."""
+    cache = worker_cache()
+    if (path, spaced) not in cache:
+        cache[path, spaced] = Encoder(path, spaced)
+    return cache[path, spaced]
