@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, licenses, minhash, mixing, packing, store
+from . import exact, licenses, minhash, mixing, packing, store, topk
 from .common import documents
 
 
@@ -32,6 +32,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), share=1.5, max_repeats=2.0).drop("order_key", "source")
 
 
+def op9_topk_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.token_store(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
                              spaced=True, end_id=0)
@@ -40,7 +44,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minhash_near_dedup, op3_exact_dedup, op5_best_fit_packing, op6_license_scan, op7_source_mixing,
-        op10_token_store)}
+        op9_topk_products, op10_token_store)}
 
 def _license_rows() -> str:
     return ", ".join(f"({no}, '{label}', {base}, {at}, '{word}', {mandatory})"
@@ -115,4 +119,14 @@ SELECT doc_id, size, source_size, target, taken,
         WHEN 0 THEN (sqrt(2.25::DOUBLE - 2 * q) - 1.5::DOUBLE) / -1.0::DOUBLE WHEN 1 THEN q
         ELSE sqrt(0.25::DOUBLE + 2 * q) - 0.5::DOUBLE END END AS position
 FROM taken""",
+    "op9_topk_products": """
+WITH vectors AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+    FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
 }
