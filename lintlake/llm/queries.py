@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, licenses, minhash, mixing, packing, store, topk
+from . import exact, language, licenses, minhash, mixing, packing, store, topk
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_minhash_near_dedup, op3_exact_dedup, op5_best_fit_packing, op6_license_scan, op7_source_mixing,
+        op1_minhash_near_dedup, op2_language_id, op3_exact_dedup, op5_best_fit_packing, op6_license_scan, op7_source_mixing,
         op9_topk_products, op10_token_store)}
 
 def _license_rows() -> str:
