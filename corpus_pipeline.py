@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import exact, minhash
+from lintlake.llm import exact, language, minhash, mixing, packing
 from lintlake.llm.common import documents, written
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages stay; those without a letter, or in which no
+    language has half of the text, go."""
+    return language.keep_identified(docs)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays."""
+    """One document of each text stays, that with the largest doc_id."""
     return exact.drop_exact_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five words, 0.8)."""
+    """One document of each group of near duplicates stays (five words, 0.8), that with the smallest doc_id."""
     return minhash.drop_near_duplicates(docs, width=5, percent=80)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in the order of the curriculum when written."""
+    return mixing.mixed_documents(docs, share=1.5, max_repeats=2.0)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and place; a repeated document is packed as often as it was taken."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), spaced=False, end_id=1,
+                                  capacity=4096)
+
+
 STAGES = [
+    ("language ID", language_stage),
     ("exact dedup", exact_stage),
-    ("near dedup", near_stage),
+    ("MinHash near-dedup", near_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
 ]
 
+#: No SQL expresses the learned languages; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 

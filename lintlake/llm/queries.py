@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, language, licenses, minhash, mixing, packing, store, topk
+from . import exact, language, licenses, minhash, mixing, packing, secrets, store, topk
 from .common import documents
 
 
@@ -23,6 +24,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(documents(spark, sf_dir))
+    return found.withColumn("base_sha256", F.sha2("base_spans", 256)).drop("base_spans")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"),
                                   spaced=False, end_id=1, capacity=4096)
@@ -47,7 +53,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_minhash_near_dedup, op2_language_id, op3_exact_dedup, op5_best_fit_packing, op6_license_scan, op7_source_mixing,
+        op1_minhash_near_dedup, op2_language_id, op3_exact_dedup, op4_secret_scan, op5_best_fit_packing, op6_license_scan, op7_source_mixing,
         op9_topk_products, op10_token_store)}
 
 def _license_rows() -> str:
