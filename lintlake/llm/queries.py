@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, licenses, minhash, mixing, packing, secrets, store, topk
+from . import exact, language, licenses, minhash, mixing, packing, passages, secrets, store, topk
 from .common import documents
 
 
@@ -42,6 +42,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), share=1.5, max_repeats=2.0).drop("order_key", "source")
 
 
+def op8_passage_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir), min_words=50, identity=0.8)
+
+
 def op9_topk_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
 
@@ -54,7 +58,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minhash_near_dedup, op2_language_id, op3_exact_dedup, op4_secret_scan, op5_best_fit_packing, op6_license_scan, op7_source_mixing,
-        op9_topk_products, op10_token_store)}
+        op8_passage_chaining, op9_topk_products, op10_token_store)}
 
 def _license_rows() -> str:
     return ", ".join(f"({no}, '{label}', {base}, {at}, '{word}', {mandatory})"
