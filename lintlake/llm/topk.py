@@ -29,7 +29,7 @@ QUERY_BLOCK = 256
 #: Blocks that follow each other in one task.
 RUN_BLOCKS = 16
 #: Vectors that the rotation is fitted on.
-SAMPLE = 10_000
+SAMPLE = 4_000
 #: Rotated components of the partial sum.
 HEAD = 16
 
@@ -173,7 +173,9 @@ def _rotation(vectors: DataFrame, dim: int, sample: int) -> np.ndarray:
     rows = vectors.select("v", F.xxhash64("vec_id", "v").alias("h")).orderBy("h").limit(sample).collect()
     if not rows or not dim:
         return np.eye(dim)
-    return np.linalg.svd(_padded([bytes(r["v"]) for r in rows], dim).astype(float), full_matrices=True)[2].T
+    # the right singular vectors, by the small square matrix that has them as eigenvectors
+    sampled = _padded([bytes(r["v"]) for r in rows], dim).astype(float)
+    return np.linalg.eigh(sampled.T @ sampled)[1][:, ::-1]
 
 
 def top_products(embeddings: DataFrame, every: int = 50, k: int = 5, sample: int = SAMPLE) -> DataFrame:
