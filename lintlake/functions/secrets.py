@@ -105,15 +105,13 @@ def _mask_value(col: Column, dtype: T.DataType) -> Column:
             .alias(f.name)
             for f in dtype.fields
         ]))
-    if isinstance(dtype, T.MapType) and isinstance(dtype.valueType, T.StringType):
+    if isinstance(dtype, T.MapType):
+        if not isinstance(dtype.keyType, T.StringType):
+            return F.transform_values(col, lambda k, v: _mask_value(v, dtype.valueType))
+        # what is no text cannot become a text inside a typed map: under a sensitive key it is blanked
+        mask = F.lit(REDACTED if isinstance(dtype.valueType, T.StringType) else None)
         return F.transform_values(
-            col, lambda k, v: F.when(_sensitive_key(k), F.lit(REDACTED)).otherwise(v)
-        )
-    if isinstance(dtype, T.MapType) and isinstance(dtype.valueType, T.StructType):
-        # a record under a sensitive key cannot become a string inside a typed map: blank it
-        return F.transform_values(
-            col, lambda k, v: F.when(~_sensitive_key(k), _mask_value(v, dtype.valueType))
-        )
+            col, lambda k, v: F.when(_sensitive_key(k), mask).otherwise(_mask_value(v, dtype.valueType)))
     return col  # lists and scalars stay
 
 

@@ -39,13 +39,18 @@ def rx_dotall(col: Column, pattern: str) -> Column:
     return col.rlike(NOCASE_DOTALL + pattern)
 
 
+#: The characters of Unicode's White_Space property.
+BLANKS = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(col: Column) -> Column:
-    """Drop white space of any kind at both ends."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Drop white space of any kind at both ends; linear, whatever stands between them."""
+    return F.trim(col, F.lit(BLANKS))
 
 
 def strip_sql(expr: str) -> str:
-    return rf"regexp_replace({expr}, '(?U)^\\s+|\\s+$', '')"
+    return f"trim(BOTH {quote(BLANKS)} FROM {expr})"
 
 
 def fold_sql(expr: str) -> str:

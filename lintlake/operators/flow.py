@@ -192,14 +192,14 @@ _MASKED = (
 )
 
 
-def flow_files(files: DataFrame) -> DataFrame:
-    """Java, Python and C# files that hold at least one word the checks look for."""
+def flow_files(files: DataFrame, gated: bool = False) -> DataFrame:
+    """Java, Python and C# files; gated: only those that hold a word the checks look for."""
+    kept = with_file_columns(files).where(F.expr(
+        "endswith(file_path, '.java') OR endswith(file_path, '.py') OR endswith(file_path, '.cs')"))
+    if gated:
+        kept = kept.where(F.expr(contains_any(fold_sql("content"), FLOW_WORDS)))
     return (
-        with_file_columns(files)
-        .where(F.expr("endswith(file_path, '.java') OR endswith(file_path, '.py') "
-                      "OR endswith(file_path, '.cs')"))
-        .where(F.expr(contains_any(fold_sql("content"), FLOW_WORDS)))
-        .select("file_path", F.col("rule_language").alias("language"),
+        kept.select("file_path", F.col("rule_language").alias("language"),
                 F.col("platform_base").alias("platform"),
                 F.translate("content", CUT, " ").alias("content"))
     )
@@ -214,7 +214,7 @@ def code_mask(files: DataFrame) -> DataFrame:
 # --- statements ----------------------------------------------------------------
 
 
-def segments(files: DataFrame) -> DataFrame:
+def segments(files: DataFrame, gated: bool = False) -> DataFrame:
     """Pieces between code-level delimiters, raw and masked."""
     def pieces(shown: str) -> Column:
         is_cut = f"CASE WHEN {_PY} THEN t = '\\n' ELSE t IN ('{{', '}}', ';') END"
@@ -223,7 +223,7 @@ def segments(files: DataFrame) -> DataFrame:
             f"ELSE {shown} END), ''), char(1), -1)")
 
     return (
-        flow_files(files)
+        flow_files(files, gated)
         .select("file_path", "language", "platform", F.expr(_lexemes("content")).alias("lexemes"))
         .select("file_path", "language", "platform", pieces("t").alias("raws"),
                 pieces(_MASKED).alias("codes"))
@@ -238,13 +238,13 @@ def segments(files: DataFrame) -> DataFrame:
     )
 
 
-def statements(files: DataFrame) -> DataFrame:
+def statements(files: DataFrame, gated: bool = False) -> DataFrame:
     """Logical statements with line, text, masked code and terminator.
 
     A ``;`` ends a statement only when no bracket opened since the last brace is open,
     a newline (Python) only when no bracket is open at all.
     """
-    seg = segments(files)
+    seg = segments(files, gated)
     by_file = Window.partitionBy("file_path").orderBy("seg_no")
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)
     seg = (
@@ -411,7 +411,7 @@ def scope_blocks(files: DataFrame) -> DataFrame:
     """Statement blocks (Java, C#) and functions (Python) with first and last statement."""
     return with_ranges(statements(files)).where("is_scope").select(
         "file_path", "language", F.col("no").alias("first_no"), "last_no", "line",
-        F.substring("code", 1, 80).alias("header"))
+        F.col("code").alias("header"))
 
 
 def loop_blocks(files: DataFrame) -> DataFrame:
@@ -461,12 +461,16 @@ def _calls(condition: str, name: str, pattern: str, test: str) -> str:
 
 
 def _var_events(condition: str, *patterns: tuple[str, bool]) -> str:
-    """Events keyed by the variable in group 1, or by every prefix of it."""
+    """Events keyed by the variable in group 1, or by its prefixes.
+
+    Only prefixes as long as a name declared in the file can meet one, so a long identifier
+    does not become a row for each of its characters.
+    """
     lists = []
     for pattern, prefixes in patterns:
         names = _all_matches("raw", pattern, 1)
         if prefixes:
-            names = (f"flatten(transform({names}, v -> transform(sequence(1, length(v)), "
+            names = (f"flatten(transform({names}, v -> transform(filter(name_sizes, n -> n <= length(v)), "
                      f"n -> substring(v, 1, n))))")
         lists.append(names)
     fact = _fact(key="concat('var ', v)", is_event="true", pos="no * 2 + 1")
@@ -563,13 +567,21 @@ def _java_facts() -> list[str]:
     ]
 
 
+_CS_DECL = (
+    r"^(?!(?:return|throw|else|case|new|goto|yield)\b)"
+    r"(?:(?:using|await|const|static|readonly|scoped|ref)\s+)*"
+    r"[\w.]+(?:<[^=;]*>)?\??(?:\s*\[[\s,]*\])*\??\s+(\w+)\s*=(?![=>])"
+)
+_PY_ASSIGN = r"(?s)^([\w.]+)\s*(?::[^=]+?)?=(?!=)\s*(.*)$"
+# length of the name that a statement gives a value; null where prefixes of it are not looked for
+_NAME_SIZE = (
+    f"nullif(length(CASE WHEN {_PY} THEN {_first_match('code', _PY_ASSIGN)} "
+    f"WHEN language = '{CSHARP}' THEN {_first_match('code', _CS_DECL)} END), 0)"
+)
+
+
 def _cs_facts() -> list[str]:
-    decl = (
-        r"^(?!(?:return|throw|else|case|new|goto|yield)\b)"
-        r"(?:(?:using|await|const|static|readonly|scoped|ref)\s+)*"
-        r"[\w.]+(?:<[^=;]*>)?\??(?:\s*\[[\s,]*\])*\??\s+(\w+)\s*=(?![=>])"
-    )
-    name = _first_match("code", decl)
+    name = _first_match("code", _CS_DECL)
     command = r"\bnew\s+[\w.]*(?:SqlCommand|NpgsqlCommand|OracleCommand)\w*\s*(?:" + ARGS + r"|\{)"
     command_fact = _fact(
         name="'cs_cmd_timeout'", key="'CommandTimeout'", expect="false", line=_line_of("c"),
@@ -595,7 +607,7 @@ def _cs_facts() -> list[str]:
 
 
 def _py_facts() -> list[str]:
-    assign = r"(?s)^([\w.]+)\s*(?::[^=]+?)?=(?!=)\s*(.*)$"
+    assign = _PY_ASSIGN
     name, rhs_code = _first_match("code", assign), _first_match("code", assign, 2)
     rhs = _first_match("text", assign, 2)
     # operators outside brackets make the right side an expression; else it is one value
@@ -641,7 +653,8 @@ def _py_facts() -> list[str]:
 
 def flow_hits(files: DataFrame) -> DataFrame:
     """(file_path, check, line_number, quoted, description, ...) of all flow checks."""
-    stmts = with_scope(with_ranges(statements(files)))
+    stmts = with_scope(with_ranges(statements(files, gated=True))).withColumn(
+        "name_sizes", F.collect_set(F.expr(_NAME_SIZE)).over(Window.partitionBy("file_path")))
     facts = "CASE language " + " ".join(
         f"WHEN '{name}' THEN concat({', '.join(build())})"
         for name, build in ((JAVA, _java_facts), (CSHARP, _cs_facts), (PYTHON, _py_facts))) + " END"
@@ -679,7 +692,7 @@ def flow_violations(files: DataFrame, checks: tuple[str, ...] | None = None) ->
         "line_number", "quoted", "violation_type", "platform", "language", "description",
         "confidence_score", "emit_ord")).alias("hits"))
     # both sides are partitioned by file; the file is split once for all its findings
-    joined = flow_files(files).select("file_path", "content").join(per_file, "file_path").select(
+    joined = flow_files(files, gated=True).select("file_path", "content").join(per_file, "file_path").select(
         "file_path", "hits", split_lines(F.col("content")).alias("lines"))
     return (
         joined.select("file_path", F.expr(

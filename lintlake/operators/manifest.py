@@ -27,17 +27,23 @@ TYPE_OF_WORD = {
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest documents, indented, one per file."""
+    """Manifest documents, indented, one per file; ``manifest`` is the file's path."""
     return (spark.read.schema(MANIFEST).option("multiLine", "true")
-            .option("recursiveFileLookup", "true").json(path))
+            .option("recursiveFileLookup", "true").json(path)
+            .withColumn("manifest", F.col("_metadata.file_path")))
+
+
+def _keyed(manifests: DataFrame) -> DataFrame:
+    """Documents that were not read from files are taken as one manifest."""
+    return manifests if "manifest" in manifests.columns else manifests.withColumn("manifest", F.lit(""))
 
 
 def items(manifests: DataFrame) -> DataFrame:
-    """One row per expected finding, with numeric line bounds."""
+    """One row per expected finding, with numeric line bounds; ids are those of one manifest."""
     bounds = F.split("i.line_range", "-")
     return (
-        manifests.select(F.explode("violations").alias("i"))
-        .select("i.*", bounds[0].cast("int").alias("lo"),
+        _keyed(manifests).select("manifest", F.explode("violations").alias("i"))
+        .select("manifest", "i.*", bounds[0].cast("int").alias("lo"),
                 F.element_at(bounds, -1).cast("int").alias("hi"))
     )
 
@@ -47,21 +53,21 @@ _SUMMARIES = {"violation_type": "violation_type_summary", "severity": "severity_
 
 
 def summary_check(manifests: DataFrame) -> DataFrame:
-    """Stored against recomputed counts per facet value, with the difference."""
+    """Stored against recomputed counts per manifest and facet value, with the difference."""
     stored = None
     for facet, column in _SUMMARIES.items():
-        part = manifests.select(F.lit(facet).alias("facet"), F.explode(column).alias("value", "n"))
+        part = _keyed(manifests).select("manifest", F.lit(facet).alias("facet"), F.explode(column).alias("value", "n"))
         stored = part if stored is None else stored.unionByName(part)
-    stored = stored.groupBy("facet", "value").agg(F.sum("n").alias("stored"))
+    stored = stored.groupBy("manifest", "facet", "value").agg(F.sum("n").alias("stored"))
     listed = (
         items(manifests)
-        .select(F.explode(F.array(*[
+        .select("manifest", F.explode(F.array(*[
             F.struct(F.lit(f).alias("facet"), F.col(f).alias("value")) for f in _SUMMARIES])).alias("p"))
-        .groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("listed"))
+        .groupBy("manifest", "p.facet", "p.value").agg(F.count(F.lit(1)).alias("listed"))
     )
     return (
-        stored.join(listed, ["facet", "value"], "full_outer")
-        .select("facet", "value", F.coalesce("stored", F.lit(0)).alias("stored"),
+        stored.join(listed, ["manifest", "facet", "value"], "full_outer")
+        .select("manifest", "facet", "value", F.coalesce("stored", F.lit(0)).alias("stored"),
                 F.coalesce("listed", F.lit(0)).alias("listed"))
         .withColumn("difference", F.col("stored") - F.col("listed"))
     )
@@ -77,15 +83,15 @@ def match(expected: DataFrame, violations: DataFrame) -> DataFrame:
     mapped = expected.withColumn("mapped_type", F.expr(f"CASE violation_type {whens} END"))
     found = (
         mapped.where("mapped_type is not null")
-        .select("violation_id", "file", "mapped_type", F.explode(F.sequence("lo", "hi")).alias("line"))
+        .select("manifest", "violation_id", "file", "mapped_type", F.explode(F.sequence("lo", "hi")).alias("line"))
         .join(
             violations.select(F.col("file_path").alias("file"),
                               F.col("violation_type").alias("mapped_type"),
                               F.col("line_number").alias("line")).distinct(),
             ["file", "mapped_type", "line"], "left_semi")
-        .select("violation_id").distinct().withColumn("matched", F.lit(True))
+        .select("manifest", "violation_id").distinct().withColumn("matched", F.lit(True))
     )
-    return mapped.join(found, "violation_id", "left").withColumn(
+    return mapped.join(found, ["manifest", "violation_id"], "left").withColumn(
         "matched", F.coalesce("matched", F.lit(False)))
 
 

@@ -6,7 +6,7 @@ error) rows back.  A reply that cannot be read affects its own row only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixed import (
@@ -118,6 +118,14 @@ def parse_json(content: Column) -> Column:
     return F.to_json(F.coalesce(*strict))
 
 
+def one_reply(replies: DataFrame, kind: str) -> DataFrame:
+    """The replies of a kind, one for each id: of several, those without error first, then by text."""
+    order = Window.partitionBy("violation_id").orderBy(
+        F.coalesce(F.col("error"), F.lit("")) != "", F.col("content").asc_nulls_last(), "error")
+    return replies.where(F.col("kind") == kind).withColumn("turn", F.row_number().over(order)).where(
+        "turn = 1").drop("turn")
+
+
 def parsed_replies(replies: DataFrame, schema: str) -> DataFrame:
     """Adds ``r`` (struct, null unless the reply is a JSON object) and ``parse_error``."""
     no_error = F.coalesce(F.col("error"), F.lit("")) == ""
@@ -135,7 +143,7 @@ def parsed_replies(replies: DataFrame, schema: str) -> DataFrame:
 
 def merge_classification(violations: DataFrame, replies: DataFrame) -> DataFrame:
     """Description and confidence from the reply when given; severity never changes."""
-    parsed = parsed_replies(replies, "banking_risk_explanation string, confidence_score double")
+    parsed = parsed_replies(one_reply(replies, "classify"), "banking_risk_explanation string, confidence_score double")
     joined = _with_id(violations).join(parsed.select("violation_id", "r"), "violation_id", "left")
     score = F.col("r.confidence_score")
     return (
@@ -151,7 +159,7 @@ def merge_classification(violations: DataFrame, replies: DataFrame) -> DataFrame
 
 def merge_fixes(violations: DataFrame, replies: DataFrame, model: str = FIX_MODEL) -> DataFrame:
     """Fix rows from replies, checked for safety; a failed reply becomes an empty fix."""
-    parsed = parsed_replies(replies, "fixed_code string, explanation string, confidence_score double")
+    parsed = parsed_replies(one_reply(replies, "fix"), "fixed_code string, explanation string, confidence_score double")
     joined = _with_id(violations).join(
         parsed.select("violation_id", "r", "parse_error"), "violation_id", "left")
     failed = F.coalesce(F.col("parse_error"), F.when(F.col("r").isNull(), F.lit("no reply")))
@@ -176,7 +184,7 @@ def merge_fixes(violations: DataFrame, replies: DataFrame, model: str = FIX_MODE
 def merge_reviews(fixes: DataFrame, replies: DataFrame) -> DataFrame:
     """Verdict and notes from review replies; an empty fix is never passed."""
     schema = "approved boolean, review_notes string, issues array<struct<severity:string,issue:string>>"
-    parsed = parsed_replies(replies, schema)
+    parsed = parsed_replies(one_reply(replies, "review"), schema)
     joined = fixes.join(parsed.select(
         "violation_id", "r", "parse_error", F.col("error").alias("call_error")), "violation_id", "left")
     issues = F.array_join(F.transform(F.col("r.issues"), lambda i: F.concat(

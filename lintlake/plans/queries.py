@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed import LONG_RUNNING_TXN, READ_PREFERENCE, SELECT_STAR, STRING_CONCAT_SQL, UNBATCHED_TXN
+from ..fixed import LONG_RUNNING_TXN, MAX_FILE_SIZE_KB, READ_PREFERENCE, SELECT_STAR, STRING_CONCAT_SQL, UNBATCHED_TXN
 from ..functions import secrets
 from ..functions.lang import platform, route_language, rule_language, concat_language, severity, is_mongo_file
 from ..functions.text import code_hash, parse_repo_url, base_name, relative_path, violation_id
@@ -71,7 +71,7 @@ def _placed_path(path: str = "file_path") -> str:
 def _discover(spark, sf):
     root = scratch_dir(spark, "tree")
     src.write_files(_CODE(spark, sf).withColumn("file_path", F.expr(_placed_path())), root)
-    return src.discover_files(spark, root, ordered=False).select(
+    return src.discover_files(spark, root, MAX_FILE_SIZE_KB, ordered=False).select(
         "relative_path", "route_language", "size_bytes")
 
 
@@ -446,7 +446,8 @@ def _read_manifest(spark, sf):
 
 @query("manifest_summary_check")
 def _summary_check(spark, sf):
-    return manifest.summary_check(_manifests(spark, sf))
+    return manifest.summary_check(_manifests(spark, sf)).groupBy("facet", "value").agg(
+        *[F.sum(c).alias(c) for c in ("stored", "listed", "difference")])
 
 
 @query("manifest_match")

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed import MAX_FILE_SIZE_KB, SKIP_DIRS
+from ..fixed import SKIP_DIRS
 from ..functions.lang import route_language
 from ..functions.text import decode_source
 from ..session import cut_lineage
@@ -37,7 +37,11 @@ def local_path(path: str) -> str | None:
 
 
 def _entries(folder: str) -> Iterator[tuple[str, bool, int, float]]:
-    """(path, is_dir, size, mtime) of one folder; unreadable entries are left out."""
+    """(path, is_dir, size, mtime) of one folder.
+
+    Only what is gone since its folder was listed is left out; any other error fails the task,
+    so that it is tried again and nothing is missing without a message.
+    """
     mounted = local_path(folder)
     if mounted is None:
         from pyarrow import fs
@@ -50,7 +54,7 @@ def _entries(folder: str) -> Iterator[tuple[str, bool, int, float]]:
         return
     try:
         found = os.scandir(mounted)
-    except OSError:
+    except FileNotFoundError:
         return
     with found:
         for entry in found:
@@ -62,7 +66,7 @@ def _entries(folder: str) -> Iterator[tuple[str, bool, int, float]]:
                 else:
                     stat = entry.stat()
                     yield path, False, stat.st_size, stat.st_mtime
-            except OSError:
+            except FileNotFoundError:
                 continue
 
 
@@ -91,8 +95,8 @@ def _read_one(path: str) -> bytes | None:
         store, inner = fs.FileSystem.from_uri(path)
         with store.open_input_stream(inner) as handle:
             return handle.read()
-    except OSError:
-        return None  # gone since it was listed: reads as empty
+    except FileNotFoundError:
+        return None  # gone since it was listed: reads as empty; other errors fail the task
 
 
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,21 +130,37 @@ def list_tree(spark: SparkSession, root: str, skip_dirs=SKIP_DIRS) -> DataFrame:
             return found
 
 
-def discover_files(spark: SparkSession, root: str, max_kb: int = MAX_FILE_SIZE_KB,
-                   only: list[str] | None = None, ordered: bool = True) -> DataFrame:
-    """Scannable files: known suffix, at most ``max_kb`` kilobytes, skipped folders left out."""
+def _too_large(max_kb: int | None, size: str = "size_bytes") -> Column:
+    return F.lit(False) if max_kb is None else F.col(size) > max_kb * 1024
+
+
+def list_files(spark: SparkSession, root: str, max_kb: int | None = None) -> DataFrame:
+    """All files with the reason why they are not scanned (null: they are)."""
     base = root.rstrip("/") + "/"
-    files = (
+    return (
         list_tree(spark, root)
         .withColumn("route_language", route_language("path"))
-        .where(F.col("route_language").isNotNull() & (F.col("size_bytes") <= max_kb * 1024))
         .select(
             F.col("path").alias("file_path"),
-            F.substring("path", len(base) + 1, 1 << 20).alias("relative_path"),
+            F.expr(f"substring(path, {len(base) + 1})").alias("relative_path"),
             "route_language", "size_bytes",
             F.timestamp_micros((F.col("modified") * 1_000_000).cast("bigint")).alias("last_modified"),
+            F.when(F.col("route_language").isNull(), "no known suffix")
+            .when(_too_large(max_kb), "too large").alias("skipped"),
         )
     )
+
+
+def skipped_files(spark: SparkSession, root: str, max_kb: int | None = None) -> DataFrame:
+    """Files below ``root`` that a scan does not see, and why."""
+    return list_files(spark, root, max_kb).where("skipped is not null").select(
+        "file_path", "relative_path", "size_bytes", "skipped")
+
+
+def discover_files(spark: SparkSession, root: str, max_kb: int | None = None,
+                   only: list[str] | None = None, ordered: bool = True) -> DataFrame:
+    """Scannable files: known suffix, skipped folders left out, with ``max_kb`` none that are larger."""
+    files = list_files(spark, root, max_kb).where("skipped is null").drop("skipped")
     if only is not None:
         files = files.where(F.col("relative_path").isin(*only))
     return files.orderBy("file_path") if ordered else files
@@ -151,7 +171,7 @@ def read_files(found: DataFrame, truncate_kb: int | None = None) -> DataFrame:
     spark = found.sparkSession
     per_task = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
     total = found.agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()[0]
-    tasks = max(1, min(100_000, -(-total // per_task)), min(
+    tasks = max(1, -(-total // per_task), min(
         spark.sparkContext.defaultParallelism, 1 + total // (1 << 20)))
     # round robin instead of by key: one repository may hold a third of all files
     spread = found.withColumnRenamed("file_path", "path").repartition(int(tasks))
@@ -169,13 +189,13 @@ def _bytes(text: str) -> int:
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
 
 
-def read_tree(spark: SparkSession, root: str, max_kb: int = MAX_FILE_SIZE_KB,
+def read_tree(spark: SparkSession, root: str, max_kb: int | None = None,
               only: list[str] | None = None) -> DataFrame:
     """Discover and read; the input of a scan."""
     return read_files(discover_files(spark, root, max_kb, only, ordered=False))
 
 
-def read_visible(spark: SparkSession, root: str, max_kb: int = MAX_FILE_SIZE_KB) -> DataFrame:
+def read_visible(spark: SparkSession, root: str, max_kb: int | None = None) -> DataFrame:
     """Fast path with Spark's own file source, for trees without hidden names.
 
     Size and suffix are tested on metadata, so other files are never opened.
@@ -185,7 +205,7 @@ def read_visible(spark: SparkSession, root: str, max_kb: int = MAX_FILE_SIZE_KB)
         + ", ".join(f"'{d}'" for d in SKIP_DIRS) + "))")
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .where(F.col("length") <= max_kb * 1024)
+        .where(~_too_large(max_kb, "length"))
         .withColumn("route_language", route_language("path"))
         .where("route_language is not null").where(name_free)
         .select(F.col("path").alias("file_path"), "route_language",

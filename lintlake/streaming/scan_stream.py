@@ -10,23 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..fixed import MAX_FILE_SIZE_KB
 from ..functions.text import decode_source
 from ..operators.scan import scan, scan_lines
 
 _BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-def file_stream(spark: SparkSession, folder: str, max_kb: int = MAX_FILE_SIZE_KB,
+def file_stream(spark: SparkSession, folder: str, max_kb: int | None = None,
                 max_files_per_trigger: int = 10_000) -> DataFrame:
-    """New source files below a folder."""
-    return (
+    """New source files below a folder; with ``max_kb`` none that are larger."""
+    files = (
         spark.readStream.format("binaryFile").schema(_BINARY)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", str(max_files_per_trigger)).load(folder)
-        .where(F.col("length") <= max_kb * 1024)
-        .select(F.col("path").alias("file_path"), decode_source(F.col("content")).alias("content"))
     )
+    if max_kb is not None:
+        files = files.where(F.col("length") <= max_kb * 1024)
+    return files.select(F.col("path").alias("file_path"), decode_source(F.col("content")).alias("content"))
 
 
 def table_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int = 1000) -> DataFrame:
