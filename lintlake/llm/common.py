@@ -83,7 +83,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, CHUNK_BYTES + 1024)
@@ -110,7 +110,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     blank = np.append(~solid, True)
     starts = np.flatnonzero(solid & (edge[:n] | blank[np.arange(n) - 1]))
     ends = np.flatnonzero(solid & (edge[1:] | blank[1:]))
-    up, down = _powers(n)
+    up, down = powers(n)
     sums = np.zeros(n + 1, U64)
     np.cumsum((low.astype(U64) + U64(1)) * up, out=sums[1:])
     words = mix((sums[ends + 1] - sums[starts]) * down[starts]) if n else np.zeros(0, U64)

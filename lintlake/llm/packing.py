@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, ship, text_chunks, written
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 ship(__name__)
 
@@ -36,14 +36,14 @@ def _cut(tokenizer: str, spaced: bool, end_id: int, capacity: int):
         tokens = encoder(tokenizer, spaced)
         for batch in batches:
             ids = batch.column(0)
-            for first, last, _, _ in text_chunks(batch):
-                texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
+            for first, last, data, cuts in text_chunks(batch):
+                found, bounds = with_end(*tokens.encode_flat(data, cuts), end_id)
+                found, bounds = found.astype("<u4"), bounds.tolist()
                 rows: list[list] = [[] for _ in _PIECES]
-                for doc, found in zip(ids.slice(first, last - first).to_pylist(), tokens.encode(texts)):
-                    found = np.append(found, np.uint32(end_id)).astype("<u4")
-                    for piece, start in enumerate(range(0, len(found), capacity)):
-                        part = found[start:start + capacity]
-                        for column, value in zip(rows, (doc, piece, start, len(part), zlib.crc32(part.tobytes()))):
+                for doc, begin, end in zip(ids.slice(first, last - first).to_pylist(), bounds, bounds[1:]):
+                    for piece, start in enumerate(range(begin, end, capacity)):
+                        part = found[start:min(start + capacity, end)]
+                        for column, value in zip(rows, (doc, piece, start - begin, len(part), zlib.crc32(part))):
                             column.append(value)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, _PIECES)], schema=_PIECES)
     return run

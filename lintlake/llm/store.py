@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir
 from ..sources.files import local_path
 from .common import U64, bounded_batches, mix, ship, text_chunks, written
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 ship(__name__)
 
@@ -88,19 +88,19 @@ def _write(folder: str, tokenizer: str, spaced: bool, end_id: int, width: int):
         shard, out, tokens, at, before, times = TaskContext.get().partitionId(), None, None, 0, (), 0
         for batch in batches:
             ids = batch.column(0)
-            for first, last, _, _ in text_chunks(batch):
+            for first, last, data, cuts in text_chunks(batch):
                 if out is None:
                     tokens, out = encoder(tokenizer, spaced), _Output(shard_name(folder, shard))
                     out.handle.write(MAGIC + width.to_bytes(8, "little"))
-                texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
+                found, bounds = with_end(*tokens.encode_flat(data, cuts), end_id)
+                out.handle.write(found.astype(f"<u{width}").tobytes())
                 rows: list[list] = [[] for _ in _RECORDS]
-                for doc, found in zip(ids.slice(first, last - first).to_pylist(), tokens.encode(texts)):
+                for doc, length in zip(ids.slice(first, last - first).to_pylist(), np.diff(bounds).tolist()):
                     times = times + 1 if (doc,) == before else 0
                     before = (doc,)
-                    for column, value in zip(rows, (doc, times, shard, at, len(found) + 1)):
+                    for column, value in zip(rows, (doc, times, shard, at, length)):
                         column.append(value)
-                    out.handle.write(np.append(found, np.uint32(end_id)).astype(f"<u{width}").tobytes())
-                    at += len(found) + 1
+                    at += length
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, _RECORDS)], schema=_RECORDS)
         if out is not None:
             out.done()

@@ -1,32 +1,42 @@
 """Token ids of whole texts with a public tokenizer file.
 
-Texts are cut where every pre-tokenizer of the supported files cuts anyway (white space), so a
-piece has the same ids wherever it stands.  Pieces seen before come from a table of bounded
-size, new ones are encoded together by the tokenizers library.
+Texts are cut into units where every pre-tokenizer of the supported files cuts anyway, so a
+unit has the same ids wherever it stands: before a blank, and between letters, marks and line
+breaks of plain pieces.  Anything else, a piece with other characters or a text with odd
+blanks, is one unit that the tokenizer cuts itself.  Units are hashed and made distinct in
+numpy; ids of units seen before come from a table of bounded size, new ones are asked from the
+tokenizers library.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import ship, worker_cache
+from .common import U64, mix, powers, ship, worker_cache
 
 ship(__name__)
 
-#: Pieces remembered at most; then the table starts anew.  About 150 bytes each.
-PIECES = 400_000
-#: Characters of new pieces that are encoded as one text.
-JOIN_CHARS = 20_000
-
-_ODD_BLANKS = re.compile(r" (?=\s)| \Z")
-
-#: Letters and then marks: two units for every supported file, so the model can be asked
-#: directly.  Apostrophes are left out (contractions), as are letters that are not composed.
-_PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-&(-/:-@\[-`{-~]*)\Z")
+#: Units and ids remembered at most; then the table starts anew.
+UNITS, IDS = 800_000, 4_000_000
+#: Slots of the array in which units are looked up first; a slot holds the unit it saw last.
+SLOTS = 1 << 19
+
+BLANK, BREAK, LETTER, MARK, OTHER = range(5)
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+_CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = MARK
+_CLASS[ord("'")] = OTHER  # contractions
+_CLASS[32], _CLASS[10] = BLANK, BREAK
+#: Second bytes of the letters from U+00C0 to U+00FF, all but the two signs among them.
+_LATIN = np.zeros(256, bool)
+_LATIN[128:192] = True
+_LATIN[[0x97, 0xB7]] = False
+#: First bytes of blanks and of characters that may be blanks.
+_MAYBE_BLANK = np.zeros(256, bool)
+_MAYBE_BLANK[[*range(33), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def _byte_level(text: str) -> str:
@@ -34,142 +44,146 @@ def _byte_level(text: str) -> str:
     return "".join(part for part, _ in unit.pre_tokenize_str(text))
 
 
-_BYTES = {c: _byte_level(chr(c)) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)}
+_BYTES = {c: _byte_level(chr(c)) for c in [10, 32, *range(0xC0, 0x100)]}
 
 
 class Encoder:
-    """``encode(texts)`` gives uint32 arrays, equal to encoding each text by itself.
+    """Ids equal to encoding each text by itself.
 
     ``spaced``: the file keeps a blank as part of the word after it (byte-level files), else
-    it drops white space.  Special tokens within a text are ordinary text.
+    it lower-cases and drops white space.  Special tokens within a text are ordinary text.
     """
 
     def __init__(self, path: str, spaced: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.before = _byte_level(" ") if spaced else ""
-        self.marks: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
+        self.slot_key, self.slot_unit = np.zeros(SLOTS, U64), np.zeros(SLOTS, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known, new, numbers, heads = self.known, [], [], []
-        for text in texts:
-            head = None
-            if self.spaced:
-                if _ODD_BLANKS.search(text):
-                    numbers.append(None)
-                    heads.append(self.whole(text))
-                    continue
-                first, _, text = text.partition(" ")
-                head = self.whole(first)
-                pieces = text.split(" ") if text else []
-            else:
-                pieces = text.replace("\n", " ").split(" ")
-            found = list(map(known.get, pieces))
-            if None in found:
-                for i, number in enumerate(found):
-                    if number is None:
-                        piece = pieces[i]
-                        number = known.get(piece)
-                        if number is None:
-                            number = known[piece] = len(known)
-                            new.append(piece)
-                        found[i] = number
-            numbers.append(np.array(found, np.int64))
-            heads.append(head)
+        raw = [t.encode() for t in texts]
+        offsets = np.cumsum([0] + [len(r) for r in raw])
+        ids, bounds = self.encode_flat(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    def encode_flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin (and the end)."""
+        starts, odd, low = self._units(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        keys = self._keys(low, starts, ends, odd)
+        if not self.spaced and len(starts):  # white space between units has no ids
+            solid = (_CLASS[data[starts]] > BREAK) | odd
+            starts, ends, odd, keys = starts[solid], ends[solid], odd[solid], keys[solid]
+        slot = (keys & U64(SLOTS - 1)).astype(np.int64)
+        unit = self.slot_unit[slot].astype(np.int64)
+        missed = np.flatnonzero(self.slot_key[slot] != keys)
+        distinct, first, inverse = np.unique(keys[missed], return_index=True, return_inverse=True)
+        first = missed[first]
+        numbers = list(map(self.known.get, distinct.tolist()))
+        new = [i for i, number in enumerate(numbers) if number is None]
         if new:
-            self._learn(new)
-        result = []
-        for number, head in zip(numbers, heads):
-            if number is None:
-                result.append(head)
-                continue
-            ids = self._gather(number)
-            result.append(ids if head is None else np.concatenate([head, ids]))
-        if len(known) > PIECES:
+            self._reserve(len(self.known) + len(new))
+            learned = []
+            for i in new:
+                at = first[i]
+                learned.append(self._ids(low[starts[at]:ends[at]].tobytes(), data[starts[at]:ends[at]].tobytes(), odd[at]))
+                numbers[i] = self.known[int(distinct[i])] = len(self.known)
+            self._store(len(self.known) - len(new), learned)
+        if len(missed):
+            numbers = np.array(numbers, np.int64)
+            unit[missed] = numbers[inverse]
+            self.slot_key[slot[first]], self.slot_unit[slot[first]] = distinct, numbers
+        lengths = self.lengths[unit]
+        after = np.append(0, np.cumsum(lengths))
+        shift = np.repeat(self.starts[unit] - after[:-1], lengths)
+        ids = self.flat[shift + np.arange(after[-1])]
+        bounds = after[np.searchsorted(starts, offsets)]
+        if len(self.known) > UNITS or self.used > IDS:
             self._clear()
-        if len(self.marks) > 10_000:
-            self.marks.clear()
-        return result
-
-    def _gather(self, numbers: np.ndarray) -> np.ndarray:
-        lengths = self.lengths[numbers]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        shift = np.repeat(self.starts[numbers] - (ends - lengths), lengths)
-        return self.flat[shift + np.arange(total)]
-
-    def _learn(self, new: list[str]) -> None:
-        base = len(self.known) - len(new)
-        if len(self.known) > len(self.starts):
+        return ids, bounds
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where units start, which of them the tokenizer has to cut itself, and the bytes to look at."""
+        n = len(data)
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        kind = _CLASS[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3) if n else np.zeros(0, np.int64)
+        lead = lead[_LATIN[data[lead + 1]]]
+        kind[lead] = kind[lead + 1] = LETTER
+        low = data
+        if not self.spaced:
+            low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+            upper = lead[data[lead + 1] < 0x9F] + 1
+            low[upper] += 32
+        begin = edge[:n] | (kind == BLANK)
+        if not self.spaced:
+            begin |= kind == BREAK
+        piece = np.cumsum(begin) - 1
+        pieces = int(piece[-1]) + 1 if n else 0
+        odd_piece = np.bincount(piece[kind == OTHER], minlength=pieces) > 0
+        inner = np.zeros(n, bool)
+        inner[1:] = kind[1:] != kind[:-1]
+        if self.spaced:
+            inner[1:] &= kind[:-1] != BLANK  # a blank is part of what follows it
+            two = np.flatnonzero((kind[1:] == BREAK) & (kind[:-1] == BREAK)) + 1 if n else np.zeros(0, np.int64)
+            odd_piece[piece[two]] = True
+        cut = begin | (inner & ~odd_piece[piece]) if n else begin
+        if self.spaced and n:
+            # a blank before white space or at the end belongs to a run that only the whole text decides
+            follows = _MAYBE_BLANK[np.append(data[1:], 0)] | edge[1:]
+            text = np.searchsorted(offsets, np.flatnonzero((kind == BLANK) & follows), "right") - 1
+            for t in np.unique(text).tolist():
+                a, b = int(offsets[t]), int(offsets[t + 1])
+                cut[a:b] = False
+                cut[a] = True
+                odd_piece[piece[a]] = True
+        starts = np.flatnonzero(cut)
+        return starts, odd_piece[piece[starts]] if n else np.zeros(0, bool), low
+
+    @staticmethod
+    def _keys(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        up, down = powers(len(low))
+        sums = np.zeros(len(low) + 1, U64)
+        np.cumsum((low.astype(U64) + U64(1)) * up, out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * down[starts] + odd.astype(U64) * U64(0x632BE59BD9B4E019))
+
+    def _ids(self, low: bytes, raw: bytes, odd: bool) -> list[int]:
+        if odd:
+            return self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
+        return [t.id for t in self.tokenizer.model.tokenize(low.decode().translate(_BYTES))]
+
+    def _reserve(self, units: int) -> None:
+        if units > len(self.starts):
             for name in ("starts", "lengths"):
-                grown = np.zeros(2 * len(self.known), np.int64)
-                grown[:base] = getattr(self, name)[:base]
+                grown = np.zeros(2 * units, np.int64)
+                grown[:len(getattr(self, name))] = getattr(self, name)
                 setattr(self, name, grown)
-        at = 0
-        while at < len(new):
-            group, chars = [], 0
-            while at < len(new) and (not group or chars < JOIN_CHARS):
-                group.append(new[at])
-                chars += len(new[at]) + 1
-                at += 1
-            ids, counts = self._encode_pieces(group)
-            if self.used + len(ids) > len(self.flat):
-                grown = np.zeros(2 * (self.used + len(ids)), np.uint32)
-                grown[:self.used] = self.flat[:self.used]
-                self.flat = grown
-            self.flat[self.used:self.used + len(ids)] = ids
-            first = base + at - len(group)
-            self.lengths[first:first + len(group)] = counts
-            self.starts[first:first + len(group)] = self.used + np.cumsum(counts) - counts
-            self.used += len(ids)
-
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, one after the other, and how many each has."""
-        ids: list[list[int]] = [[]] * len(pieces)
-        other = []
-        for i, piece in enumerate(pieces):
-            plain = _PLAIN.match(piece)
-            if plain:
-                word, marks = plain.groups()
-                ids[i] = self._model_ids(self.before + (word if self.spaced else word.lower()).translate(_BYTES))
-                if marks:
-                    known = self.marks.get(marks)
-                    if known is None:
-                        known = self.marks[marks] = self._model_ids(marks)
-                    ids[i] = ids[i] + known
-            elif piece or self.spaced:
-                other.append(i)
-        for i, found in zip(other, self._joined([pieces[i] for i in other])):
-            ids[i] = found
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
-
-    def _model_ids(self, unit: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(unit)]
-
-    def _joined(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of any pieces, encoded as one text; token starts tell the piece."""
-        if not pieces:
-            return []
-        got = self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False)
-        begins = np.array([o[0] for o in got.offsets], np.int64)
-        sizes = np.array([len(p) + 1 for p in pieces], np.int64)
-        bounds = np.cumsum(sizes) - sizes
-        cuts = np.searchsorted(begins, bounds).tolist() + [len(begins)]
-        ids = got.ids
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _store(self, first: int, learned: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, learned), np.int64, len(learned))
+        end = self.used + int(lengths.sum())
+        if end > len(self.flat):
+            grown = np.zeros(2 * end, np.uint32)
+            grown[:self.used] = self.flat[:self.used]
+            self.flat = grown
+        self.flat[self.used:end] = np.fromiter(chain.from_iterable(learned), np.uint32, end - self.used)
+        self.lengths[first:first + len(learned)] = lengths
+        self.starts[first:first + len(learned)] = self.used + np.cumsum(lengths) - lengths
+        self.used = end
+
+
+def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and bounds with an end id after each text."""
+    return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
