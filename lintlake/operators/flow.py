@@ -60,10 +60,13 @@ LEXERS = {
 _LOOP_WORD = r"\b(?:for|foreach|while)\b"
 _STRING_START = r"""^(?:[rRbBuUfF]{1,2}|[$@]{1,2}|\$+)?["']"""
 
-# balanced brackets up to four levels, strings inside skipped
+# balanced brackets of four levels, strings inside skipped; ``statements`` turns what is deeper
+# into the marks below, so every nesting is seen
+DEEP = "\ue000\ue001"
+_LEVELS = 4
 _QUOTED = r'"(?:[^"\\]|\\.)*+"|' + r"'(?:[^'\\]|\\.)*+'"
 ARGS = r"\((?:[^()\"']|" + _QUOTED + r")*+\)"
-for _ in range(3):
+for _ in range(_LEVELS - 1):
     ARGS = r"\((?:[^()\"']|" + _QUOTED + "|" + ARGS + r")*+\)"
 # receiver of a call; reluctant, so that every call of a chain gets its turn
 _CHAIN = r"(?:\w+(?:\s*" + ARGS + r")?\s*\.\s*)*?"
@@ -163,6 +166,37 @@ def _count(expr: str, chars: str) -> str:
     return f"(length({expr}) - length(translate({expr}, '{chars}', '')))"
 
 
+def _depth(expr: str, opening: str, closing: str) -> str:
+    """How deep brackets are nested at most."""
+    step = f"if(contains({quote(opening)}, t), 1, -1)"
+    return (f"aggregate(regexp_extract_all({expr}, {quote('[' + quote_set(opening + closing) + ']')}, 0), "
+            "named_struct('now', 0, 'most', 0), "
+            f"(a, t) -> named_struct('now', a.now + {step}, 'most', greatest(a.most, a.now + {step})), a -> a.most)")
+
+
+def quote_set(chars: str) -> str:
+    """Characters for use inside a regex set."""
+    return "".join("\\" + c for c in chars)
+
+
+def _shallow(expr: str) -> str:
+    """Code whose innermost brackets are marks until no nesting is deeper than the patterns see."""
+    inner = quote(r"\(([^()]*)\)")
+    return (f"CASE WHEN {_depth(expr, '(', ')')} > {_LEVELS} THEN aggregate(sequence(1, "
+            f"{_depth(expr, '(', ')')} - {_LEVELS}), {expr}, "
+            f"(a, i) -> regexp_replace(a, {inner}, '{DEEP[0]}$1{DEEP[1]}')) ELSE {expr} END")
+
+
+def _marked(text: str, code: str) -> str:
+    """Text with the marks of the code, which is aligned with it from the start."""
+    return (f"array_join(zip_with(split({text}, ''), split({code}, ''), "
+            f"(t, c) -> CASE WHEN contains('{DEEP}', c) THEN c ELSE coalesce(t, '') END), '')")
+
+
+def _unmarked(expr: str) -> str:
+    return f"translate({expr}, '{DEEP}', '()')"
+
+
 def _all_matches(expr: str, pattern: str, group: int = 0) -> str:
     return f"regexp_extract_all({expr}, {quote(pattern)}, {group})"
 
@@ -284,6 +318,11 @@ def statements(files: DataFrame, gated: bool = False) -> DataFrame:
             f"CASE WHEN {_PY} THEN regexp_replace(raw, '^\\\\s+', '') "
             f"ELSE regexp_replace(raw, {quote(trivia)}, '') END"))
         .withColumn("text", F.expr(f"CASE WHEN {_PY} THEN {strip_sql('raw')} ELSE lead END"))
+        .withColumn("bracket_depth", F.expr(_depth("code", "([{", ")]}")))
+        .withColumn("flat", F.expr(
+            f"CASE WHEN {_count('code', '(')} > {_LEVELS} THEN {_shallow('code')} ELSE code END"))
+        .withColumn("text", F.expr(f"CASE WHEN flat <> code THEN {_marked('text', 'flat')} ELSE text END"))
+        .withColumn("code", F.col("flat")).drop("flat")
         .withColumn("line", F.expr(f"cast(line0 + {_newlines('raw')} - {_newlines('lead')} as int)"))
         .withColumn("indent", F.expr("length(regexp_extract(raw, '^([ \\t]*)', 1))"))
         .drop("line0", "masked")
@@ -411,7 +450,7 @@ def scope_blocks(files: DataFrame) -> DataFrame:
     """Statement blocks (Java, C#) and functions (Python) with first and last statement."""
     return with_ranges(statements(files)).where("is_scope").select(
         "file_path", "language", F.col("no").alias("first_no"), "last_no", "line",
-        F.col("code").alias("header"))
+        F.expr(_unmarked("code")).alias("header"))
 
 
 def loop_blocks(files: DataFrame) -> DataFrame:
@@ -612,8 +651,9 @@ def _py_facts() -> list[str]:
     rhs = _first_match("text", assign, 2)
     # operators outside brackets make the right side an expression; else it is one value
     outer = rhs_code
-    for _ in range(4):
-        outer = f"regexp_replace({outer}, " + quote(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}") + ", '')"
+    brackets = quote(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}")
+    outer = (f"CASE WHEN bracket_depth > 0 THEN aggregate(sequence(1, bracket_depth), {outer}, "
+             f"(a, i) -> regexp_replace(a, {brackets}, '')) ELSE {outer} END")
     expression = f"({_search(outer, r'[+\-*/%|&^]')} AND NOT {_search(outer, r'^lambda\b')})"
     literal = _search(rhs_code, r'^"[^"]*"(?:\s*"[^"]*")*$')
     built = (
@@ -622,7 +662,7 @@ def _py_facts() -> list[str]:
         f"AND ({expression} OR {literal} OR contains({rhs}, '%'))"
     )
     fstring = (
-        r"""(?:^\(|,)\s*(f(?:"{3}(?:[^"]|"(?!""))*+"{3}|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'))\s*(?=[,)])"""
+        r"""(?:^\(|,)\s*(f(?:"{3}(?:[^"]|"(?!""))*+"{3}|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'))\s*(?=[,)])"""
     )
     call_args = _first_match("c", r"(?s)(" + ARGS + r")$")
     more = r"(?:\s*\.\s*\w+(?:" + ARGS + r")?)*"
@@ -675,7 +715,7 @@ def flow_hits(files: DataFrame) -> DataFrame:
 
     text = by_name(3, quote)
     return hits.select("file_path", "language", "platform", *[F.expr(e) for e in (
-        "name AS check", "b.line AS line_number", "b.quoted AS quoted",
+        "name AS check", "b.line AS line_number", _unmarked("b.quoted") + " AS quoted",
         by_name(1, quote) + " AS violation_type",
         by_name(2, lambda c: f"{c}D") + " AS confidence_score",
         f"if(b.word is null, {text}, replace({text}, '%s', b.word)) AS description",

@@ -95,3 +95,21 @@ def test_ids_of_one_manifest_do_not_mark_another(spark):
 def manifest_item():
     from lintlake.schema import MANIFEST_ITEM
     return MANIFEST_ITEM
+
+
+def nested(call, inner, depth):
+    return call + "(" + "".join(f"f{i}(" for i in range(depth)) + inner + ")" * depth + ")"
+
+
+@pytest.mark.parametrize("depth", [1, 4, 5, 20])
+def test_brackets_of_any_depth(spark, corpus, depth):
+    sources = {
+        "a.java": ("class A { void f(){ " + nested("x.executeQuery", '"SELECT a FROM t WHERE i=" + v', depth) + "; } }", "java_concat_call"),
+        "b.py": ("c = " + nested("psycopg2.connect", "1", depth) + "\n", "py_connect"),
+        "c.py": ("c = " + nested("MongoClient", "1", depth) + "\n", "py_mongo"),
+        "d.py": ('cur.execute(f"SELECT a FROM t WHERE i={i}", ' + nested("g", "1", depth) + ")\n", "py_fstring"),
+        "e.cs": ("class A { void F() { var c = " + nested("new SqlCommand", "q", depth) + "; } }", "cs_cmd_timeout"),
+    }
+    got = flow.flow_hits(corpus({n: t for n, (t, _) in sources.items()})).collect()
+    assert {(r.file_path, r.check) for r in got} == {(n, c) for n, (_, c) in sources.items()}
+    assert not any(mark in r.quoted for r in got for mark in flow.DEEP)
