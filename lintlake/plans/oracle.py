@@ -489,6 +489,17 @@ def build() -> dict[str, str]:
     out: dict[str, str] = {}
 
     # sources and sinks
+    # the corpus has neither escapes nor strings over several lines
+    slash, hash_ = r'//[^\n]*|/\*[^*]*\*/|', r'#[^\n]*|'
+    rest = r'\$?"[^"\n]*"|\w+|\s+|.'
+    blank = "regexp_replace({}, '[^\n]', ' ', 'g')"
+    out["code_mask"] = with_(META, SRC) + (
+        "SELECT file_path, CASE ext WHEN '.cs' THEN 'C#' WHEN '.py' THEN 'PYTHON' ELSE 'JAVA' END AS language, "
+        "array_to_string(list_transform(regexp_extract_all(content, CASE ext "
+        f"WHEN '.py' THEN {q(hash_ + '[fF]?' + rest)} ELSE {q(slash + rest)} END), lambda t: CASE "
+        f"WHEN (ext = '.py' AND t[1] = '#') OR (ext <> '.py' AND t[1:2] IN ('//', '/*')) THEN {blank.format('t')} "
+        f"WHEN t[-1] = '\"' THEN '\"' || {blank.format('t[2:-2]')} || '\"' ELSE t END), '') AS code "
+        "FROM code_files WHERE ext IN ('.cs', '.py', '.java')")
     out["src_discover_files"] = with_() + (
         f"SELECT {_PLACED} AS relative_path, CASE WHEN n % 7 = 4 THEN 'PYTHON' ELSE CASE ext WHEN '.cs' THEN 'C#' "
         f"WHEN '.py' THEN 'PYTHON' WHEN '.sql' THEN 'SQL' ELSE 'JAVA' END END AS route_language, "
