@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators.scan import VIOLATION_COLUMNS, all_facets
 from ..schema import SCAN_RESULT
 
-MAX_ROWS_PER_DOCUMENT = 100_000
 _BUCKETS = 1 << 20
 _FACET_FIELDS = {
     "violation_type": "violations_by_type", "severity": "violations_by_severity",
@@ -17,11 +16,12 @@ _FACET_FIELDS = {
 
 
 def scan_documents(files: DataFrame, violations: DataFrame, repo: str = "repo",
-                   max_rows: int = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
-    """One scan-result document per repository (repo_path, violations, stats).
+                   max_rows: int | None = None) -> DataFrame:
+    """One scan-result document per repository (repo_path, doc_no, violations, stats).
 
-    A repository with more than ``max_rows`` findings gets several documents, each with part
-    of the findings and the full statistics, so no row grows without bound and none is lost.
+    A document is one row. Where the caller asks for it with ``max_rows``, a repository with
+    more findings gets several documents: the first has the statistics, the others (doc_no
+    from 1) only findings, so nothing is counted twice and no row grows without bound.
     Which document a finding goes to is settled on counts per hashed file (small rows), then
     the findings follow by an equi-join on that hash, however large their repository is.
     """
@@ -31,10 +31,13 @@ def scan_documents(files: DataFrame, violations: DataFrame, repo: str = "repo",
     w = Window.partitionBy(repo).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         hashed.groupBy(repo, "bucket").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("doc_no", F.floor((F.sum("n").over(w) - 1) / max_rows).cast("int")).drop("n")
+        .withColumn("doc_no", F.floor((F.sum("n").over(w) - 1) / (max_rows or 1))).drop("n")
+        # numbers follow each other from 0, also where one file has more than max_rows findings
+        .withColumn("doc_no", F.dense_rank().over(Window.partitionBy(repo).orderBy("doc_no")) - 1)
     )
+    numbered = violations.withColumn("doc_no", F.lit(0)) if max_rows is None else hashed.join(placed, [repo, "bucket"])
     packed = (
-        hashed.join(placed, [repo, "bucket"])
+        numbered
         .groupBy(repo, "doc_no").agg(F.sort_array(F.collect_list(entry)).alias("rows"))
         .select(repo, "doc_no", F.transform("rows", lambda r: r["v"]).alias("violations"))
     )
@@ -51,19 +54,19 @@ def scan_documents(files: DataFrame, violations: DataFrame, repo: str = "repo",
             F.lit(None).cast("timestamp").alias("timestamp"), F.col(repo).alias("repo_path"),
             F.coalesce("doc_no", F.lit(0)).alias("doc_no"),
             F.coalesce("violations", F.array()).alias("violations"),
-            F.struct(
+            F.when(F.coalesce("doc_no", F.lit(0)) == 0, F.struct(
                 "total_files_scanned",
                 F.coalesce("total_violations", F.lit(0)).alias("total_violations"),
                 *[F.coalesce(F.col(name), empty_map).alias(name) for name in _FACET_FIELDS.values()],
                 F.lit(None).cast("double").alias("scan_duration_seconds"),
-            ).alias("stats"),
+            )).alias("stats"),
         )
     )
 
 
 def write_scan_json(documents: DataFrame, path: str) -> None:
-    """JSON lines, one document per line."""
-    documents.drop("doc_no").write.mode("errorifexists").json(path)
+    """JSON lines, one document per line, with its number within the repository."""
+    documents.write.mode("errorifexists").json(path)
 
 
 def indented_json(documents: DataFrame) -> DataFrame:

@@ -97,6 +97,17 @@ def manifest_item():
     return MANIFEST_ITEM
 
 
+def test_split_documents_hold_their_statistics_once(spark, sf):
+    from lintlake.plans.corpus import corpus_files
+    from lintlake.sources import results
+    files = corpus_files(spark, sf)
+    v = scan.scan_lines(files).withColumn("repo", F.substring_index("file_path", "/", 2))
+    whole, split = (results.scan_documents(files, v, max_rows=n) for n in (None, 2))
+    total = F.sum("stats.total_violations")
+    assert whole.agg(total).first() == split.agg(total).first()
+    assert split.where("doc_no > 0").where("stats is null").count() == split.where("doc_no > 0").count() > 0
+
+
 def nested(call, inner, depth):
     return call + "(" + "".join(f"f{i}(" for i in range(depth)) + inner + ")" * depth + ")"
 
