@@ -10,7 +10,7 @@ Works on three relations built with ordinary column functions and windows:
   is one backward running window per (file, key): no range join, no pairs.
 
 The whole chain is one linear plan with a single exchange on ``file_path``.  Every window
-is inside one file, and the reader bounds the size of a file.
+is inside one file.
 """
 
 from __future__ import annotations

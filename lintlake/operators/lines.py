@@ -1,7 +1,6 @@
 """Files to lines, contexts and sliding windows.
 
-A file is at most ``MAX_FILE_SIZE_KB`` (the reader drops larger ones), so the arrays
-built per file row are bounded whatever the size of the corpus.
+Arrays are built per file row: they are as large as one file, whatever the size of the corpus.
 """
 
 from __future__ import annotations
