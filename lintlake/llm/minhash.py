@@ -9,12 +9,12 @@ share of equal registers, corrected for chance collisions of the compressed valu
 Jaccard estimate; pairs far below the threshold are left out and all others are confirmed on
 their full shingle sets.
 
-No bucket is ever expanded into all its pairs at once.  Exact copies are folded into one
-representative first.  Then every bucket is a star around its smallest document, in a second
-round around a member drawn by hash, and links found so far join their documents into
-components.  Only pairs of a bucket that are still in different components and were not yet
-tested are looked at in the last round, which makes the result whole: every linked pair that
-shares a band ends in one component.
+Exact copies are folded into one representative first.  Then every bucket is a star around its
+smallest document, in a second round around a member drawn by hash, and links found so far join
+their documents into components.  The last round looks at what is left between components in a
+bucket: small buckets give their untested pairs, documents of large buckets are dealt to blocks
+and each pair of blocks is compared in memory, so no group is ever expanded into all its pairs
+and every linked pair that shares a band ends in one component.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,6 +40,13 @@ BANDS = BUCKETS // BAND_ROWS
 #: Estimates may be this far below the threshold: six standard deviations of 256 registers.
 MARGIN = 0.15
 EMPTY = np.uint16(0xFFFF)
+#: In the last round, buckets of up to so many members are expanded into pairs; those of larger
+#: ones are compared in blocks.
+SMALL_BUCKET = 24
+#: Linked pairs share at least so many of 51 bands, but for 4 in 10**8.
+SHARED_BANDS = 2
+BLOCK_DOCS = 512
+BLOCK_SHINGLES = 500_000
 
 _TAIL_BITS = 56
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()),
@@ -222,31 +230,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     keys = sketches.select("doc_id", "sketch").mapInArrow(_bands, "key bigint, doc_id bigint")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     members = written(keys.join(shared.select("key", "lo"), "key"), "buckets")
+    # later rounds only read the texts of documents that share a bucket
+    texts = written(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
 
-    tested = written(members.where("lo < doc_id").select(F.col("lo").alias("a"), F.col("doc_id").alias("b"))
-                     .distinct(), "pairs")
+    tested = written(_several(members.where("lo < doc_id").select(F.col("lo").alias("a"), F.col("doc_id").alias("b"))),
+                     "pairs")
     links = _links(tested, sketches, texts, width, percent)
     labels = written(components(links), "components")
-    for last in (False, True):
-        open_ = _open_buckets(members, labels)
-        if last:
-            other = open_.select("key", F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
-            pairs = open_.select("key", F.col("doc_id").alias("a"), F.col("component").alias("of_a")).join(
-                other, "key").where("of_a < of_b")
-        else:
-            drawn = open_.groupBy("key").agg(F.min(F.struct(
-                F.xxhash64("doc_id", "key").alias("h"), "doc_id", "component")).alias("r"))
-            pairs = open_.join(drawn, "key").where("component <> r.component").select(
-                F.col("r.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        tested = tested.union(pairs)
-        found = _links(pairs, sketches, texts, width, percent)
-        if not found.isEmpty():
-            edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = written(components(edges.union(found)), "components")
+    # second round: around a member drawn by hash
+    open_ = _open_buckets(members, labels)
+    drawn = open_.groupBy("key").agg(F.min(F.struct(
+        F.xxhash64("doc_id", "key").alias("h"), "doc_id", "component")).alias("r"))
+    pairs = _untested(_several(open_.join(drawn, "key").where("component <> r.component").select(
+        F.col("r.doc_id").alias("a"), F.col("doc_id").alias("b"))), tested)
+    labels = _joined(labels, _links(pairs, sketches, texts, width, percent))
+    tested = tested.union(pairs)
+    # last round: whatever is left between components
+    open_ = written(_open_buckets(members, labels), "open")
+    sized = open_.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"))
+    small = open_.join(sized.where(F.col("n") <= SMALL_BUCKET).select("key"), "key", "left_semi")
+    one, two = (small.select("key", F.col("doc_id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    pairs = _several(one.join(two, "key").where("of_a < of_b").select("a", "b"))
+    found = _links(_untested(pairs, tested), sketches, texts, width, percent)
+    large = open_.join(sized.where(F.col("n") > SMALL_BUCKET).select("key", "lo"), "key")
+    found = found.union(_family_links(large, sketches, texts, width, percent))
+    labels = _joined(labels, found)
     # ids that occur with several word sequences tie those sequences together
     of_rep = folds.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component"))
@@ -261,6 +269,92 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def _several(pairs: DataFrame) -> DataFrame:
+    """Pairs that occur in several buckets; chance seldom makes two documents meet twice.
+
+    In the two star rounds this leaves nothing out for good: the last round sees every bucket.
+    """
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").count().where(
+        F.col("count") >= SHARED_BANDS).select("a", "b")
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    return written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+
+def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Components after more links."""
+    found = written(found, "found")
+    if found.isEmpty():
+        return labels
+    edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return written(components(edges.union(found)), "components")
+
+
+def _compare(width: int, percent: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Links between components within a pair of blocks, one for each pair of components."""
+        docs, of = group["doc_id"].to_numpy(np.int64), group["component"].to_numpy(np.int64)
+        sets, sizes, sketch = [], [], []
+        for _, _, data, offsets in text_chunks(pa.RecordBatch.from_pandas(group[["text"]])):
+            shingles, n = shingle_sets(*hashed_words(data, offsets), width)
+            sets.append(shingles)
+            sizes.append(n)
+            sketch.append(registers(shingles, n))
+        sets, sizes, sketch = np.concatenate(sets), np.concatenate(sizes), np.concatenate(sketch)
+        near = np.zeros((len(docs), len(docs)), bool)
+        for i in range(len(docs)):
+            rest = np.flatnonzero(of[i + 1:] != of[i]) + i + 1
+            same = jaccard_estimate(sketch[i], sketch[rest], np.full(len(rest), sizes[i]), sizes[rest])
+            near[i, rest[same >= percent / 100 - MARGIN]] = True
+        wanted = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
+        if not len(wanted):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        number = np.full(len(docs), -1)
+        number[wanted] = np.arange(len(wanted))
+        row = np.repeat(number, sizes)
+        values, row = sets[row >= 0], row[row >= 0]
+        _, token, times = np.unique(values, return_inverse=True, return_counts=True)
+        shared = times[token] > 1  # a shingle of one text is in no intersection
+        column = np.cumsum(times > 1)[token[shared]] - 1
+        row = row[shared]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        common = np.zeros((len(wanted), len(wanted)), np.float32)
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+            first, last = np.searchsorted(column, [low, low + 8192])
+            held = np.zeros((len(wanted), 8192), np.float32)
+            held[row[first:last], column[first:last] - low] = 1
+            common += held @ held.T
+        n = sizes[wanted]
+        linked = near[np.ix_(wanted, wanted)] & (100 * common >= percent * (n[:, None] + n[None, :] - common))
+        i, j = np.nonzero(linked)
+        found = pd.DataFrame({"a": docs[wanted[i]], "b": docs[wanted[j]], "x": of[wanted[i]], "y": of[wanted[j]]})
+        return found.drop_duplicates(["x", "y"])[["a", "b"]]
+    return run
+
+
+def _family_links(large: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components among the documents of large buckets (key, lo, doc_id, component).
+
+    Documents that such buckets chain together are a family, dealt to blocks of bounded size;
+    every pair of blocks is compared in memory by sketch and then on the full sets.
+    """
+    family = components(large.select(F.col("lo").alias("a"), F.col("doc_id").alias("b"))).select(
+        F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    members = large.select("doc_id", "component").distinct().join(family, "doc_id").join(
+        sketches.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id")
+    members = written(members, "family")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_DOCS), F.sum("n") / F.lit(BLOCK_SHINGLES)))
+    placed = members.join(members.groupBy("family").agg(blocks.alias("blocks")), "family").withColumn(
+        "own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = placed.select("doc_id", "component", "family", F.least("own", "other").alias("i"),
+                          F.greatest("own", "other").alias("j"))
+    return dealt.join(texts, "doc_id").select("doc_id", "component", "text", "family", "i", "j").groupBy(
+        "family", "i", "j").applyInPandas(_compare(width, percent), "a bigint, b bigint")
+
+
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that still hold several components."""
     labelled = members.select("key", "doc_id").join(
