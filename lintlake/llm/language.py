@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, mix, ship, text_chunks, worker_cache
+from .common import U64, bounded_batches, mix, ship, text_chunks, worker_cache, written
 
 ship(__name__)
 
 BINS = 1 << 14
 #: Labelled documents of each language that the trigram counts are taken from, at most.
 SAMPLE_PER_LANGUAGE = 2000
+#: Short rows (language and its size, or a chosen document) that are broadcast at most.
+BROADCAST_ROWS = 200_000
 #: Added to every trigram count.
 SMOOTHING = 0.5
 STEPS = 12
@@ -92,15 +94,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                pa.array(counts[used])], names=["lang", "bin", "n"])
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Written, and broadcast where there are few of these short rows; else joined by a shuffle."""
+    rows = written(rows, "small")
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in order and their trigram probabilities (bins x languages).
 
     Takes the ``per_language`` documents of each language that come first by hash of doc_id;
     what reaches the driver is at most one number for each language and bin.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn(
-        "rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
+    known = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn(
+        "h", F.xxhash64("doc_id"))
+    sizes = _small(known.groupBy("lang").agg(F.count("*").alias("size")))
+    # the hash leaves about twice the documents wanted of each language, then their ranks decide
+    near = known.join(sizes, "lang").where(
+        F.pmod("h", F.lit(1 << 20)) * F.col("size") < F.lit(float(1 << 20) * 2 * per_language))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "doc_id"))
+    chosen = _small(near.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct())
     rows = labelled.select("text", "lang", "doc_id").join(chosen, ["doc_id", "lang"]).select("text", "lang")
     counts = rows.mapInArrow(_count, "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(
         F.sum("n").alias("n")).toPandas()
