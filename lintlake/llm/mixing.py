@@ -154,15 +154,9 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, max_repeats: float = 2.
     takes = written(mixed.select("order_key", "taken", times.alias("times")), "takes").withColumn(
         "no", F.row_number().over(number)).where("times > 0").select("order_key", "no", "times")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _order_key(docs).alias("order_key"))
-    several = takes.where("no > 1").isEmpty()
-    if several:  # no repeated rows that are taken: no need to number the documents
-        taken = rows.dropDuplicates(["order_key"]).join(takes, "order_key") if _repeats(rows) else rows.join(
-            takes, "order_key")
+    if takes.where("no > 1").isEmpty():  # every document taken has its key to itself
+        taken = rows.join(takes, "order_key")
     else:
         numbered = rows.withColumn("no", F.row_number().over(Window.partitionBy("order_key").orderBy("order_key")))
         taken = numbered.join(takes, ["order_key", "no"])
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
-
-
-def _repeats(rows: DataFrame) -> bool:
-    return not rows.groupBy("order_key").count().where("count > 1").isEmpty()
