@@ -96,6 +96,12 @@ def _order_key(docs: DataFrame) -> Column:
                           F.coalesce(docs["text"].cast("string"), F.lit(""))))
 
 
+def _demand(copy: int | Column = 0) -> Column:
+    """Cumulative demand, as a share of the target, at which a copy of a document (from 0) starts."""
+    start = (F.lit(copy) if isinstance(copy, int) else copy) * F.col("source_size") + F.col("before")
+    return F.when(F.col("target") > 0, F.least(F.lit(1.0), start / F.col("target")))
+
+
 def mix(docs: DataFrame, share: float = 1.5, max_repeats: float = 2.0, weights: tuple = WEIGHTS,
         schedules: tuple = SCHEDULES, whole: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken, position (and order_key, source) for every row.
@@ -109,6 +115,15 @@ def mix(docs: DataFrame, share: float = 1.5, max_repeats: float = 2.0, weights:
     documents without words have the position of their turn and take nothing.  Further columns
     are not looked at; an empty table gives an empty result.
     """
+    placed = _placed(docs, share, max_repeats, weights, schedules, whole)
+    sort_key = F.coalesce("position", F.lit(1.0) + F.col("turn"))
+    return placed.withColumn("sort_key", sort_key).orderBy("sort_key", "order_key").select(
+        "doc_id", "size", "source_size", "target", "taken", "position", "order_key", "source")
+
+
+def _placed(docs: DataFrame, share: float, max_repeats: float, weights: tuple, schedules: tuple,
+            whole: bool) -> DataFrame:
+    """The rows of :func:`mix` in any order, with what the positions of further copies need."""
     rows = written(docs.select(
         docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"),
         _source_key(docs["source"]).alias("key"), word_count(docs["text"]).alias("size"),
@@ -132,31 +147,37 @@ def mix(docs: DataFrame, share: float = 1.5, max_repeats: float = 2.0, weights:
     last = F.when(F.lit(2) * rest >= F.col("size"), F.col("size")).otherwise(0) if whole else F.greatest(
         F.lit(0), F.least("size", rest))
     done = lined.withColumn("taken", (passes * F.col("size") + last).cast("bigint"))
-    demand = F.when(F.col("target") > 0, F.least(F.lit(1.0), F.col("before") / F.col("target")))
     at = F.when((F.col("taken") > 0) | ((F.col("size") == 0) & (F.col("before") < F.col("target"))),
-                position(demand, F.col("rank"), schedules))
-    sort_key = F.coalesce("position", F.lit(1.0) + F.col("turn"))
-    return done.withColumn("position", at).withColumn("sort_key", sort_key).orderBy("sort_key", "order_key").select(
-        "doc_id", "size", "source_size", "target", "taken", "position", "order_key", "source")
+                position(_demand(), F.col("rank"), schedules))
+    return done.withColumn("position", at)
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.5, max_repeats: float = 2.0, weights: tuple = WEIGHTS,
                     schedules: tuple = SCHEDULES) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them whole, with all their columns.
 
-    Documents without words are taken once where their turn comes.  Cases as in :func:`mix`.
+    Every copy has its own training position, that of the demand at which it starts, and rows
+    come range-sorted by it.  Documents without words are taken once where their turn comes.
+    Cases as in :func:`mix`.
     """
-    mixed = mix(docs, share, max_repeats, weights, schedules, whole=True)
+    return _copies(docs, share, max_repeats, weights, schedules).orderBy("position", "order_key", "copy").select("row.*")
+
+
+def _copies(docs: DataFrame, share: float, max_repeats: float, weights: tuple, schedules: tuple) -> DataFrame:
+    """row, order_key, copy (from 0) and position of every copy that the mix takes."""
+    mixed = _placed(docs, share, max_repeats, weights, schedules, whole=True)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).when(
         F.col("position").isNotNull(), 1).otherwise(0).cast("int")
-    # rows of the same id and text share their key and are told apart by a running number
-    number = Window.partitionBy("order_key").orderBy("taken")
-    takes = written(mixed.select("order_key", "taken", times.alias("times")), "takes").withColumn(
-        "no", F.row_number().over(number)).where("times > 0").select("order_key", "no", "times")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _order_key(docs).alias("order_key"))
+    # rows of the same source, id and text share their key and are told apart by a running number
+    number = Window.partitionBy("order_key", "key").orderBy("before", "taken")
+    takes = written(mixed.select("order_key", "key", "taken", times.alias("times"), "source_size", "before", "target",
+                                 "rank"), "takes").withColumn("no", F.row_number().over(number)).where("times > 0").drop("taken")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _order_key(docs).alias("order_key"),
+                       _source_key(docs["source"]).alias("key"))
     if takes.where("no > 1").isEmpty():  # every document taken has its key to itself
-        taken = rows.join(takes, "order_key")
+        taken = rows.join(takes, ["order_key", "key"])
     else:
-        numbered = rows.withColumn("no", F.row_number().over(Window.partitionBy("order_key").orderBy("order_key")))
-        taken = numbered.join(takes, ["order_key", "no"])
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+        numbered = rows.withColumn("no", F.row_number().over(Window.partitionBy("order_key", "key").orderBy("order_key")))
+        taken = numbered.join(takes, ["order_key", "key", "no"])
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).select(
+        "row", "order_key", "copy", position(_demand(F.col("copy")), F.col("rank"), schedules).alias("position"))

@@ -163,3 +163,31 @@ def test_mixing_whole_documents_and_odd_rows(spark):
     assert times == {k: n for k, n in want.items() if n}
     assert mixing.mix(table(spark, [])).count() == 0
     assert mixing.mixed_documents(table(spark, [])).count() == 0
+
+
+def test_mixed_documents_follow_the_curriculum(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, f"u{i} " + " ".join(["w"] * rng.randint(0, 30)), None, rng.choice("aaaaaabc")) for i in range(300)]
+    docs = table(spark, rows)
+    sizes, texts = {}, {r[0]: r for r in rows}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(r[1].split())
+    target, rank, want = fill(sizes), {s: i for i, s in enumerate(sorted(sizes))}, {}
+    times = {r.doc_id: r.taken // r.size for r in mixing.mix(docs, whole=True).collect()}
+    for s in sizes:
+        before = 0
+        own = [r for r in docs.where(docs["source"] == s).withColumn("k", mixing._order_key(docs)).collect()]
+        for r in sorted(own, key=lambda r: r.k):
+            for n in range(times[r.doc_id]):
+                q = min(1.0, (n * sizes[s] + before) / target[s])
+                pieces = mixing.SCHEDULES[rank[s] % 3]
+                low, high = pieces[0][1], pieces[-1][1]
+                at = q if low == high else (np.sqrt(low * low + 2 * (high - low) * q) - low) / (high - low)
+                want.setdefault(r.doc_id, []).append(at)
+            before += len(texts[r.doc_id][1].split())
+    mixing.mixed_documents(docs).write.parquet(str(tmp_path / "mixed"))
+    import pyarrow.parquet as pq
+    got = [i for f in sorted((tmp_path / "mixed").glob("part-*")) for i in pq.read_table(f)["doc_id"].to_pylist()]
+    assert len(got) == sum(map(len, want.values())) and max(map(len, want.values())) == 2
+    positions = [want[i].pop(0) for i in got]
+    assert all(a <= b + 1e-9 for a, b in zip(positions, positions[1:]))
