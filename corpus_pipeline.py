@@ -10,8 +10,8 @@ from lintlake.llm.common import documents, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages stay; those without a letter, or in which no
-    language has half of the text, go."""
+    """Documents in one or several of the learned languages stay; those without a letter, or whose
+    trigrams fit no mixture of them, go."""
     return language.keep_identified(docs)
 
 

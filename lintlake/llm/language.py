@@ -27,12 +27,8 @@ BROADCAST_ROWS = 200_000
 #: Added to every trigram count.
 SMOOTHING = 0.5
 STEPS = 12
-#: Largest language set that is tried.
-LARGEST_SET = 4
 #: A further language has to gain this many times log(number of trigrams).
 PENALTY = 1.5
-#: Below this proportion no language stands for a document.
-LEAST_SHARE = 0.5
 UNKNOWN = "und"
 
 
@@ -137,14 +133,17 @@ def _expect(p: np.ndarray, counts: np.ndarray, starts: np.ndarray, of: np.ndarra
     return share, np.add.reduceat(fit, starts)
 
 
-def mixture(bins: np.ndarray, of: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
-    """Proportions (texts x languages), zero outside of the selected set and for texts without trigrams."""
+def mixture(bins: np.ndarray, of: np.ndarray, n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions (texts x languages), zero outside of the selected set and for texts without trigrams.
+
+    With them each text's log likelihood under its selected set, and its number of trigrams.
+    """
     languages = table.shape[1]
-    shares = np.zeros((n, languages), np.float32)
+    shares, fits, totals = np.zeros((n, languages), np.float32), np.zeros(n), np.zeros(n)
     cells = np.bincount(of * BINS + bins, minlength=n * BINS)
     used = np.flatnonzero(cells)
     if not len(used) or not languages:
-        return shares
+        return shares, fits, totals
     counts, of, p = cells[used].astype(np.float32), used // BINS, table[used % BINS]
     present, starts, of = np.unique(of, return_index=True, return_inverse=True)
     total = np.add.reduceat(counts, starts)
@@ -152,12 +151,13 @@ def mixture(bins: np.ndarray, of: np.ndarray, n: int, table: np.ndarray) -> np.n
     single = np.add.reduceat(np.log(p) * counts[:, None], starts, axis=0)
     best = single.argmax(axis=1)
     price = PENALTY * np.log(np.maximum(total, 2))
-    score = single[np.arange(len(present)), best] - price
+    chosen_fit = single[np.arange(len(present)), best].astype(float)
+    score = chosen_fit - price
     chosen = np.eye(languages, dtype=np.float32)[best]
-    # no set can fit better than the mixture of all, so most texts need no second look
-    more = fit - 2 * price > score
     order = np.argsort(-full, axis=1, kind="stable")
-    for size in range(2, min(LARGEST_SET, languages) + 1):
+    for size in range(2, languages + 1):
+        # no set can fit better than the mixture of all, so most texts need no second look
+        more = fit - size * price > score
         rows = np.flatnonzero(more)
         if not len(rows):
             break
@@ -170,29 +170,43 @@ def mixture(bins: np.ndarray, of: np.ndarray, n: int, table: np.ndarray) -> np.n
         share, fit_part = _expect(p[part], counts[part], begin, own, start / start.sum(axis=1)[:, None], STEPS)
         better = fit_part - size * price[rows] > score[rows]
         score[rows[better]] = (fit_part - size * price[rows])[better]
-        chosen[rows[better]] = share[better]
-    shares[present] = chosen
-    return shares
+        chosen[rows[better]], chosen_fit[rows[better]] = share[better], fit_part[better]
+    shares[present], fits[present], totals[present] = chosen, chosen_fit, total
+    return shares, fits, totals
+
+
+def well_fitted(shares: np.ndarray, fits: np.ndarray, totals: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Texts whose trigrams are at least as near to what their languages lead one to expect as to arbitrary ones.
+
+    Each proportion is expected to be as likely as texts of its language are, arbitrary trigrams
+    as the mean over all bins; a text is below the middle of both only by more than chance.
+    """
+    logs = np.log(table.astype(float))
+    own, arbitrary = (table * logs).sum(axis=0), logs.mean(axis=0)
+    expected = (shares * (own + np.log(np.maximum(shares, 1e-9)))).sum(axis=1)
+    middle = (expected + (shares * (arbitrary + np.log(np.maximum(shares, 1e-9)))).sum(axis=1)) / 2
+    return fits >= totals * middle - PENALTY * np.log(np.maximum(totals, 2))
 
 
 def _predict(langs: list[str], model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         for batch in batches:
-            names, scores = [], []
+            names, scores, fitted = [], [], []
             # fewer texts at once where texts are short: the count table is texts x bins
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 for first, last, data, offsets in text_chunks(part):
                     bins, of, lettered = trigram_bins(data, offsets)
-                    shares = mixture(bins, of, last - first, table)
+                    shares, fits, totals = mixture(bins, of, last - first, table)
+                    fitted += well_fitted(shares, fits, totals, table).tolist()
                     top = shares.argmax(axis=1) if langs else np.zeros(last - first, int)
                     for i, t in enumerate(top.tolist()):
                         known = bool(langs) and lettered[i]
                         names.append(langs[t] if known else UNKNOWN)
                         scores.append(min(1.0, max(0.0, float(shares[i, t]))) if known else 0.0)
-            yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                  names=["row", "lang_pred", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
+                                   pa.array(fitted, pa.bool_())], names=["row", "lang_pred", "score", "fitted"])
     return run
 
 
@@ -202,7 +216,7 @@ def in_held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, row: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """row, lang_pred, score for every row of ``docs``; ``row`` may be any column of it.
+    """row, lang_pred, score, fitted for every row of ``docs``; ``row`` may be any column of it.
 
     Learns from text and lang of documents outside of the held-out part; predicts from the
     text alone.  Null, empty and letterless texts are ``und`` with score 0, as is everything
@@ -219,7 +233,7 @@ def identify(docs: DataFrame, row: Column, per_language: int = SAMPLE_PER_LANGUA
     rows = docs.select(row.alias("row"), text.alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_predict(langs, spark.sparkContext.broadcast(table)),
-                           f"row {kind}, lang_pred string, score double")
+                           f"row {kind}, lang_pred string, score double, fitted boolean")
 
 
 def predict_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
@@ -229,6 +243,6 @@ def predict_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE)
 
 
 def keep_identified(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """The rows of ``docs`` in one of the learned languages; those without one go."""
+    """The rows of ``docs`` in one or several of the learned languages; those without a letter or a fit to any go."""
     found = identify(docs, F.struct(*[docs[c] for c in docs.columns]), per_language)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    return found.where((F.col("lang_pred") != UNKNOWN) & F.col("fitted")).select("row.*")

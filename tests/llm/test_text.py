@@ -48,6 +48,21 @@ def test_languages_of_odd_rows(spark):
     assert (alone[0].lang_pred, alone[0].score) == ("und", 0.0)
 
 
+def test_clean_documents_in_many_languages_stay(spark):
+    import random
+    rng, rows, parts = random.Random(3), [], []
+    for n, letters in enumerate(("abcde", "fghij", "klmno", "pqrst", "uvwxy", "äöüßé")):
+        text = lambda words: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(words))  # noqa: B023, E731
+        rows += [(100 * n + i, text(200), f"l{n}") for i in range(30)]
+        parts.append(text(60))
+    rows += [(1000, " ".join(parts[:3])), (1001, " ".join(parts)), (1002, "ελληνικα γραμματα ειναι αλλα " * 40)]
+    docs = table(spark, rows)
+    kept = {r.doc_id for r in language.keep_identified(docs).collect()}
+    assert kept == {r[0] for r in rows} - {1002}
+    scores = {r.doc_id: r.score for r in language.predict_languages(docs).collect()}
+    assert scores[1000] < 0.5 and scores[1001] < 0.22
+
+
 def plain_spans(text):
     assign = [(m.start(), 0, m.end()) for m in re.finditer(
         r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII)
