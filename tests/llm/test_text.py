@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from helpers import SF, odd_rows, table
@@ -113,6 +114,17 @@ def test_training_is_repeatable():
     assert secrets.train([], negative).threshold > 1
 
 
+def test_threshold_keeps_the_recall():
+    network = secrets.Network()
+    network.logits = lambda codes: codes[:, 0].astype(float)
+    z = np.concatenate([np.linspace(0, 9, 100), np.linspace(-9, 3, 300)])
+    y = np.array([1.0] * 100 + [0.0] * 300)
+    network.calibrate(z[:, None], y, 0.98)
+    passed = network.probability(z[:, None]) >= network.threshold
+    assert passed[:100].mean() >= 0.98 and network.threshold < 0.9
+    assert network.precision == y[passed].mean()
+
+
 def plain_licenses(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(licenses.WORD, low)
