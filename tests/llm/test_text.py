@@ -125,6 +125,28 @@ def test_threshold_keeps_the_recall():
     assert network.precision == y[passed].mean()
 
 
+def test_copies_of_a_bare_secret_are_no_counterexamples(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(100).collect()
+    rows = [(r.doc_id, r.text) for r in docs]
+    rows += [(1000 + i, f'token = "{7 ** (45 + i):x}" end') for i in range(30)]
+    rows += [(5000 + i, f"note {i} see ghX4kQ9zT2mB7wR5vN8cJ1dL6pF3sA0y here {i}") for i in range(600)]
+    found = secrets.scan_secrets(table(spark, rows)).where("doc_id >= 5000").collect()
+    assert len(found) == 600 and all("model:" in r.spans for r in found)
+
+
+def test_windows_cover_tokens_of_any_length_and_kind(spark):
+    for n in (1, 47, 48, 49, 72, 73, 500):
+        seen = {i for p in secrets.places(3, 3 + n) for i in range(p, min(3 + n, p + secrets.BODY))}
+        assert seen == set(range(3, 3 + n))
+    assert secrets.candidates("ab QWJXZKPVNMRT 12") == [(0, 2), (3, 15), (16, 18)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(100).collect()
+    rows = [(r.doc_id, r.text) for r in docs] + [(1000 + i, f'token = "{7 ** (45 + i):x}" end') for i in range(30)]
+    path = "home/users/projects/website/assets/images/large/summer/"
+    rows += [(5000, f"see {path}ghX4kQ9zT2mB7wR5vN8cJ1dL6pF3sA0y here"), (5001, f"see {path}summer here")]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(table(spark, rows)).collect()}
+    assert f"model:4:{4 + len(path) + 32}" in got[5000] and f"model:4:{4 + len(path) + 6}" not in got[5001]
+
+
 def plain_licenses(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(licenses.WORD, low)
