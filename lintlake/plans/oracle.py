@@ -514,6 +514,9 @@ def build() -> dict[str, str]:
         f"CASE WHEN bytes > 1024 THEN left(txt, 1024) || {q(TRUNCATION_MARKER)} ELSE txt END AS t FROM ("
         f"SELECT file_path, CASE length(content) % 3 WHEN 2 THEN content ELSE content || 'é' END AS txt, "
         f"strlen(content) + CASE length(content) % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 39 END AS bytes FROM code_files))")
+    out["src_read_decode_whole"] = with_() + (
+        "SELECT file_path AS relative_path, length(txt) AS n_chars, sha256(txt) AS hash FROM (SELECT file_path, "
+        "CASE length(content) % 3 WHEN 2 THEN content ELSE content || 'é' END AS txt FROM code_files)")
     out["sink_scan_json"] = on_hits(
         "SELECT f.repo AS repo_path, f.n AS files, coalesce(c.n, 0) AS violations, coalesce(c.n, 0) AS listed, "
         "t.by_type FROM (SELECT repo, count(*) AS n FROM files GROUP BY repo) f "

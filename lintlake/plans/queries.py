@@ -85,9 +85,8 @@ def _file_language(spark, sf):
         "doc_id", "path", route_language("path").alias("language"))
 
 
-@query("src_read_decode")
-def _read_decode(spark, sf):
-    """Some files as UTF-8, some as Latin-1, some with other line ends; cut at one kilobyte."""
+def _decoded(spark, sf, truncate_kb=None):
+    """Some files as UTF-8, some as Latin-1, some with other line ends, written and read."""
     root = scratch_dir(spark, "bytes")
     kind = "line_count % 3"
     data = F.expr(
@@ -97,11 +96,22 @@ def _read_decode(spark, sf):
     files = _CODE(spark, sf).withColumn("line_count", F.length("content")).withColumn("data", data)
     src.write_files(files, root, content="data")
     found = src.discover_files(spark, root, ordered=False)
-    read = src.read_files(found, truncate_kb=1)
+    read = src.read_files(found, truncate_kb=truncate_kb)
     return read.select("relative_path", F.length("content").cast("bigint").alias("n_chars"),
                        code_hash(F.col("content")).alias("hash"))
 
 
+@query("src_read_decode")
+def _read_decode(spark, sf):
+    """Cut at one kilobyte."""
+    return _decoded(spark, sf, truncate_kb=1)
+
+
+@query("src_read_decode_whole")
+def _read_decode_whole(spark, sf):
+    return _decoded(spark, sf)
+
+
 def _documents(spark, sf):
     files, violations = _CODE(spark, sf), _with_repo(_violations(spark, sf))
     return results.scan_documents(files, violations)

@@ -124,3 +124,16 @@ def test_brackets_of_any_depth(spark, corpus, depth):
     got = flow.flow_hits(corpus({n: t for n, (t, _) in sources.items()})).collect()
     assert {(r.file_path, r.check) for r in got} == {(n, c) for n, (_, c) in sources.items()}
     assert not any(mark in r.quoted for r in got for mark in flow.DEEP)
+
+
+def test_whole_files_are_decoded_by_a_registered_query(spark, sf, monkeypatch):
+    import hashlib
+
+    from lintlake.plans import queries
+
+    texts = {f"repo/src/f{n}.py": "x = 1\n" * 500 + "#" * n for n in range(3)}  # one of each encoding
+    files = spark.createDataFrame(list(texts.items()), "file_path string, content string")
+    monkeypatch.setattr(queries, "_CODE", lambda spark, sf: files)
+    got = {r.relative_path: (r.n_chars, r.hash) for r in queries.QUERIES["src_read_decode_whole"](spark, sf).collect()}
+    want = {p: t if len(t) % 3 == 2 else t + "é" for p, t in texts.items()}
+    assert got == {p: (len(t), hashlib.sha256(t.encode()).hexdigest()) for p, t in want.items()}
