@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, licenses, minhash, mixing, packing, passages, secrets, store, topk
+from . import (
+    centroids, exact, language, licenses, minhash, mixing, packing, passages, resampling, secrets, store, topk, vptree,
+)
 from .common import documents
 
 
@@ -55,10 +57,43 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
                              spaced=True, end_id=0)
 
 
+def op11_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_centroids(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), clusters=16, rounds=3,
+                                       dim=64, scale=64, seed="1")
+
+
+def op12_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"),
+                               percent=5, least_words=20, seed="42")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minhash_near_dedup, op2_language_id, op3_exact_dedup, op4_secret_scan, op5_best_fit_packing, op6_license_scan, op7_source_mixing,
-        op8_passage_chaining, op9_topk_products, op10_token_store)}
+        op8_passage_chaining, op9_topk_products, op10_token_store, op11_orchard_clusters, op12_vantage_neighbours,
+        op13_importance_resampling)}
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """Assignment to the nearest centroid (squared distance, then number) and new centroids, round by round."""
+    return ",\n".join(rf"""near{r} AS MATERIALIZED (SELECT k.r, k.vec_id, min(
+        (list_inner_product(k.x, k.x) + list_inner_product(c.x, c.x) - 2 * list_inner_product(k.x, c.x))::BIGINT * 16 + c.c) AS m
+    FROM kept k CROSS JOIN cent{r} c GROUP BY k.r, k.vec_id),
+sums{r} AS (SELECT m % 16 AS c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+    SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept) JOIN near{r} USING (r) GROUP BY ALL),
+new{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM sums{r} GROUP BY c),
+cent{r + 1} AS MATERIALIZED (SELECT c, coalesce(new{r}.v, cent{r}.v) AS v, coalesce(new{r}.v, cent{r}.v)::DOUBLE[] AS x
+    FROM cent{r} LEFT JOIN new{r} USING (c))""" for r in range(rounds)) + f""",
+near{rounds} AS MATERIALIZED (SELECT k.r, k.vec_id, min(
+        (list_inner_product(k.x, k.x) + list_inner_product(c.x, c.x) - 2 * list_inner_product(k.x, c.x))::BIGINT * 16 + c.c) AS m
+    FROM kept k CROSS JOIN cent{rounds} c GROUP BY k.r, k.vec_id)"""
+
+
+_CRC_TABLE = ", ".join(map(str, resampling.crc_step().tolist()))
 
 def _license_rows() -> str:
     return ", ".join(f"({no}, '{label}', {base}, {at}, '{word}', {mandatory})"
@@ -143,4 +178,60 @@ scores AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS scor
     FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
 ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_orchard_clusters": rf"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, v, v::DOUBLE[] AS x FROM (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+cent0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR) NULLS LAST) - 1 AS c, v, x FROM kept
+    QUALIFY c < 16),
+{_centroid_rounds(3)},
+placed AS (SELECT vec_id, (m % 16)::INTEGER AS cluster, m // 16 AS distance FROM near3)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+    (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM placed JOIN cent3 ON c = cluster""",
+    "op12_vantage_neighbours": """
+WITH vectors AS MATERIALIZED (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    # the CRC of every distinct feature, byte by byte
+    "op13_importance_resampling": rf"""
+WITH RECURSIVE texts AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, * FROM (
+        SELECT false AS target, doc_id, text FROM documents UNION ALL SELECT true, NULL, text FROM benchmark)),
+words AS MATERIALIZED (
+    SELECT r, target, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS MATERIALIZED (
+    SELECT r, target, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))],
+        [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])) AS f FROM words),
+counted AS MATERIALIZED (SELECT r, target, f, count(*) AS n FROM features GROUP BY ALL),
+named AS MATERIALIZED (SELECT f, hex(encode(f)) AS h, row_number() OVER () AS id FROM (SELECT DISTINCT f FROM counted)),
+crc(id, i, state) AS (
+    SELECT id, 0, 4294967295 FROM named
+    UNION ALL
+    SELECT id, i + 1, xor(state >> 8, [{_CRC_TABLE}][(xor(state & 255,
+        (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1) + 1)::BIGINT])
+    FROM crc JOIN named USING (id) WHERE 2 * i < len(h)),
+hashed AS MATERIALIZED (SELECT f, xor(state, 4294967295) % 10000 AS b FROM crc JOIN named USING (id) WHERE 2 * i = len(h)),
+totals AS (SELECT b, coalesce(sum(n) FILTER (NOT target), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (target), 0)::DOUBLE AS t
+    FROM counted JOIN hashed USING (f) GROUP BY b),
+gains AS (SELECT b, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM totals) + 10000)
+    / ((s + 1) * ((SELECT sum(t) FROM totals) + 10000))))::BIGINT AS gain FROM totals),
+weights AS (SELECT r, sum(n * gain)::BIGINT AS weight, sum(n)::BIGINT AS n_features
+    FROM counted JOIN hashed USING (f) JOIN gains USING (b) WHERE NOT target GROUP BY r),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE)
+        / 4294967296::DOUBLE))))::BIGINT AS score
+    FROM words LEFT JOIN weights USING (r) WHERE NOT target),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) FILTER (n_words >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank
+FROM placed""",
 }

@@ -72,7 +72,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 def test_registered():
     assert {"pipeline", *QUERIES} <= set(entry.queries())
-    assert sorted(int(n[2:n.index("_")]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:n.index("_")]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_against_plain_versions(spark, con):
