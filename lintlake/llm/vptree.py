@@ -100,6 +100,15 @@ def products(qs: np.ndarray, vs: np.ndarray) -> np.ndarray:
     return total
 
 
+def spread_out(points: np.ndarray, n: int) -> list[int]:
+    """Up to ``n`` distinct points, each the farthest from those before it, so that every clump has one."""
+    chosen, nearest = [0], points @ points[0]
+    while len(chosen) < n and nearest.min() < 1 - SLACK * SLACK:
+        chosen.append(int(nearest.argmin()))
+        np.maximum(nearest, points @ points[chosen[-1]], out=nearest)
+    return chosen
+
+
 # --- the tree of a shard ---------------------------------------------------------
 
 def build_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -363,13 +372,12 @@ class VantageIndex:
         self.tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         shard_rows = max(LEAF, SHARD_BYTES // (8 * dim))
         wanted = max(1, min(PIVOTS, n // shard_rows))
-        # distinct vectors in hash order: a bounded sample, then the pivots
         sample = vectors.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v").limit(SAMPLE).collect()
-        distinct = list(dict.fromkeys(bytes(r["v"]) for r in sample))[:wanted]
-        self.pivots = _padded(distinct, dim)
+        sampled = _padded([bytes(r["v"]) for r in sample], dim)
+        self.pivots = sampled[spread_out(_raised(sampled, longest), wanted)]
         dealt = written(vectors.select("vec_id", "v").mapInArrow(
             _dealt(self.pivots, dim, longest), "vec_id bigint, v binary, region int, angle double"), "dealt")
-        regions = len(distinct)
+        regions = len(self.pivots)
         self.low, self.high, self.parts = np.full(regions, np.inf), np.full(regions, -np.inf), np.ones(regions, np.int64)
         for r in dealt.groupBy("region").agg(F.count("*").alias("n"), F.min("angle").alias("low"),
                                              F.max("angle").alias("high")).collect():  # a row for each pivot
