@@ -201,14 +201,28 @@ class Head:
 
 
 def frequent(docs: DataFrame) -> tuple[list[bytes], list[bytes]]:
-    """The most frequent words and pairs of all texts: at most HEAD_WORDS and HEAD_PAIRS, whatever the input."""
-    counts = written(docs.select("text").mapInArrow(_counted(0), "key binary, n bigint").groupBy("key").agg(
-        F.sum("n").alias("n")), "counts")
+    """The most frequent words and pairs of all texts: at most HEAD_WORDS and HEAD_PAIRS, whatever the input.
+
+    A histogram of counts says from which count on so many are left, so nothing is sorted.
+    """
     pair = F.col("key").cast("string").contains(" ")
-    order = [F.col("n").desc(), "key"]
-    words = counts.where(~pair & (F.length("key") <= HEAD_BYTES)).orderBy(*order).limit(HEAD_WORDS)
-    pairs = counts.where(pair & (F.length("key") <= 2 * HEAD_BYTES + 1)).orderBy(*order).limit(HEAD_PAIRS)
-    return [bytes(r["key"]) for r in words.collect()], [bytes(r["key"]) for r in pairs.collect()]
+    counts = written(docs.select("text").mapInArrow(_counted(0), "key binary, n bigint").groupBy("key").agg(
+        F.sum("n").alias("n")).withColumn("pair", pair).withColumn("level", F.floor(F.log2("n") * 8))
+        .where(F.length("key") <= F.when(F.col("pair"), 2 * HEAD_BYTES + 1).otherwise(HEAD_BYTES)), "counts")
+    # eight rows for each doubling of the largest count
+    levels = sorted(map(tuple, counts.groupBy("pair", "level").agg(F.count("*").alias("n")).collect()), reverse=True)
+    found = []
+    for of_pairs, room in ((False, HEAD_WORDS), (True, HEAD_PAIRS)):
+        least = None
+        for is_pair, level, n in levels:
+            if is_pair == of_pairs:
+                room -= n
+                if room < 0:
+                    break
+                least = level
+        kept = counts.where((F.col("pair") == of_pairs) & (F.col("level") >= least)).collect() if least is not None else []
+        found.append([bytes(r["key"]) for r in sorted(kept, key=lambda r: (-r["n"], r["key"]))])
+    return found[0], found[1]
 
 
 # --- passes over the texts -------------------------------------------------------------------
