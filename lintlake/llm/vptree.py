@@ -28,7 +28,7 @@ from .common import bounded_batches, ship, written
 ship(__name__)
 
 #: Bytes of vectors in a shard, and vectors in a leaf of its tree.
-SHARD_BYTES, LEAF = 1 << 21, 64
+SHARD_BYTES, LEAF = 1 << 21, 128
 #: Queries handled together, and a bounded sample, the first by hash, that pivots are taken from.
 QUERY_ROWS, SAMPLE = 256, 4096
 #: Pivots at most: one row of bounds for each is all that the driver and tasks hold of the index.
@@ -400,8 +400,10 @@ class VantageIndex:
     def search(self, queries: DataFrame, k: int, relax: float) -> DataFrame:
         """block, place (which name a query), query_id, vec_id, score: the k nearest found of each."""
         dim, longest = self.dim, self.longest
-        blocks = written(queries.select("vec_id", "v").repartition(self.tasks, "vec_id").sortWithinPartitions(
-            "vec_id", "v").mapInArrow(_query_blocks(self.pivots, self.parts, dim, longest), _SHARD), "blocks")
+        queries = written(queries.select("vec_id", "v"), "queries")
+        # as many tasks as let every region fill its blocks
+        tasks = max(1, min(self.tasks, queries.count() // (QUERY_ROWS * len(self.pivots))))
+        blocks = written(queries.repartition(tasks, "vec_id").sortWithinPartitions("vec_id", "v").mapInArrow(_query_blocks(self.pivots, self.parts, dim, longest), _SHARD), "blocks")
         begun = written(self._meet(blocks.withColumn("place", F.lit(None).cast("binary")), k, relax, True,
                                    "region int, part int, block bigint, ids binary, vs binary, more binary, "
                                    "counts binary, found binary, scores binary"), "begun")
