@@ -331,7 +331,7 @@ FLOW_QUERIES = {
 
 
 def _flow_query(checks: tuple[str, ...]):
-    return lambda spark, sf: flow.flow_hits(_CODE(spark, sf)).where(F.col("check").isin(*checks)).select(
+    return lambda spark, sf: flow.flow_hits(_CODE(spark, sf), checks).select(
         "file_path", "line_number", "violation_type", "confidence_score")
 
 

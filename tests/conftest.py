@@ -32,3 +32,15 @@ def corpus(spark):
     def make(files: dict[str, str]):
         return spark.createDataFrame(list(files.items()), "file_path string, content string")
     return make
+
+
+@pytest.fixture
+def compiled(spark):
+    """Code generation as in production."""
+    names = "spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode"
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, ("true", "FALLBACK")):
+        spark.conf.set(name, value)
+    yield spark
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)

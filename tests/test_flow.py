@@ -209,7 +209,7 @@ def test_python_scopes_agree_with_ast(spark):
         "def a():", "    x = 1", "    def b():", "        y = 2", "    z = 3", "", "class C:",
         "    def m(self):", "        if 1:", "            w = 4", "    k = 5", "def d(): pass", "q = 6  # execute"])
     files = spark.createDataFrame([("a.py", source)], "file_path string, content string")
-    df = flow.with_scope(flow.with_ranges(flow.statements(files)))
+    df = flow.placed_statements(files)
     line_of = {r.no: r.line for r in df.collect()}
     got = {r.line: line_of.get(r.scope_no) for r in df.collect()}
     want = {}

@@ -123,7 +123,7 @@ def test_brackets_of_any_depth(spark, corpus, depth):
     }
     got = flow.flow_hits(corpus({n: t for n, (t, _) in sources.items()})).collect()
     assert {(r.file_path, r.check) for r in got} == {(n, c) for n, (_, c) in sources.items()}
-    assert not any(mark in r.quoted for r in got for mark in flow.DEEP)
+    assert not any(mark in r.quoted for r in got for mark in (flow.CUT, flow.MARK))
 
 
 def test_whole_files_are_decoded_by_a_registered_query(spark, sf, monkeypatch):
