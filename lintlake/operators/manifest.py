@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixed import (
@@ -73,23 +73,39 @@ def summary_check(manifests: DataFrame) -> DataFrame:
     )
 
 
-def match(expected: DataFrame, violations: DataFrame) -> DataFrame:
+def _within(path: str, root: str) -> Column:
+    """A path below ``root``, whether it is written with the root or without it."""
+    start = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(start)), F.substr(path, F.lit(len(start) + 1))).otherwise(F.col(path))
+
+
+def match(expected: DataFrame, violations: DataFrame, root: str = "") -> DataFrame:
     """Adds to every expected finding whether the scan has one of its type in its lines.
 
-    A range is a handful of lines, so it is written out and joined by equality: no range
-    join, no pairs of all findings of a file with all of its ranges.
+    An interval sweep for each file and type: a range is its two ends, whatever its length, and it
+    is matched when more findings have been passed at its last line than before its first.  With
+    ``root``, paths below it meet whether they are absolute or relative.  A range without numbers
+    matches nothing; one written backwards is turned round.
     """
     whens = " ".join(f"WHEN '{w}' THEN '{t}'" for w, t in TYPE_OF_WORD.items())
     mapped = expected.withColumn("mapped_type", F.expr(f"CASE violation_type {whens} END"))
+    start, finding, end = 0, 1, 2  # on one line in this order
+    ends = mapped.where("mapped_type is not null AND lo is not null AND hi is not null").select(
+        "manifest", "violation_id", "lo", "hi", _within("file", root).alias("path"), "mapped_type",
+        F.explode(F.array(F.struct(F.least("lo", "hi").alias("at"), F.lit(start).alias("kind")),
+                          F.struct(F.greatest("lo", "hi").alias("at"), F.lit(end).alias("kind")))).alias("e"),
+    ).select("manifest", "violation_id", "lo", "hi", "path", "mapped_type", "e.*")
+    findings = violations.select(
+        _within("file_path", root).alias("path"), F.col("violation_type").alias("mapped_type"),
+        F.col("line_number").cast("int").alias("at"), F.lit(finding).alias("kind"))
+    passed = Window.partitionBy("path", "mapped_type").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = ends.unionByName(findings, allowMissingColumns=True).withColumn(
+        "passed", F.count_if(F.col("kind") == finding).over(passed))
     found = (
-        mapped.where("mapped_type is not null")
-        .select("manifest", "violation_id", "file", "mapped_type", F.explode(F.sequence("lo", "hi")).alias("line"))
-        .join(
-            violations.select(F.col("file_path").alias("file"),
-                              F.col("violation_type").alias("mapped_type"),
-                              F.col("line_number").alias("line")).distinct(),
-            ["file", "mapped_type", "line"], "left_semi")
-        .select("manifest", "violation_id").distinct().withColumn("matched", F.lit(True))
+        swept.where(F.col("kind") != finding)
+        .groupBy("manifest", "violation_id", "path", "mapped_type", "lo", "hi")
+        .agg((F.max("passed") > F.min("passed")).alias("matched"))
+        .groupBy("manifest", "violation_id").agg(F.max("matched").alias("matched"))
     )
     return mapped.join(found, ["manifest", "violation_id"], "left").withColumn(
         "matched", F.coalesce("matched", F.lit(False)))

@@ -156,7 +156,7 @@ def pr_body_lines(fixes: DataFrame, *keys: str, variant: str = "library",
         intro = F.concat(intro, _fill(text["summary"], F.col("total_violations"),
                                       F.col("total_files_scanned")))
     no_ord = F.struct(F.lit("").alias("file_path"), F.lit(0).alias("detector_ord"),
-                      F.lit(0).alias("emit_ord"))
+                      F.lit(0).cast("bigint").alias("emit_ord"))
     frame = counts.select(*keys, F.explode(F.array(
         F.struct(F.lit(0).alias("part"), F.concat(intro, F.lit(text["head"])).alias("text")),
         F.struct(F.lit(2).alias("part"), F.lit(text["tail"] % generator).alias("text")),
@@ -164,7 +164,7 @@ def pr_body_lines(fixes: DataFrame, *keys: str, variant: str = "library",
     rows = fixes.select(
         *keys, F.lit(1).alias("part"),
         F.struct("file_path", F.col("detector_ord").cast("int").alias("detector_ord"),
-                 F.col("emit_ord").cast("int").alias("emit_ord")).alias("ord"),
+                 F.col("emit_ord").cast("bigint").alias("emit_ord")).alias("ord"),
         _table_row(variant).alias("text"))
     return frame.unionByName(rows)
 

@@ -626,7 +626,7 @@ def _pr_body(spark, sf):
 def _pr_body_lines(spark, sf):
     """The texts for all fixes of every repository, as ordered pieces."""
     return review.pr_body_lines(_with_repo(_fixes(spark, sf)), "repo").select(
-        "repo", "part", "ord.file_path", "ord.detector_ord", "ord.emit_ord", "text")
+        "repo", "part", "ord.file_path", "ord.detector_ord", F.col("ord.emit_ord").cast("int").alias("emit_ord"), "text")
 
 
 @query("pr_comment_body")

@@ -137,3 +137,23 @@ def test_whole_files_are_decoded_by_a_registered_query(spark, sf, monkeypatch):
     got = {r.relative_path: (r.n_chars, r.hash) for r in queries.QUERIES["src_read_decode_whole"](spark, sf).collect()}
     want = {p: t if len(t) % 3 == 2 else t + "é" for p, t in texts.items()}
     assert got == {p: (len(t), hashlib.sha256(t.encode()).hexdigest()) for p, t in want.items()}
+
+
+def test_ranges_of_any_length_and_paths_of_either_kind(spark):
+    import random
+
+    rng = random.Random(7)
+    words = list(manifest.TYPE_OF_WORD)
+    rows = [("m", f"v{i}", rng.choice(["/r/a.py", "b.py", "/r/c/d.py"]), rng.choice(words), rng.randint(1, 60), rng.randint(1, 60))
+            for i in range(300)]
+    rows += [("m", "all", "/r/a.py", words[0], 1, 5_000_000), ("m", "none", "b.py", words[0], None, None),
+             ("m", "word", "b.py", "OTHER", 1, 9), ("n", "v0", "x.py", words[0], 1, 2)]
+    expected = spark.createDataFrame(rows, "manifest string, violation_id string, file string, violation_type string, lo int, hi int")
+    found = [(rng.choice(["a.py", "/r/b.py", "c/d.py"]), rng.randint(1, 60), rng.choice(list(manifest.TYPE_OF_WORD.values())))
+             for _ in range(40)]
+    got = manifest.match(expected, spark.createDataFrame(found, "file_path string, line_number int, violation_type string"), "/r")
+    path = lambda p: p.removeprefix("/r/")
+    want = {(m, v): any(path(f) == path(file) and t == manifest.TYPE_OF_WORD.get(word) and lo is not None
+                        and min(lo, hi) <= n <= max(lo, hi) for f, n, t in found) for m, v, file, word, lo, hi in rows}
+    assert {(r.manifest, r.violation_id): r.matched for r in got.collect()} == want
+    assert "Generate explode(sequence" not in got._jdf.queryExecution().executedPlan().toString()
