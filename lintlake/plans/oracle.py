@@ -375,12 +375,16 @@ _FAILED = (f"CASE WHEN {_N} % 7 = 3 THEN 'timeout' WHEN {_N} % 6 = 4 THEN 'No va
 _NS = f"CAST({_N} AS VARCHAR)"
 _EVAL = f"{_N} % 3 = 0"
 _EVAL_TEXT = "Dangerous eval() call detected - potential code injection"
+_MODEL_CODE = f"CASE WHEN NOT {_OK} THEN '' WHEN {_EVAL} THEN 'eval(' || {_NS} || ')' ELSE 'safe(' || {_NS} || ')' END"
+_MODEL_WHY = f"CASE WHEN {_OK} THEN 'why ' || {_NS} ELSE 'Fix generation failed: ' || {_FAILED} END"
+_MODEL_CONFIDENCE = (
+    f"CASE WHEN NOT {_OK} THEN 0.0::DOUBLE WHEN {_N} % 2 = 0 THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END")
 MODEL_FIXES = f"""
 model_fixes AS (
   SELECT *, {_VID} AS violation_id, line_content AS original_code,
-    CASE WHEN NOT {_OK} THEN '' WHEN {_EVAL} THEN 'eval(' || {_NS} || ')' ELSE 'safe(' || {_NS} || ')' END AS fixed_code,
-    CASE WHEN {_OK} THEN 'why ' || {_NS} ELSE 'Fix generation failed: ' || {_FAILED} END AS explanation,
-    CASE WHEN NOT {_OK} THEN 0.0::DOUBLE WHEN {_N} % 2 = 0 THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END AS fix_confidence,
+    {_MODEL_CODE} AS fixed_code,
+    {_MODEL_WHY} AS explanation,
+    {_MODEL_CONFIDENCE} AS fix_confidence,
     ({_OK} AND NOT {_EVAL}) AS security_review_passed,
     CASE WHEN NOT {_OK} THEN 'Error: ' || {_FAILED} WHEN {_EVAL} THEN {q(_EVAL_TEXT)}
          ELSE 'Passed basic validation' END AS security_review_notes
@@ -654,12 +658,13 @@ def build() -> dict[str, str]:
                        ("fix_read_preference", "READ_PREFERENCE")):
         out[key] = on_fixes(f"SELECT {_FIX_COLUMNS} FROM fixes WHERE violation_type = '{vtype}'")
     out["fix_select_batch"] = on_hits("SELECT file_path, line_number, violation_type, severity, tier FROM batch", BATCH)
+    # both fixes of a finding are made in its own row, without a join
     out["fix_ai_fallback"] = on_fixes(
-        "SELECT f.violation_id, CASE WHEN m.fixed_code <> '' THEN m.fixed_code ELSE f.fixed_code END AS fixed_code, "
-        "CASE WHEN m.fixed_code <> '' THEN m.explanation ELSE f.explanation END AS explanation, "
-        f"CASE WHEN m.fixed_code <> '' THEN '{FIX_MODEL}' ELSE f.ai_model_used END AS ai_model_used, "
-        "CASE WHEN m.fixed_code <> '' THEN m.fix_confidence ELSE f.fix_confidence END AS fix_confidence "
-        "FROM fixes f JOIN model_fixes m USING (violation_id)", MODEL_FIXES)
+        "SELECT violation_id, CASE WHEN model_code <> '' THEN model_code ELSE fixed_code END AS fixed_code, "
+        f"CASE WHEN model_code <> '' THEN {_MODEL_WHY} ELSE explanation END AS explanation, "
+        f"CASE WHEN model_code <> '' THEN '{FIX_MODEL}' ELSE ai_model_used END AS ai_model_used, "
+        f"CASE WHEN model_code <> '' THEN {_MODEL_CONFIDENCE} ELSE fix_confidence END AS fix_confidence "
+        f"FROM (SELECT *, {_MODEL_CODE} AS model_code FROM fixes)")
     out["fix_rows"] = on_fixes(
         "SELECT violation_type AS type, string_split(file_path, '/')[-1] AS file, file_path AS relative_path, "
         "line_number AS line, left(original_code, 300) AS original, left(fixed_code, 600) AS fixed, "
