@@ -1,17 +1,20 @@
 """License scan by a positional rare-token index; DataFrame operations only.
 
 The template library gives each licence passage as words with their positions.  One pass over
-the whole texts keeps the positions of library words.  Document frequencies of these words
-over all documents order every template's words by IDF.  A file is looked up by the rarest
+the whole texts keeps the positions of library words; those of a few frequent words ("to", "and")
+only in files that hold all other words of a phrase with them.  Document frequencies of the
+words over all documents order every template's words by IDF.  A file is looked up by the rarest
 word of a template; where it occurs, the template's postings (positions in the file less
 position in the template) are intersected from rare to frequent, so what remains are the
-places at which all words of the mandatory phrase stand in their relative positions.  Words
-of the passage outside the phrase only add to the score.
+places at which every word of the mandatory phrase stands in its relative position, the
+frequent ones last.  Words of the passage outside the phrase only add to the score.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +50,9 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain",
      "free and unencumbered software"),
 ]
-#: Frequent words that own passages may skip; they would fill the postings of every file.
-SKIPPED = set("to and in or the is of this for any a with are that without into".split())
+#: Frequent words that are no lookup keys, as they would fill the postings of every file; outside
+#: the mandatory phrase they do not count.
+FREQUENT = set("to and in or the is of this for any a with are that without into".split())
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,7 +65,8 @@ def library(base=BASE, templates=TEMPLATES) -> list[tuple[str, bool, list[tuple[
         words, key = passage.split(), phrase.split()
         start = next(i for i in range(len(words)) if words[i:i + len(key)] == key)
         rows.append((label, False, [(i - start, w, start <= i < start + len(key))
-                                    for i, w in enumerate(words) if w not in SKIPPED]))
+                                    for i, w in enumerate(words)
+                                    if start <= i < start + len(key) or w not in FREQUENT]))
     return rows
 
 
@@ -69,14 +74,24 @@ def _union(parts: list[Column], kind: str) -> Column:
     return F.flatten(F.array(*parts)) if parts else F.array().cast(kind)
 
 
-def postings(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id, n_words and word -> positions (from 0) of the library words, for every row."""
+def postings(docs: DataFrame, words: list[str], frequent: dict[str, list[list[str]]]) -> DataFrame:
+    """doc_id, n_words and word -> positions (from 0) of the library words, for every row.
+
+    A word of ``frequent`` is kept in files that hold every word of one of its lists.
+    """
     low = F.translate(F.coalesce(docs["text"].cast("string"), F.lit("")), UPPER, LOWER)
     split = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"),
                         F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("words"))
     hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(words), F.struct(w.alias("w"), i.alias("i")))),
                     lambda h: h.isNotNull())
     found = split.select("doc_id", F.size("words").cast("bigint").alias("n_words"), hits.alias("hits"))
+    if frequent:
+        held = lambda ws: F.size(F.array_intersect("kinds", F.array(*map(F.lit, ws)))) == len(ws)
+        found = found.withColumn("kinds", F.array_distinct(F.transform("hits", lambda h: h["w"])))
+        found = found.withColumn("unwanted", _union([
+            F.when(reduce(or_, map(held, lists)), F.array().cast("array<string>")).otherwise(F.array(F.lit(word)))
+            for word, lists in frequent.items()], "array<string>"))
+        found = found.withColumn("hits", F.filter("hits", lambda h: ~F.array_contains("unwanted", h["w"])))
     kinds = F.array_distinct(F.transform("hits", lambda h: h["w"]))
     return found.select("doc_id", "n_words", F.map_from_arrays(kinds, F.transform(
         kinds, lambda k: F.transform(F.filter("hits", lambda h: h["w"] == k), lambda h: h["i"]))).alias("at"))
@@ -94,7 +109,10 @@ def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     """
     rows = library(base, templates)
     words = sorted({w for _, _, parts in rows for _, w, _ in parts})
-    found = written(postings(docs, words), "postings")
+    frequent = {w: [sorted({x for _, x, m in parts if m and x not in FREQUENT}) for _, _, parts in rows
+                    if any(m and x == w for _, x, m in parts)] for w in words if w in FREQUENT}
+    frequent = {w: lists for w, lists in frequent.items() if all(lists)}
+    found = written(postings(docs, words, frequent), "postings")
     # one row for each library word, however many documents there are
     frequency = {r["w"]: r["n"] for r in found.select(F.explode(F.map_keys("at")).alias("w"))
                  .groupBy("w").agg(F.count("*").alias("n")).collect()}
@@ -105,7 +123,7 @@ def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
         return F.transform(F.coalesce(F.col("at")[word], F.array().cast("array<int>")), lambda i: i - F.lit(at))
 
     for no, (_, _, parts) in enumerate(rows):
-        rare_first = sorted((p for p in parts if p[2]), key=lambda p: (-idf[p[1]], p[0]))
+        rare_first = sorted((p for p in parts if p[2]), key=lambda p: (p[1] in FREQUENT, -idf[p[1]], p[0]))
         places = starts(rare_first[0][1], rare_first[0][0])
         for at, word, _ in rare_first[1:]:
             places = F.array_intersect(places, starts(word, at))

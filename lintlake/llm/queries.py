@@ -95,10 +95,14 @@ near{rounds} AS MATERIALIZED (SELECT k.r, k.vec_id, min(
 
 _CRC_TABLE = ", ".join(map(str, resampling.crc_step().tolist()))
 
-def _license_rows() -> str:
-    return ", ".join(f"({no}, '{label}', {base}, {at}, '{word}', {mandatory})"
-                     for no, (label, base, parts) in enumerate(licenses.library())
-                     for at, word, mandatory in parts)
+def _license_phrases() -> str:
+    rows = [(label, True, phrase, phrase) for label, phrase in licenses.BASE]
+    rows += [(label, False, passage, phrase) for label, passage, phrase in licenses.TEMPLATES]
+    return ", ".join(f"({no}, '{label}', {base}, '{passage}', '{phrase}')"
+                     for no, (label, base, passage, phrase) in enumerate(rows))
+
+
+_FREQUENT = ", ".join(f"'{w}'" for w in sorted(licenses.FREQUENT))
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -128,7 +132,12 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
     # places of all templates by counting their words at the same relative start
     "op6_license_scan": rf"""
-WITH library(no, label, base, place, word, mandatory) AS (VALUES {_license_rows()}),
+WITH given(no, label, base, passage, phrase) AS (VALUES {_license_phrases()}),
+cut AS (SELECT no, label, base, string_split(passage, ' ') AS w, len(string_split(phrase, ' ')) AS needed,
+    len(string_split(passage[:strpos(' ' || passage || ' ', ' ' || phrase || ' ') - 1], ' ')) - 1 AS before FROM given),
+each AS (SELECT no, label, base, needed, unnest(w) AS word, generate_subscripts(w, 1) - 1 - before AS place FROM cut),
+library AS (SELECT *, place BETWEEN 0 AND needed - 1 AS mandatory FROM each
+    WHERE place BETWEEN 0 AND needed - 1 OR word NOT IN ({_FREQUENT})),
 templates AS (SELECT no, label, base, count(*) AS n, count(*) FILTER (mandatory) AS needed
     FROM library GROUP BY no, label, base),
 split AS MATERIALIZED (

@@ -223,6 +223,20 @@ def test_licenses_equal_the_phrases(spark):
     assert licenses.scan_licenses(table(spark, [])).count() == 0
 
 
+def test_licence_phrases_are_verified_word_for_word(spark):
+    texts = ["redistribution oops use zzz source qqq binary forms", "free nonsense unencumbered software",
+             "redistribution and use in source or binary forms",
+             *(phrase for _, _, phrase in licenses.TEMPLATES), *(passage for _, passage, _ in licenses.TEMPLATES),
+             "to and in or the is of this " * 50]
+    got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        own = {label for label, phrase in licenses.BASE if f" {phrase} " in f" {text} "}
+        own |= {label for label, _, phrase in licenses.TEMPLATES if f" {phrase} " in f" {text} "}
+        assert got[i].labels == ",".join(sorted(own)), text
+        assert (got[i].score > 0) == bool(own)
+    assert all(got[3 + len(licenses.TEMPLATES) + i].score == 1 for i in range(len(licenses.TEMPLATES)))
+
+
 @pytest.mark.parametrize("name", ["op6_license_scan", "op7_source_mixing"])
 def test_native_plans_have_no_python(spark, name):
     from lintlake.llm.queries import QUERIES
