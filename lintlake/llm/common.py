@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 import sys
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch_dir
 
 U64 = np.uint64
-_MASK64 = (1 << 64) - 1
 #: Characters handled together by the vectorised text code: bounds its temporaries.
 CHUNK_BYTES = 1 << 20
 
@@ -79,21 +80,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1024)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, U64(base & _MASK64))
-            steps[0] = U64(1)
-            _POWERS[key] = np.cumprod(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -101,7 +87,11 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word (A-Z lower-cased, split at ASCII blanks) and word counts by text."""
+    """64-bit hash of every word (A-Z lower-cased, split at ASCII blanks) and word counts by text.
+
+    A word's hash is a scrambled sum of scrambled (place, byte) pairs: no two words collide by
+    construction.  Equality that decides a result is checked on :func:`numbered_words`.
+    """
     n = len(data)
     low = _LOWER[data]
     solid = ~_SPACE[low]
@@ -110,14 +100,50 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     blank = np.append(~solid, True)
     starts = np.flatnonzero(solid & (edge[:n] | blank[np.arange(n) - 1]))
     ends = np.flatnonzero(solid & (edge[1:] | blank[1:]))
-    up, down = powers(n)
+    # bytes from the first of their word, 256 apart; blanks count on, they are in no sum
+    place = np.arange(n, dtype=np.int64)
+    if len(starts):
+        place[starts[0]:] -= np.repeat(starts, np.diff(np.append(starts, n)))
     sums = np.zeros(n + 1, U64)
-    np.cumsum((low.astype(U64) + U64(1)) * up, out=sums[1:])
-    words = mix((sums[ends + 1] - sums[starts]) * down[starts]) if n else np.zeros(0, U64)
+    np.cumsum(mix((place.astype(U64) << U64(8)) + low + U64(1)), out=sums[1:])
+    words = mix(sums[ends + 1] - sums[starts])
     counts = np.diff(np.searchsorted(starts, offsets))
     return words, counts
 
 
+def words_of(data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
+    """The words themselves (A-Z lower-cased, split at ASCII blanks), text by text."""
+    return [data[a:b].tobytes().lower().split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def numbered_words(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for every word, equal exactly for equal words of ``texts``, and word counts by text."""
+    numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+    counts = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum())), counts
+
+
+def numbered_shingles(texts: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like :func:`shingle_sets`, with numbers that are equal exactly for equal shingles of ``texts``."""
+    words, counts = numbered_words(texts)
+    lasts = np.cumsum(counts)
+    of = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(words))
+    keep = (at + width <= lasts[of]) | ((at == (lasts - counts)[of]) & (counts[of] < width))
+    at, of = at[keep], of[keep]
+    acc, kinds = words[at], int(words.max()) + 2 if len(words) else 2
+    for j in range(1, width):
+        inside = at + j < lasts[of]
+        step = np.zeros(len(at), np.int64)  # 0: the text has no such word
+        step[inside] = words[at[inside] + j] + 1
+        acc = np.unique(acc * kinds + step, return_inverse=True)[1]
+    order = np.lexsort((acc, of))
+    acc, of = acc[order], of[order]
+    first = np.ones(len(acc), bool)
+    first[1:] = (acc[1:] != acc[:-1]) | (of[1:] != of[:-1])
+    return acc[first], np.bincount(of[first], minlength=len(counts))
+
+
 def shingle_sets(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of ``width``-word shingles, text after text, and set sizes by text.
 

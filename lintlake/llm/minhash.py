@@ -28,7 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, hashed_words, mix, shingle_sets, ship, text_chunks, written
+from .common import (
+    U64, bounded_batches, hashed_words, mix, numbered_shingles, shingle_sets, ship, text_chunks, words_of, written,
+)
 from .components import components
 
 ship(__name__)
@@ -120,9 +122,7 @@ def _sign(width: int):
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for first, last, data, offsets in text_chunks(batch):
                 words, counts = hashed_words(data, offsets)
-                ends = np.cumsum(counts)
-                digests = [xxhash.xxh3_128_digest(words[e - c:e].tobytes())
-                           for c, e in zip(counts.tolist(), ends.tolist())]
+                digests = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words_of(data, offsets)]
                 shingles, sizes = shingle_sets(words, counts, width)
                 sketch = registers(shingles, sizes)
                 yield pa.record_batch([
@@ -169,15 +169,11 @@ def _confirm(width: int, percent: int):
         for batch in batches:
             for first, last, data, offsets in text_chunks(batch, "text_a"):
                 part = batch.slice(first, last - first)
-                one, n_one = shingle_sets(*hashed_words(data, offsets), width)
-                two, n_two = [], []
-                for _, _, more, cuts in text_chunks(part, "text_b"):
-                    s, n = shingle_sets(*hashed_words(more, cuts), width)
-                    two.append(s)
-                    n_two.append(n)
-                two, n_two = np.concatenate(two), np.concatenate(n_two)
+                one = words_of(data, offsets)
+                two = [w for _, _, more, cuts in text_chunks(part, "text_b") for w in words_of(more, cuts)]
+                values, sizes = numbered_shingles(one + two, width)
+                n_one, n_two = sizes[:last - first], sizes[last - first:]
                 of = np.concatenate([np.repeat(np.arange(last - first), n) for n in (n_one, n_two)])
-                values = np.concatenate([one, two])
                 order = np.lexsort((values, of))
                 values, of = values[order], of[order]
                 twice = (values[1:] == values[:-1]) & (of[1:] == of[:-1])
@@ -295,13 +291,13 @@ def _compare(width: int, percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Links between components within a pair of blocks, one for each pair of components."""
         docs, of = group["doc_id"].to_numpy(np.int64), group["component"].to_numpy(np.int64)
-        sets, sizes, sketch = [], [], []
-        for _, _, data, offsets in text_chunks(pa.RecordBatch.from_pandas(group[["text"]])):
+        texts = pa.RecordBatch.from_pandas(group[["text"]])
+        sizes, sketch = [], []
+        for _, _, data, offsets in text_chunks(texts):
             shingles, n = shingle_sets(*hashed_words(data, offsets), width)
-            sets.append(shingles)
             sizes.append(n)
             sketch.append(registers(shingles, n))
-        sets, sizes, sketch = np.concatenate(sets), np.concatenate(sizes), np.concatenate(sketch)
+        sizes, sketch = np.concatenate(sizes), np.concatenate(sketch)
         near = np.zeros((len(docs), len(docs)), bool)
         for i in range(len(docs)):
             rest = np.flatnonzero(of[i + 1:] != of[i]) + i + 1
@@ -310,10 +306,9 @@ def _compare(width: int, percent: int):
         wanted = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
         if not len(wanted):
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        number = np.full(len(docs), -1)
-        number[wanted] = np.arange(len(wanted))
-        row = np.repeat(number, sizes)
-        values, row = sets[row >= 0], row[row >= 0]
+        values, n = numbered_shingles([w for _, _, data, offsets in text_chunks(texts.take(pa.array(wanted)))
+                                       for w in words_of(data, offsets)], width)
+        row = np.repeat(np.arange(len(wanted)), n)
         _, token, times = np.unique(values, return_inverse=True, return_counts=True)
         shared = times[token] > 1  # a shingle of one text is in no intersection
         column = np.cumsum(times > 1)[token[shared]] - 1
@@ -326,7 +321,6 @@ def _compare(width: int, percent: int):
             held = np.zeros((len(wanted), 8192), np.float32)
             held[row[first:last], column[first:last] - low] = 1
             common += held @ held.T
-        n = sizes[wanted]
         linked = near[np.ix_(wanted, wanted)] & (100 * common >= percent * (n[:, None] + n[None, :] - common))
         i, j = np.nonzero(linked)
         found = pd.DataFrame({"a": docs[wanted[i]], "b": docs[wanted[j]], "x": of[wanted[i]], "y": of[wanted[j]]})

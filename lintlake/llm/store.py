@@ -93,6 +93,8 @@ def _write(folder: str, tokenizer: str, spaced: bool, end_id: int, width: int):
                     tokens, out = encoder(tokenizer, spaced), _Output(shard_name(folder, shard))
                     out.handle.write(MAGIC + width.to_bytes(8, "little"))
                 found, bounds = with_end(*tokens.encode_flat(data, cuts), end_id)
+                if len(found) and int(found.max()) >> (8 * width):
+                    raise ValueError(f"id {int(found.max())} does not fit into {width} bytes")
                 out.handle.write(found.astype(f"<u{width}").tobytes())
                 rows: list[list] = [[] for _ in _RECORDS]
                 for doc, length in zip(ids.slice(first, last - first).to_pylist(), np.diff(bounds).tolist()):

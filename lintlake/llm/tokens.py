@@ -5,25 +5,38 @@ unit has the same ids wherever it stands: before a blank, and between letters, m
 breaks of plain pieces.  Anything else, a piece with other characters or a text with odd
 blanks, is one unit that the tokenizer cuts itself.  Units are hashed and made distinct in
 numpy; ids of units seen before come from a table of bounded size, new ones are asked from the
-tokenizers library.
+tokenizers library.  A hash only proposes a unit: its bytes are compared every time.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import U64, mix, powers, ship, worker_cache
+from .common import CHUNK_BYTES, U64, mix, ship, worker_cache
 
 ship(__name__)
 
-#: Units and ids remembered at most; then the table starts anew.
-UNITS, IDS = 800_000, 4_000_000
+#: Units, ids and bytes remembered at most; then the table starts anew.
+UNITS, IDS, BYTES = 800_000, 4_000_000, 32_000_000
 #: Slots of the array in which units are looked up first; a slot holds the unit it saw last.
 SLOTS = 1 << 19
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64."""
+    if "up" not in _POWERS or len(_POWERS["up"]) < n:
+        size = max(n, CHUNK_BYTES + 1024)
+        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, U64(base & (1 << 64) - 1))
+            steps[0] = U64(1)
+            _POWERS[key] = np.cumprod(steps)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
 BLANK, BREAK, LETTER, MARK, OTHER = range(5)
 _CLASS = np.full(256, OTHER, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
@@ -47,6 +60,39 @@ def _byte_level(text: str) -> str:
 _BYTES = {c: _byte_level(chr(c)) for c in [10, 32, *range(0xC0, 0x100)]}
 
 
+class _Rows:
+    """Growing rows of numbers, one after the other."""
+
+    def __init__(self, kind):
+        self.flat, self.used, self.count = np.zeros(1 << 16, kind), 0, 0
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def __len__(self) -> int:
+        return self.count
+
+    def add(self, rows: list) -> None:
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+        count, end = self.count + len(rows), self.used + int(lengths.sum())
+        for name, size in (("starts", count), ("lengths", count), ("flat", end)):
+            held = getattr(self, name)
+            if size > len(held):
+                grown = np.zeros(2 * size, held.dtype)
+                grown[:len(held)] = held
+                setattr(self, name, grown)
+        if end > self.used:
+            self.flat[self.used:end] = np.concatenate([np.asarray(r, self.flat.dtype) for r in rows])
+        self.lengths[self.count:count] = lengths
+        self.starts[self.count:count] = self.used + np.cumsum(lengths) - lengths
+        self.count, self.used = count, end
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """These rows, one after the other, and where each begins (and the end)."""
+        lengths = self.lengths[numbers]
+        after = np.append(0, np.cumsum(lengths))
+        shift = np.repeat(self.starts[numbers] - after[:-1], lengths)
+        return self.flat[shift + np.arange(after[-1])], after
+
+
 class Encoder:
     """Ids equal to encoding each text by itself.
 
@@ -62,11 +108,10 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known: dict[int, int] = {}
+        self.collided: dict[tuple[bytes, bool], int] = {}
         self.slot_key, self.slot_unit = np.zeros(SLOTS, U64), np.zeros(SLOTS, np.int32)
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.ids, self.bytes = _Rows(np.uint32), _Rows(np.uint8)
+        self.odd = _Rows(bool)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         raw = [t.encode() for t in texts]
@@ -82,6 +127,15 @@ class Encoder:
         if not self.spaced and len(starts):  # white space between units has no ids
             solid = (_CLASS[data[starts]] > BREAK) | odd
             starts, ends, odd, keys = starts[solid], ends[solid], odd[solid], keys[solid]
+        unit = self._unit_numbers(data, low, starts, ends, odd, keys)
+        ids, after = self.ids.of(unit)
+        bounds = after[np.searchsorted(starts, offsets)]
+        if len(self.odd) > UNITS or self.ids.used > IDS or self.bytes.used > BYTES:
+            self._clear()
+        return ids, bounds
+
+    def _unit_numbers(self, data, low, starts, ends, odd, keys) -> np.ndarray:
+        """The number of each unit; units not seen before are encoded."""
         slot = (keys & U64(SLOTS - 1)).astype(np.int64)
         unit = self.slot_unit[slot].astype(np.int64)
         missed = np.flatnonzero(self.slot_key[slot] != keys)
@@ -89,26 +143,36 @@ class Encoder:
         first = missed[first]
         numbers = list(map(self.known.get, distinct.tolist()))
         new = [i for i, number in enumerate(numbers) if number is None]
-        if new:
-            self._reserve(len(self.known) + len(new))
-            learned = []
-            for i in new:
-                at = first[i]
-                learned.append(self._ids(low[starts[at]:ends[at]].tobytes(), data[starts[at]:ends[at]].tobytes(), odd[at]))
-                numbers[i] = self.known[int(distinct[i])] = len(self.known)
-            self._store(len(self.known) - len(new), learned)
+        for i, number in zip(new, self._learn([(data, low, starts[a], ends[a], odd[a]) for a in first[new].tolist()])):
+            numbers[i] = self.known[int(distinct[i])] = number
         if len(missed):
             numbers = np.array(numbers, np.int64)
             unit[missed] = numbers[inverse]
             self.slot_key[slot[first]], self.slot_unit[slot[first]] = distinct, numbers
-        lengths = self.lengths[unit]
-        after = np.append(0, np.cumsum(lengths))
-        shift = np.repeat(self.starts[unit] - after[:-1], lengths)
-        ids = self.flat[shift + np.arange(after[-1])]
-        bounds = after[np.searchsorted(starts, offsets)]
-        if len(self.known) > UNITS or self.used > IDS:
-            self._clear()
-        return ids, bounds
+        for a in np.flatnonzero(~self._same(low, starts, ends, odd, unit)).tolist():  # another unit has the key
+            other = (low[starts[a]:ends[a]].tobytes(), bool(odd[a]))
+            if other not in self.collided:
+                self.collided[other] = self._learn([(data, low, starts[a], ends[a], odd[a])])[0]
+            unit[a] = self.collided[other]
+        return unit
+
+    def _same(self, low, starts, ends, odd, unit) -> np.ndarray:
+        """Whether units have the bytes of those whose numbers they were given."""
+        lengths = ends - starts
+        same = (self.bytes.lengths[unit] == lengths) & (self.odd.flat[self.odd.starts[unit]] == odd)
+        at = np.flatnonzero(same)
+        seen, after = self.bytes.of(unit[at])
+        shift = np.repeat(starts[at] - after[:-1], lengths[at])
+        wrong = np.flatnonzero(seen != low[shift + np.arange(len(seen))])
+        same[at[np.searchsorted(after, wrong, "right") - 1]] = False
+        return same
+
+    def _learn(self, units: list[tuple]) -> list[int]:
+        first = len(self.odd)
+        self.ids.add([self._ids(low[a:b].tobytes(), data[a:b].tobytes(), odd) for data, low, a, b, odd in units])
+        self.bytes.add([low[a:b] for _, low, a, b, _ in units])
+        self.odd.add([[odd] for *_, odd in units])
+        return list(range(first, len(self.odd)))
 
     def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where units start, which of them the tokenizer has to cut itself, and the bytes to look at."""
@@ -161,25 +225,6 @@ class Encoder:
             return self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
         return [t.id for t in self.tokenizer.model.tokenize(low.decode().translate(_BYTES))]
 
-    def _reserve(self, units: int) -> None:
-        if units > len(self.starts):
-            for name in ("starts", "lengths"):
-                grown = np.zeros(2 * units, np.int64)
-                grown[:len(getattr(self, name))] = getattr(self, name)
-                setattr(self, name, grown)
-
-    def _store(self, first: int, learned: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, learned), np.int64, len(learned))
-        end = self.used + int(lengths.sum())
-        if end > len(self.flat):
-            grown = np.zeros(2 * end, np.uint32)
-            grown[:self.used] = self.flat[:self.used]
-            self.flat = grown
-        self.flat[self.used:end] = np.fromiter(chain.from_iterable(learned), np.uint32, end - self.used)
-        self.lengths[first:first + len(learned)] = lengths
-        self.starts[first:first + len(learned)] = self.used + np.cumsum(lengths) - lengths
-        self.used = end
-
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and bounds with an end id after each text."""

@@ -10,6 +10,12 @@ from lintlake.llm.components import components
 from lintlake.session import scratch_dir
 
 
+def alternating(n=10):
+    """Two words of 2**n letters whose polynomial sums modulo a power of two are equal for every base."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1 << n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def near_corpus(n_groups=6, size=14, seed=1):
     """Groups of texts with some words changed, so that similarities lie around the threshold."""
     rng = random.Random(seed)
@@ -125,3 +131,61 @@ def test_words_are_hashed_alike_wherever_they_stand():
     words, counts = common.hashed_words(np.frombuffer(data, np.uint8), offsets)
     assert counts.tolist() == [3, 0, 1, 1]
     assert words[2] == words[3] and words[1] == words[4] and len(set(words.tolist())) == 3
+
+
+def test_words_with_equal_polynomial_sums_are_told_apart(spark):
+    one, two = alternating()
+    rows = [(1, f"{one} x"), (2, f"{two} x"), (3, one), (4, two), (5, f"{one}  X")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, rows), 2).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    rows = [("tail " * 3 + one).encode(), ("tail " * 3 + two).encode()]
+    offsets = np.cumsum([0] + [len(r) for r in rows])
+    words, _ = common.hashed_words(np.frombuffer(b"".join(rows), np.uint8), offsets)
+    assert len(set(words.tolist())) == 3
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_numbered_shingles_equal_sets(width):
+    rng = random.Random(width)
+    texts = [" ".join(rng.choice("abC") for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+    numbers, sizes = common.numbered_shingles(common.words_of(data, offsets), width)
+    sets = [shingles(t, width) for t in texts]
+    assert sizes.tolist() == list(map(len, sets))
+    parts = [set(p.tolist()) for p in np.split(numbers, np.cumsum(sizes)[:-1])]
+    assert all(len(parts[i] & parts[j]) == len(sets[i] & sets[j]) for i in range(40) for j in range(40))
+
+
+def test_index_is_reopened_with_other_settings(spark):
+    path = scratch_dir(spark, "index") + "/re-opened"
+    rows = [(i, f"text {i}") for i in range(400)]
+    first = exact.exact_duplicates(table(spark, rows), exact.DigestIndex(spark, path, buckets=8)).collect()
+    assert sum(r.kept for r in first) == 400
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.sql(f"DROP TABLE {exact.DigestIndex(spark, path).table}")  # as a new session, which knows the path only
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        again = exact.DigestIndex(spark, path)
+        assert again.buckets == 8
+        known = exact.exact_duplicates(table(spark, rows), again).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(known) == 400 and not any(r.kept for r in known)
+    with pytest.raises(ValueError):
+        exact.DigestIndex(spark, path, buckets=9)
+    assert exact.DigestIndex(spark, path + "/").table == again.table
+    assert exact.DigestIndex(spark, path.replace("-", "_")).table != again.table
+
+
+def test_batch_given_again_after_its_append(spark):
+    docs = table(spark, [(1, "a"), (2, "b"), (3, "a"), (3, "a")])
+    index = exact.DigestIndex(spark, scratch_dir(spark, "index") + "/batches", buckets=3)
+    key = lambda rows: sorted(map(tuple, rows))
+    exact.exact_duplicates(table(spark, [(9, "b")]), index, "earlier").collect()
+    first = key(exact.exact_duplicates(docs, index, "one").collect())
+    assert key(exact.exact_duplicates(docs, index, "one").collect()) == first
+    assert [r[0] for r in first if r[3]] == [3]
+    assert [r.doc_id for r in exact.drop_exact_duplicates(docs, index, "one").collect()] == [3]
+    assert not any(r.kept for r in exact.exact_duplicates(docs, index, "two").collect())
+    assert index.unbucketed().count() == 2

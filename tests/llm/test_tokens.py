@@ -38,6 +38,27 @@ def test_encoder_forgets_and_goes_on(monkeypatch):
         assert len(encoder.known) <= 20
 
 
+@pytest.mark.parametrize("n", [10, 11])
+def test_units_with_equal_hashes_are_told_apart(n):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1 << n))
+    two = one.translate(str.maketrans("ab", "ba"))
+    texts = [one, two, f"{one} x {two} {one}", f"{two}é\u3000 日", f"{one}é\u3000 日", two]
+    for path, spaced in ((WORDS, False), (BYTES, True)):
+        encoder = tokens.Encoder(path, spaced)
+        for _ in range(2):
+            assert [x.tolist() for x in encoder.encode(texts)] == [plain(path, t) for t in texts]
+
+
+def test_any_hash_gives_the_tokenizer_s_ids(monkeypatch):
+    monkeypatch.setattr(tokens.Encoder, "_keys", staticmethod(
+        lambda low, starts, ends, odd: ((ends - starts) % 3).astype(np.uint64)))
+    texts = ["the cat sat on the mat", "The mat sat, on (the) cat!", "日 the 本 cat  sat", ""]
+    for path, spaced in ((WORDS, False), (BYTES, True)):
+        encoder = tokens.Encoder(path, spaced)
+        for _ in range(2):
+            assert [x.tolist() for x in encoder.encode(texts)] == [plain(path, t) for t in texts]
+
+
 def check_packing(rows, capacity):
     sequences = {}
     for r in rows:
@@ -79,6 +100,60 @@ def test_place_keeps_every_limit(score):
     assert len(set(free.tolist())) <= -(-lengths.sum() // 100) + 2
 
 
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_place_is_decided_by_all_three_residuals(score):
+    """Bins equal those of a plain search over the vector, and differ from best fit by tokens alone."""
+    rng = random.Random(11)
+    lengths = sorted((min(1000, 1 + int(25 * rng.paretovariate(0.7))) for _ in range(300)), reverse=True)
+    limits, weights = (1000, 5, 9e5), packing.WEIGHTS
+    assert all(w > 0 for w in weights)
+    full = sum(n == 1000 for n in lengths)
+    bins, want = [[0, 0, 0] for _ in range(full)], list(range(full))
+    for n in lengths[full:]:
+        need, best = (n, 1, n * n), None
+        for b, left in enumerate(bins):
+            if all(x >= y for x, y in zip(left, need)):
+                parts = [(w * x / m, w * y / m) for w, x, y, m in zip(weights, left, need, limits)]
+                value = sum(x * y for x, y in parts) if score == "dot" else -sum((x - y) ** 2 for x, y in parts)
+                if best is None or value > best[0] + 1e-12:
+                    best = value, b
+        if best is None:
+            bins.append([max(x, y) for x, y in zip(limits, need)])
+            best = 0, len(bins) - 1
+        bins[best[1]] = [x - y for x, y in zip(bins[best[1]], need)]
+        want.append(best[1])
+    got, _ = packing.place(np.array(lengths), *limits, weights, score)
+    assert got.tolist() == want
+    alone, _ = packing.place(np.array(lengths), *limits, (1.0, 0.0, 0.0), "norm")
+    assert alone.tolist() != want
+    wide = (1000, 1000, 1000.0 ** 2)  # as a packing without further limits has them
+    assert packing.place(np.array(lengths), *wide, weights, score)[0].tolist() != \
+        packing.place(np.array(lengths), *wide, (1.0, 0.0, 0.0), "norm")[0].tolist()
+    assert len(set(packing.place(np.array(lengths), *wide, weights, score)[0].tolist())) <= -(-sum(lengths) // 1000) + 1
+
+
+def test_packing_follows_the_order_of_the_files(spark, tmp_path):
+    rows = [(i, "word " * (i % 7)) for i in range(300)]
+    path = str(tmp_path / "ordered")
+    table(spark, rows).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = packing.pack_documents(docs, WORDS, capacity=64, group=packing.read_order(docs, 10)).collect()
+    check_packing(got, 64)
+    runs = {}
+    for r in got:
+        runs.setdefault(r.sequence_id >> packing.BIN_BITS, []).append(r.doc_id)
+    assert sorted(i for ids in runs.values() for i in ids) == list(range(300))
+    ordered = [runs[g] for g in sorted(runs)]
+    assert len(ordered) >= 30 and max(map(len, ordered)) <= 10
+    assert all(max(a) < min(b) for a, b in zip(ordered, ordered[1:]))
+    assert packing.read_order(table(spark, rows)) is None
+
+
+def test_ids_wider_than_the_store_raise(spark):
+    with pytest.raises(Exception, match="does not fit"):
+        store.token_store(table(spark, [(1, "some plain words")]), BYTES, width=1).count()
+
+
 def test_store_round_trip(spark):
     rows = odd_rows()
     folder = scratch_dir(spark, "store")
