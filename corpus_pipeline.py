@@ -31,9 +31,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequence and place; a repeated document is packed as often as it was taken."""
+    """Pieces with their sequence and place; a repeated document is packed as often as it was taken.
+
+    The stage before is written in training order: sequences are numbered in it, run by run.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), spaced=False, end_id=1,
-                                  capacity=4096)
+                                  capacity=4096, group=packing.read_order(docs))
 
 
 STAGES = [
