@@ -6,6 +6,9 @@ error) rows back.  A reply that cannot be read affects its own row only.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from ..fixed import (
 )
 from ..functions.secrets import mask_secrets, unsafe_issues
 from ..functions.text import code_hash, strip, violation_id
+from .folding import MAX_TEXT_BYTES, fold_texts
 
 
 def _with_id(violations: DataFrame) -> DataFrame:
@@ -73,17 +77,24 @@ def prompt_review(fixes: DataFrame, model: str = REVIEW_MODEL) -> DataFrame:
         **_common(), "original_code": F.col("original_code"), "fixed_code": F.col("fixed_code")}))
 
 
-def prompt_pr_description(fixes: DataFrame, *keys: str) -> DataFrame:
-    """One prompt per group of fixes; for bounded groups such as a fix batch or a file."""
+def prompt_pr_description(fixes: DataFrame, *keys: str, max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
+    """(keys, part, parts, prompt): one prompt per group of fixes.
+
+    A summary of more than ``max_bytes`` bytes is told in several numbered prompts; without keys it
+    raises.
+    """
     row = F.concat(F.lit("- "), F.col("violation_type"), F.lit(" "), F.col("file_path"), F.lit(":"),
-                   F.col("line_number").cast("string"), F.lit(" "), F.col("explanation"))
-    ordered = F.sort_array(F.collect_list(F.struct("file_path", "detector_ord", "emit_ord", row.alias("text"))))
-    grouped = fixes.groupBy(*keys).agg(
-        F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("fixes_summary"),
+                   F.col("line_number").cast("string"), F.lit(" "), F.col("explanation"), F.lit("\n"))
+    summaries = fold_texts(fixes.where(row.isNotNull()), *keys, order=F.struct("file_path", "detector_ord", "emit_ord"),
+                           text=row, max_bytes=max_bytes)
+    groups = fixes.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("string").alias("total_count"),
-        F.array_join(F.sort_array(F.collect_set("violation_type")), ", ").alias("categories"))
-    return grouped.select(*keys, fill_template(PR_DESCRIPTION_PROMPT, {
-        n: F.col(n) for n in ("fixes_summary", "total_count", "categories")}).alias("prompt"))
+        F.array_join(F.sort_array(F.collect_set("violation_type")), ", ").alias("categories")).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], "total_count", "categories")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return groups.join(summaries, same).select(*keys, "part", "parts", fill_template(PR_DESCRIPTION_PROMPT, {
+        "fixes_summary": F.regexp_replace("text", "\n\\z", ""), "total_count": F.col("total_count"),
+        "categories": F.col("categories")}).alias("prompt"))
 
 
 def cost_estimate(prompts: DataFrame, spark: SparkSession) -> DataFrame:

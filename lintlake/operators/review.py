@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import DEFAULT_REVIEWER, DRAFT_BELOW_CONFIDENCE, PR_LABELS
 from ..functions.text import base_name, quote, whole_percent
+from .folding import MAX_TEXT_BYTES, fold_texts
 
 GENERATOR = "lintlake"
 
@@ -33,11 +34,52 @@ def glob_regex(glob: str) -> str:
     return f"(?s)^{out}\\z"
 
 
+def glob_anchor(glob: str) -> tuple[str, str]:
+    """The longer of the literal texts that every match begins ("p") or ends ("s") with."""
+    prefix = re.match(r"[^*?\[]*", glob).group()
+    suffix = re.search(r"[^*?\[\]]*\Z", glob).group()
+    return ("s", suffix) if len(suffix) > len(prefix) else ("p", prefix)
+
+
 def reviewer_rules(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
-    """Ordered (glob, reviewer) configuration as rows."""
+    """Ordered (glob, reviewer) configuration as rows, with what :func:`reviewers_by_table` looks up."""
     return spark.createDataFrame(
-        [(i, glob, glob_regex(glob), who) for i, (glob, who) in enumerate(rules, 1)],
-        "ord int, glob string, regex string, reviewer string")
+        [(i, glob, glob_regex(glob), who, *glob_anchor(glob)) for i, (glob, who) in enumerate(rules, 1)],
+        "ord int, glob string, regex string, reviewer string, anchor string, literal string")
+
+
+#: A table of at most so many globs is sent to every executor; a larger one is joined by shuffling.
+MAX_BROADCAST_RULES = 100_000
+
+
+def reviewers_by_table(files: DataFrame, rules: DataFrame, default: str = DEFAULT_REVIEWER) -> DataFrame:
+    """(file_path, reviewer) for every distinct path: the first matching glob of a table of any size.
+
+    A glob is found by its literal beginning or end: a path looks up its own beginnings and ends of
+    the lengths that the table has, and only globs found are matched. One without either is matched
+    against every path. Same result as :func:`reviewer_for_path`, whose one CASE stops
+    compiling at some thousand globs.
+    """
+    # as many rows as there are lengths of literals, two kinds of at most a path's length each
+    lengths = rules.select("anchor", F.length("literal").alias("n")).distinct().collect()
+
+    def looked_up(kind: str, cut: str) -> str:
+        sizes = sorted(r["n"] for r in lengths if r["anchor"] == kind)
+        numbers = f"array({', '.join(map(str, sizes))})" if sizes else "cast(array() as array<int>)"
+        return (f"transform(filter({numbers}, n -> n <= length(file_path)), n -> "
+                f"named_struct('anchor', '{kind}', 'literal', {cut}))")
+
+    paths = files.select("file_path").distinct()
+    looked = paths.select("file_path", F.expr(
+        f"explode(concat({looked_up('p', 'substring(file_path, 1, n)')}, "
+        f"{looked_up('s', 'substring(file_path, length(file_path) - n + 1, n)')}))").alias("l")).select("file_path", "l.*")
+    table = rules.select("anchor", "literal", "regex", "ord", "reviewer")
+    if table.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES:
+        table = F.broadcast(table)
+    hits = looked.join(table, ["anchor", "literal"]).where("file_path rlike regex").select("file_path", "ord", "reviewer")
+    everyone = paths.select("file_path", F.lit(None).cast("int").alias("ord"), F.lit(default).alias("reviewer"))
+    first = F.min_by("reviewer", F.struct(F.col("ord").isNull(), "ord"))
+    return hits.unionByName(everyone).groupBy("file_path").agg(first.alias("reviewer"))
 
 
 def reviewer_for_path(rules: list[tuple[str, str]], default: str = DEFAULT_REVIEWER,
@@ -86,14 +128,6 @@ def pr_plan(fixes: DataFrame, *keys: str, labels: tuple[str, ...] = PR_LABELS) -
     )
 
 
-def dry_run_url(owner: Column, repo: Column) -> Column:
-    return F.concat(F.lit("https://github.com/"), owner, F.lit("/"), repo, F.lit("/pull/DRY-RUN"))
-
-
-def branch_name(when: Column, prefix: str = "hygiene-fix/") -> Column:
-    return F.concat(F.lit(prefix), F.date_format(when, "yyyyMMdd-HHmmss"))
-
-
 # The parts of the texts around the table.
 _BODY = {
     "library": {
@@ -169,11 +203,14 @@ def pr_body_lines(fixes: DataFrame, *keys: str, variant: str = "library",
     return frame.unionByName(rows)
 
 
-def pr_body(fixes: DataFrame, *keys: str, **options) -> DataFrame:
-    """The body as one string, for fix sets that are bounded (a fix batch, one file)."""
-    pieces = F.sort_array(F.collect_list(F.struct("part", "ord", "text")))
-    return pr_body_lines(fixes, *keys, **options).groupBy(*keys).agg(
-        F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("body"))
+def pr_body(fixes: DataFrame, *keys: str, max_bytes: int = MAX_TEXT_BYTES, **options) -> DataFrame:
+    """(keys, part, parts, body): the body of each pull request, one string up to ``max_bytes`` bytes.
+
+    A longer one comes as several numbered texts; without keys it raises.
+    """
+    pieces = pr_body_lines(fixes, *keys, **options)
+    return fold_texts(pieces, *keys, order=F.struct("part", "ord"), text=F.col("text"),
+                      max_bytes=max_bytes).withColumnRenamed("text", "body")
 
 
 def pr_comment(type_counts: DataFrame, generator: str = GENERATOR) -> DataFrame:

@@ -8,7 +8,7 @@ optional merge with the flow checks, whatever the number of rules.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixed import HIGH, MONGODB, SEVERITY_OF_TYPE
@@ -254,6 +254,46 @@ def all_facets(violations: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def counts_by(violations: DataFrame, *keys: str) -> DataFrame:
+    """(level, keys, facet, value, n): all facets and totals, of everything and of each key, in one pass.
+
+    Grouping sets: every row is aggregated once, before the shuffle. ``level`` is "all" or "group"
+    (then the keys are set), ``facet`` one of the four or "total" (its value is null).
+    """
+    levels = [[], list(keys)] if keys else [[]]
+    sets = [[*level, *facet] for level in levels for facet in ([], *[[f] for f in FACETS])]
+    marks = [F.grouping(c).alias(f"_{c}") for c in (*(keys[:1]), *FACETS)]
+    counted = violations.groupingSets([[F.col(c) for c in s] for s in sets], *keys, *FACETS).agg(
+        F.count(F.lit(1)).alias("n"), *marks)
+    facet, value = F.lit("total"), F.lit(None).cast("string")
+    for f in FACETS:
+        facet = F.when(F.col(f"_{f}") == 0, F.lit(f)).otherwise(facet)
+        value = F.when(F.col(f"_{f}") == 0, F.col(f)).otherwise(value)
+    level = F.when(F.col(f"_{keys[0]}") == 0, F.lit("group")).otherwise("all") if keys else F.lit("all")
+    return counted.select(level.alias("level"), *keys, facet.alias("facet"), value.alias("value"), "n")
+
+
+def merged_counts(counts: DataFrame) -> DataFrame:
+    """Counts of several batches added up; counts of disjoint files merge to those of all."""
+    return counts.groupBy(*[c for c in counts.columns if c != "n"]).agg(F.sum("n").alias("n"))
+
+
+class CountTable:
+    """Statistics of a growing corpus: the counts of each batch, merged when read.
+
+    A batch is as many rows as it has groups, whatever its files; one written again replaces itself.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, *keys: str):
+        self.spark, self.path, self.keys = spark, path, keys
+
+    def add(self, batch: str, violations: DataFrame) -> None:
+        counts_by(violations, *self.keys).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def counts(self) -> DataFrame:
+        return merged_counts(self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*").drop("batch"))
+
+
 def totals(files: DataFrame, violations: DataFrame) -> DataFrame:
     """One row: scanned files (clean ones too) and violations."""
     scanned = files if "route_language" in files.columns else files.withColumn(

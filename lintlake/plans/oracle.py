@@ -601,11 +601,15 @@ def build() -> dict[str, str]:
         f"platform_base AS platform, rule_language AS language, CAST({c} AS DOUBLE) AS confidence_score, "
         f"true AS is_marked, ctx_before, ctx_after FROM src WHERE rule_language = '{lang}' AND {where}"
         for lang, t, c, where in FLOW.values()))
-    out["scan_repository_flow"] = on_hits(
+    full_scan = (
         "SELECT file_path, line_number, violation_type, severity, language, confidence_score, detector_ord FROM ("
         "SELECT *, row_number() OVER (PARTITION BY file_path, violation_type, line_number ORDER BY detector_ord, emit_ord) AS rn "
         "FROM (SELECT file_path, line_number, violation_type, severity, language, confidence_score, detector_ord, emit_ord "
         f"FROM v UNION ALL {flow_rows})) WHERE rn = 1")
+    out["scan_repository_flow"] = out["scan_stream_full"] = on_hits(full_scan)
+    out["scan_stream_gate"] = on_hits(
+        "SELECT f.file_path, count(s.file_path) AS violations, count(s.file_path) > 0 AS approval_required "
+        f"FROM files f LEFT JOIN ({full_scan}) s ON s.file_path = f.file_path GROUP BY f.file_path")
     packs = " UNION ALL ".join(f"({_pack(lang)})" for lang in PACK)
     out["scan_dedup"] = on_hits(
         f"SELECT file_path, line_number, violation_type, detector_ord, emit_ord FROM (SELECT *, row_number() OVER "
@@ -621,6 +625,13 @@ def build() -> dict[str, str]:
         out[key] = on_hits(f"SELECT {facet}, count(*) AS n FROM v GROUP BY {facet}")
     out["stats_all_facets"] = on_hits(" UNION ALL ".join(
         f"SELECT '{f}' AS facet, {f} AS value, count(*) AS n FROM v GROUP BY {f}" for f in _FACETS))
+    names = ", ".join(_FACETS)
+    out["stats_grouping_sets"] = out["stats_by_batches"] = on_hits(
+        "SELECT CASE WHEN grouping(repo) = 0 THEN 'group' ELSE 'all' END AS level, repo, CASE "
+        + " ".join(f"WHEN grouping({f}) = 0 THEN '{f}'" for f in _FACETS) + " ELSE 'total' END AS facet, "
+        f"coalesce({names}) AS value, count(*) AS n FROM (SELECT *, "
+        "string_split(file_path, '/')[1] || '/' || string_split(file_path, '/')[2] AS repo FROM v) GROUP BY GROUPING SETS ("
+        + ", ".join(f"({', '.join(k)})" for r in ([], ["repo"]) for k in ([*r], *[[*r, f] for f in _FACETS])) + ")")
     out["stats_totals"] = on_hits(
         "SELECT (SELECT count(*) FROM files) AS total_files_scanned, (SELECT count(*) FROM v) AS total_violations")
     out["pr_type_counts"] = on_hits("SELECT violation_type, count(*) AS n, 'HIGH' AS severity FROM v GROUP BY violation_type")
@@ -691,7 +702,7 @@ def build() -> dict[str, str]:
         "false AS security_review_passed, '' AS security_review_notes FROM v")
 
     # review
-    out["reviewer_by_path"] = with_() + f"SELECT file_path, {_PATH_CASE} AS reviewer FROM code_files"
+    out["reviewer_by_path"] = out["reviewer_by_table"] = with_() + f"SELECT file_path, {_PATH_CASE} AS reviewer FROM code_files"
     out["reviewer_by_type"] = on_hits(
         "SELECT file_path, line_number, violation_type, unnest(CASE violation_type WHEN 'STRING_CONCAT_SQL' THEN "
         "['sec-lead', 'dba-team'] WHEN 'UNBATCHED_TXN' THEN ['perf-team'] ELSE ['security-team'] END) AS reviewer FROM v")

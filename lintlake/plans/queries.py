@@ -15,7 +15,7 @@ from ..functions.lang import platform, route_language, rule_language, concat_lan
 from ..functions.text import code_hash, parse_repo_url, base_name, relative_path, violation_id
 from ..operators import fixes as fx
 from ..operators import flow, lines, manifest, replies, review, rules, scan, secondary
-from ..session import scratch_dir
+from ..session import scratch_dir, stored
 from ..sources import files as src
 from ..sources import results
 from ..streaming import scan_stream as streaming
@@ -160,6 +160,28 @@ def _scan_stream(spark, sf):
     return _flat(spark.read.parquet(f"{base}/out"))
 
 
+def _full_stream(spark, sf):
+    """The whole corpus, every file delivered twice, through the full scan with its gate."""
+    base = scratch_dir(spark, "stream")
+    files = _CODE(spark, sf).select("file_path", "content")
+    for _ in range(2):
+        files.write.mode("append").parquet(f"{base}/in")
+    stream = streaming.table_stream(spark, f"{base}/in", files.schema)
+    streaming.scan_gate_stream(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return f"{base}/out"
+
+
+@query("scan_stream_full")
+def _scan_stream_full(spark, sf):
+    return spark.read.parquet(f"{_full_stream(spark, sf)}/violations").select(
+        "file_path", "line_number", "violation_type", "severity", "language", "confidence_score", "detector_ord")
+
+
+@query("scan_stream_gate")
+def _scan_stream_gate(spark, sf):
+    return spark.read.parquet(f"{_full_stream(spark, sf)}/gate").select("file_path", "violations", "approval_required")
+
+
 # --- projections -----------------------------------------------------------------
 
 
@@ -387,6 +409,22 @@ def _all_facets(spark, sf):
     return scan.all_facets(_violations(spark, sf))
 
 
+@query("stats_grouping_sets")
+def _grouping_sets(spark, sf):
+    return scan.counts_by(_with_repo(_violations(spark, sf)), "repo")
+
+
+@query("stats_by_batches")
+def _by_batches(spark, sf):
+    """The same counts from three batches of files, each scanned and counted by itself."""
+    counts = scan.CountTable(spark, scratch_dir(spark, "counts"), "repo")
+    files = _CODE(spark, sf)
+    for batch in range(3):
+        part = files.where(F.pmod(F.xxhash64("file_path"), F.lit(3)) == batch)
+        counts.add(str(batch), _with_repo(scan.scan_lines(part)))
+    return counts.counts()
+
+
 @query("stats_totals")
 def _totals(spark, sf):
     return scan.totals(_CODE(spark, sf), _violations(spark, sf))
@@ -549,7 +587,7 @@ def _model_fixes(spark, sf):
 
 @query("fix_ai_fallback")
 def _fallback(spark, sf):
-    v = _violations(spark, sf)
+    v = stored(_violations(spark, sf), "violations")
     ai = replies.merge_fixes(v, derived_replies(v, "fix"))
     return fx.fallback(ai, fx.template_fixes(v)).select(
         "violation_id", "fixed_code", "explanation", "ai_model_used", "fix_confidence")
@@ -598,6 +636,14 @@ def _by_path(spark, sf):
     return _CODE(spark, sf).select("file_path", review.reviewer_for_path(PATH_RULES).alias("reviewer"))
 
 
+@query("reviewer_by_table")
+def _by_table(spark, sf):
+    """The same rules in a table with ten thousand other globs."""
+    others = [(f"vendor/v{i}/*.java" if i % 2 else f"*/gen{i}.sql", f"team-{i % 50}") for i in range(10_000)]
+    rules = review.reviewer_rules(spark, others[:5000] + PATH_RULES + others[5000:])
+    return review.reviewers_by_table(_CODE(spark, sf), rules)
+
+
 @query("reviewer_by_type")
 def _by_type(spark, sf):
     return _violations(spark, sf).select(
@@ -619,7 +665,8 @@ def _pr_plan(spark, sf):
 def _pr_body(spark, sf):
     """The text for the fix batch (at most ten fixes), with the totals of the scan."""
     totals = scan.totals(_CODE(spark, sf), _violations(spark, sf))
-    return review.pr_body(_batch(spark, sf), variant="web", totals=totals)
+    batch = _batch(spark, sf).withColumn("batch", F.lit("fixes"))
+    return review.pr_body(batch, "batch", variant="web", totals=totals.withColumn("batch", F.lit("fixes"))).select("body")
 
 
 @query("pr_body_lines")
@@ -663,7 +710,7 @@ def _prompt_review(spark, sf):
 
 @query("prompt_pr_description")
 def _prompt_pr(spark, sf):
-    return replies.prompt_pr_description(_batch(spark, sf))
+    return replies.prompt_pr_description(_batch(spark, sf).withColumn("batch", F.lit("fixes")), "batch").select("prompt")
 
 
 REPLY_BODY = {
@@ -728,7 +775,7 @@ def _review_merge(spark, sf):
 
 @query("ai_run")
 def _ai_run(spark, sf):
-    v = _violations(spark, sf)
+    v = stored(_violations(spark, sf), "violations")  # one scan for all branches
     return replies.run(v, derived_replies(v, "classify"), derived_replies(v, "fix"),
                        derived_replies(v, "review")).select(
         "violation_id", "description", "fixed_code", "security_review_notes")
@@ -736,7 +783,7 @@ def _ai_run(spark, sf):
 
 @query("ai_stats")
 def _ai_stats(spark, sf):
-    v = _violations(spark, sf)
-    fixes = _model_fixes(spark, sf)
+    v = stored(_violations(spark, sf), "violations")
+    fixes = stored(replies.merge_fixes(v, derived_replies(v, "fix")), "fixes")
     reviewed = replies.merge_reviews(fixes, derived_replies(v, "review")).where("security_review_passed")
     return replies.run_stats(v, fixes, reviewed)

@@ -57,6 +57,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return store.makeQualified(folder).toString()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, for all that read them later."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so lost executors cost no recomputation."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -83,8 +83,3 @@ def read_scan_json(spark: SparkSession, path: str, multi_line: bool = True) -> D
 
 def violations_of(documents: DataFrame) -> DataFrame:
     return documents.select("repo_path", F.explode("violations").alias("v")).select("repo_path", "v.*")
-
-
-def write_violations(violations: DataFrame, path: str) -> None:
-    """Row-level table, partitioned by type (five values)."""
-    violations.write.mode("errorifexists").partitionBy("violation_type").parquet(path)

@@ -110,7 +110,13 @@ def test_pull_request_texts(spark):
     plan = review.pr_plan(fx).first()
     assert plan.title == "DB Hygiene: Fix 2 violations (SELECT_STAR, STRING_CONCAT_SQL)"
     assert plan.is_draft is False or abs((0.85 + 0.9) / 2 - 0.85) > 0
-    body = review.pr_body(fx, generator="me").first().body
+    with pytest.raises(ValueError):
+        review.pr_body(fx)
+    with pytest.raises(ValueError):
+        replies.prompt_pr_description(fx)
+    whole = review.pr_body(fx.withColumn("k", F.lit(1)), "k", generator="me").first()
+    body = whole.body
+    assert (whole.part, whole.parts) == (1, 1)
     assert "addresses **2** database" in body and "| p/a.sql:3 | SELECT_STAR | 85% |\n| p/b.sql:1 | STRING_CONCAT_SQL | 90% |\n" in body
     assert body.endswith("*Generated by me*\n")
     pieces = review.pr_body_lines(fx, generator="me").orderBy("part", "ord").collect()
