@@ -10,6 +10,8 @@ tokenizers library.  A hash only proposes a unit: its bytes are compared every t
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
@@ -70,17 +72,15 @@ class _Rows:
     def __len__(self) -> int:
         return self.count
 
-    def add(self, rows: list) -> None:
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        count, end = self.count + len(rows), self.used + int(lengths.sum())
-        for name, size in (("starts", count), ("lengths", count), ("flat", end)):
+    def add(self, lengths: np.ndarray, flat: np.ndarray) -> None:
+        count, end = self.count + len(lengths), self.used + len(flat)
+        for name, size in (("starts", count), ("lengths", count), ("flat", end + 8)):
             held = getattr(self, name)
             if size > len(held):
                 grown = np.zeros(2 * size, held.dtype)
                 grown[:len(held)] = held
                 setattr(self, name, grown)
-        if end > self.used:
-            self.flat[self.used:end] = np.concatenate([np.asarray(r, self.flat.dtype) for r in rows])
+        self.flat[self.used:end] = flat
         self.lengths[self.count:count] = lengths
         self.starts[self.count:count] = self.used + np.cumsum(lengths) - lengths
         self.count, self.used = count, end
@@ -93,6 +93,16 @@ class _Rows:
         return self.flat[shift + np.arange(after[-1])], after
 
 
+#: Units of more bytes are compared one by one.
+LONG = 64
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number, the first one lowest; ``data`` has 8 to spare."""
+    return np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
+
+
 class Encoder:
     """Ids equal to encoding each text by itself.
 
@@ -143,7 +153,7 @@ class Encoder:
         first = missed[first]
         numbers = list(map(self.known.get, distinct.tolist()))
         new = [i for i, number in enumerate(numbers) if number is None]
-        for i, number in zip(new, self._learn([(data, low, starts[a], ends[a], odd[a]) for a in first[new].tolist()])):
+        for i, number in zip(new, self._learn(data, low, starts, ends, odd, first[new])):
             numbers[i] = self.known[int(distinct[i])] = number
         if len(missed):
             numbers = np.array(numbers, np.int64)
@@ -152,27 +162,36 @@ class Encoder:
         for a in np.flatnonzero(~self._same(low, starts, ends, odd, unit)).tolist():  # another unit has the key
             other = (low[starts[a]:ends[a]].tobytes(), bool(odd[a]))
             if other not in self.collided:
-                self.collided[other] = self._learn([(data, low, starts[a], ends[a], odd[a])])[0]
+                self.collided[other] = self._learn(data, low, starts, ends, odd, np.array([a]))[0]
             unit[a] = self.collided[other]
         return unit
 
     def _same(self, low, starts, ends, odd, unit) -> np.ndarray:
         """Whether units have the bytes of those whose numbers they were given."""
-        lengths = ends - starts
-        same = (self.bytes.lengths[unit] == lengths) & (self.odd.flat[self.odd.starts[unit]] == odd)
-        at = np.flatnonzero(same)
-        seen, after = self.bytes.of(unit[at])
-        shift = np.repeat(starts[at] - after[:-1], lengths[at])
-        wrong = np.flatnonzero(seen != low[shift + np.arange(len(seen))])
-        same[at[np.searchsorted(after, wrong, "right") - 1]] = False
+        lengths, held = ends - starts, self.bytes.starts[unit]
+        same = (self.bytes.lengths[unit] == lengths) & (self.odd.flat[unit] == odd)
+        now, seen = _eights(np.append(low, np.zeros(8, np.uint8))), _eights(self.bytes.flat)
+        at, step = np.flatnonzero(same & (lengths <= LONG)), 0
+        while len(at):
+            left = lengths[at] - step
+            wrong = ((now[starts[at] + step] ^ seen[held[at] + step]) & _FIRST[np.minimum(left, 8)]) != 0
+            same[at[wrong]] = False
+            at, step = at[~wrong & (left > 8)], step + 8
+        for a in np.flatnonzero(same & (lengths > LONG)).tolist():
+            same[a] = np.array_equal(low[starts[a]:ends[a]], self.bytes.flat[held[a]:held[a] + lengths[a]])
         return same
 
-    def _learn(self, units: list[tuple]) -> list[int]:
-        first = len(self.odd)
-        self.ids.add([self._ids(low[a:b].tobytes(), data[a:b].tobytes(), odd) for data, low, a, b, odd in units])
-        self.bytes.add([low[a:b] for _, low, a, b, _ in units])
-        self.odd.add([[odd] for *_, odd in units])
-        return list(range(first, len(self.odd)))
+    def _learn(self, data, low, starts, ends, odd, at: np.ndarray) -> range:
+        """Encodes the units ``at``; their numbers."""
+        before, lengths = len(self.odd), ends[at] - starts[at]
+        found = [self._ids(low[a:b].tobytes(), data[a:b].tobytes(), o)
+                 for a, b, o in zip(starts[at].tolist(), ends[at].tolist(), odd[at].tolist())]
+        self.ids.add(np.fromiter(map(len, found), np.int64, len(found)),
+                     np.fromiter(chain.from_iterable(found), np.uint32))
+        shift = np.repeat(starts[at] - np.cumsum(lengths) + lengths, lengths)
+        self.bytes.add(lengths, low[shift + np.arange(len(shift))])
+        self.odd.add(np.ones(len(at), np.int64), odd[at])
+        return range(before, len(self.odd))
 
     def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where units start, which of them the tokenizer has to cut itself, and the bytes to look at."""
