@@ -242,3 +242,41 @@ def test_native_plans_have_no_python(spark, name):
     from lintlake.llm.queries import QUERIES
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_every_distinct_token_is_learned(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9)))
+    found = [f"{rng.getrandbits(160):040x}" for _ in range(2500)]
+    words = sorted({word() for _ in range(6000)})
+    text = " ".join(words) + " " + " ".join(words[::-1])  # one text with more than any sample of a text
+    rows = [(1, text), (2, text)] + [(10 + i, f'token = "{x}" end') for i, x in enumerate(found)]
+    monkeypatch.setattr(secrets, "PART", 1500)
+    seen, train_all = [], secrets.train_all
+
+    def watched(rows, recall):
+        seen.append({(r.found, r.w[secrets.LEFT:secrets.LEFT + secrets.BODY].rstrip("\0")) for r in rows.collect()})
+        seen.append(train_all(rows, recall))
+        seen.append(train_all(rows.repartition(7), recall))
+        return seen[1]
+
+    monkeypatch.setattr(secrets, "train_all", watched)
+    got = {r.doc_id: r for r in secrets.scan_secrets(table(spark, rows)).collect()}
+    assert {w for f, w in seen[0] if f} == set(found) and {w for f, w in seen[0] if not f} >= set(words)
+    one, again = seen[1:]
+    for a, b in zip(one, again):  # however the rows lie
+        assert a.threshold == b.threshold and all((x == y).all() for x, y in zip(a.w, b.w))
+    for net in one:
+        p = net.probability(secrets.coded([secrets.window(f'token = "{x}" end', 9, 49) for x in found]))
+        assert (p >= net.threshold).mean() >= 0.95 and net.precision >= 0.95
+    assert all(r.n_hex == 1 for i, r in got.items() if i >= 10) and got[1].base_spans == ""
+
+
+def test_a_token_is_sent_once_for_each_smaller_window():
+    seen = secrets.Seen(bits=4)
+    token = np.array([5, 5, 7, 5], np.uint64) << np.uint64(60)
+    assert sorted(seen.new(token, np.array([9, 3, 4, 8], np.uint64)).tolist()) == [1, 2]
+    assert seen.new(token, np.array([3, 4, 2, 2], np.uint64)).tolist() in ([3, 2], [2, 3])
+    assert len(seen.new(token, np.array([3, 4, 2, 2], np.uint64))) == 0
