@@ -477,6 +477,7 @@ def _count_logits(networks: list[Network]):
     def run(table: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for no, (network, (codes, labels)) in enumerate(zip(networks, _examples(table, len(networks)))):
+            network.w = [w.astype(np.float32) for w in network.w]  # a task's own copy
             z = np.floor(np.clip(network.logits(codes), -LIMIT, LIMIT) * GRID).astype(np.int64)
             for label in (0, 1):
                 out += [(no, label, *x) for x in zip(*(a.tolist() for a in np.unique(z[labels == label], return_counts=True)))]
