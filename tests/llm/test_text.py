@@ -280,3 +280,16 @@ def test_a_token_is_sent_once_for_each_smaller_window():
     assert sorted(seen.new(token, np.array([9, 3, 4, 8], np.uint64)).tolist()) == [1, 2]
     assert seen.new(token, np.array([3, 4, 2, 2], np.uint64)).tolist() in ([3, 2], [2, 3])
     assert len(seen.new(token, np.array([3, 4, 2, 2], np.uint64))) == 0
+
+
+def test_the_least_window_is_the_same_however_rows_lie(spark, monkeypatch):
+    words = ["alpha", "beta", "gamma", "delta"]
+    rows = [(i, f"{words[i % 4]} {words[(i * 7 + i // 4) % 4]} n{i} {words[i % 3]}") for i in range(60)]
+    kept = []
+    monkeypatch.setattr(secrets, "train_all", lambda rows, recall: kept.append(sorted(map(tuple, rows.collect()))) or [
+        secrets.Network(), secrets.Network()])
+    for lain in (rows, rows[::-1]):
+        secrets.scan_secrets(table(spark, lain).coalesce(1)).count()
+    monkeypatch.setattr(secrets, "HELD", 3)
+    secrets.scan_secrets(table(spark, rows).repartition(5)).count()
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 64
