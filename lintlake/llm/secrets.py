@@ -52,6 +52,9 @@ CODES = 98
 AROUND = LEFT + RIGHT - KERNEL + 1
 #: Characters that are convolved together.
 STEP = 4096
+#: Where windows are bounded: places whose activations are seen as their largest one, places that are
+#: convolved together, and how many times as many whose windows are bounded together.
+CELL, BOUND_STEP, BOUND_BLOCKS = 8, 2048, 16
 #: Rows with shorter tokens are learned apart from the others of their step: less of their window is looked at.
 SHORT = 12
 #: Plain tokens of a part, on average; parts are learned side by side.
@@ -311,7 +314,7 @@ class Network:
         share = ((place >= LEFT) & (place < LEFT + length))[:, :, None] / np.maximum(length, 1)[:, :, None].astype(embed.dtype)
         active = patches.reshape(-1, KERNEL * EMBED) @ kernel
         active += bias
-        active = np.maximum(active, 0, out=active).reshape(len(codes), n, FILTERS)
+        active = np.maximum(active, np.zeros_like(active), out=active).reshape(len(codes), n, FILTERS)  # much faster than with a number
         active *= inside
         mean = np.matmul(share.transpose(0, 2, 1), active)[:, 0]
         pooled = np.concatenate([active.max(axis=1), mean], axis=1)
@@ -549,8 +552,10 @@ class Scanner:
     """The networks over whole texts: every character is convolved once.
 
     Embedding and kernel become tables of what one or two characters add to the filters, so the
-    convolution adds three rows a character; a window then takes its maximum from two overlapping
-    maxima of a power-of-two length, and the share of its mean from running sums.
+    convolution adds three rows a character.  Windows are bounded first: filters that raise a logit
+    count by the cells that a window touches, the others by the cells within it.  Those that may
+    reach the threshold are convolved again; such a window takes its maximum from two overlapping
+    maxima of a power-of-two length.  The share of the mean is one of running sums in both.
     """
 
     def __init__(self, networks: list[Network]):
@@ -563,6 +568,17 @@ class Scanner:
         for i, n in enumerate(networks):
             self.mean[i * FILTERS:(i + 1) * FILTERS, i] = n.w[3][FILTERS:]
         self.off = all(n.threshold > 1 for n in networks)
+        largest = np.concatenate([n.w[3][:FILTERS] for n in networks])
+        order = np.argsort(largest < 0, kind="stable")
+        #: Filters that raise a logit; the tables have them first here.
+        self.raising = int((largest >= 0).sum())
+        self.ordered = [np.ascontiguousarray(t[:, order]) for t in self.tables]
+        self.ordered_mean = np.ascontiguousarray(self.mean[order])
+        self.largest = np.where(np.repeat(np.arange(len(networks)), FILTERS)[:, None] == np.arange(len(networks)),
+                                largest[:, None], 0).astype(np.float32)[order]
+        # activations are sums of three entries of tables, logits of 2 * FILTERS activations: far more than their rounding
+        most = sum(np.abs(t).max(axis=0) for t in self.ordered)
+        self.slack = 1e-4 * (1 + most @ (np.abs(self.largest) + np.abs(self.ordered_mean)))
 
     def passed(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each token of ``flat`` and each network whether a window over it reaches the threshold.
@@ -584,20 +600,86 @@ class Scanner:
             order = np.argsort(first, kind="stable")
             first, token, size = first[order], token[order], size[order]
         first = first - LEFT  # windows begin with what stands before the token
-        cuts = np.searchsorted(first, np.arange(0, len(flat) + STEP, STEP))
+        left = np.flatnonzero(self._bounded(numbers, first, size))
+        first, size, token = first[left], size[left], token[left]
+        own = size + LEFT + RIGHT  # windows that are left, one after the other
+        ends = np.cumsum(own)
+        numbers = np.append(numbers[np.repeat(first - (ends - own), own) + np.arange(own.sum())], np.zeros(WIDTH, numbers.dtype))
+        first = ends - own
+        cuts = np.searchsorted(first, np.arange(0, len(numbers) + STEP, STEP))
         for block, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
             if a < b:
                 high = self._block(numbers[block * STEP:(block + 1) * STEP + WIDTH], first[a:b] - block * STEP, size[a:b])
                 np.logical_or.at(out, token[a:b][high.any(axis=1)], high[high.any(axis=1)])
         return out
 
+    def _bounded(self, numbers: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which windows may reach a threshold, by a bound that no logit exceeds."""
+        out = np.zeros(len(first), bool)
+        step = BOUND_STEP * BOUND_BLOCKS
+        numbers = np.append(numbers, np.zeros(BOUND_STEP + WIDTH + KERNEL, numbers.dtype))
+        cuts = np.searchsorted(first, np.arange(0, len(numbers) + step, step))
+        for block, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            if a < b:
+                at = block * step
+                n = -(-(int(first[b - 1]) - at + WIDTH) // BOUND_STEP) * BOUND_STEP
+                n = min(n, (len(numbers) - at - KERNEL) // CELL * CELL)
+                out[a:b] = self._may_pass(*self._cells(numbers[at:at + n + KERNEL], n), first[a:b] - at, size[a:b])
+        return out
+
+    def _cells(self, numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The largest activations of each cell of ``n`` places, and running sums of what their mean adds."""
+        pairs = numbers[:-1] * CODES + numbers[1:]
+        out = np.empty((n // CELL, len(self.largest)), np.float32)
+        sums = np.zeros((n + 1, len(self.networks)))
+        active, more, none = (np.zeros((min(n, BOUND_STEP), len(self.largest)), np.float32) for _ in range(3))
+        for at in range(0, n, BOUND_STEP):
+            size = min(n - at, BOUND_STEP)
+            active, more, none = active[:size], more[:size], none[:size]
+            # the first places of all cells, then the second ones, and so on
+            places = [x[at + k:at + k + size].reshape(-1, CELL).T.ravel() for x, k in ((pairs, 0), (pairs, 2), (numbers, 4))]
+            np.take(self.ordered[0], places[0], axis=0, out=active, mode="clip")
+            for table, own in zip(self.ordered[1:], places[1:]):
+                np.add(active, np.take(table, own, axis=0, out=more, mode="clip"), out=active)
+            np.maximum(active, none, out=active)  # much faster than with a number
+            mean = (active @ self.ordered_mean).reshape(CELL, size // CELL, -1)
+            sums[at + 1:at + size + 1].reshape(size // CELL, CELL, -1)[:] = mean.transpose(1, 0, 2)
+            top = active.reshape(CELL, size // CELL, -1)
+            while len(top) > 1:
+                top = np.maximum(top[:len(top) // 2], top[len(top) // 2:])
+            out[at // CELL:(at + size) // CELL] = top[0]
+        return out, np.cumsum(sums, axis=0, out=sums)
+
+    def _may_pass(self, cell: np.ndarray, sums: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        end = first + size + AROUND
+        bound = (sums[first + LEFT + size] - sums[first + LEFT]) / size[:, None] + [n.w[4][0] for n in self.networks] + self.slack
+        left = np.arange(len(first))
+        for column, low, high in ((slice(0, self.raising), first // CELL, (end - 1) // CELL + 1),  # cells that are touched
+                                  (slice(self.raising, None), -(-first // CELL), end // CELL)):  # cells within: 2 or more
+            top, reach = np.ascontiguousarray(cell[:, column]), 1
+            low, cells = low[left], (high - low)[left]
+            while reach <= int(cells.max(initial=0)):
+                own = np.flatnonzero((cells >= reach) & (cells < 2 * reach))
+                if len(own):
+                    both = np.take(top, low[own], axis=0)
+                    np.maximum(both, np.take(top, low[own] + cells[own] - reach, axis=0), out=both)
+                    bound[left[own]] += both @ self.largest[column]
+                top = np.maximum(top[:max(0, len(top) - reach)], top[reach:])
+                reach *= 2
+            passed = [1 / (1 + np.exp(-np.clip(n.scale * bound[left, i] + n.shift, -30, 30))) >= n.threshold
+                      for i, n in enumerate(self.networks)]
+            left = left[np.any(passed, axis=0)]
+        may = np.zeros(len(first), bool)
+        may[left] = True
+        return may
+
     def _block(self, numbers: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         n = len(numbers) - KERNEL + 1
         pairs = numbers[:-1] * CODES + numbers[1:]
         active = np.take(self.tables[0], pairs[:n], axis=0)
         active += np.take(self.tables[1], pairs[2:n + 2], axis=0)
         active += np.take(self.tables[2], numbers[4:n + 4], axis=0)
-        np.maximum(active, 0, out=active)
+        np.maximum(active, np.zeros_like(active), out=active)
         sums = np.zeros((n + 1, len(self.networks)))
         np.cumsum(active @ self.mean, axis=0, dtype=float, out=sums[1:])
         wide = size + AROUND

@@ -169,6 +169,30 @@ def test_gradient_of_masked_windows():
             assert abs((up - down) / (2 * step) - grad[at]) < 1e-5
 
 
+def test_only_windows_that_may_pass_are_convolved_twice(monkeypatch):
+    import random
+
+    rng = random.Random(15)
+    positive = [secrets.window("x = " + "".join(rng.choice("0123456789abcdef") for _ in range(40)), 4, 44) for _ in range(30)]
+    negative = [secrets.window("some plain sentence with words " * 3, 12 + i, 20 + i) for i in range(40)]
+    networks = [secrets.train(positive, negative), secrets.train(positive[::2], negative)]
+    texts = ["some plain sentence with words " * 400] + [
+        "".join(rng.choice("ab 0F/_é\n") for _ in range(n)) for n in (0, 1, 7, 90, 5000, 40000)] + [
+        "x = " + "".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (12, 40, 47, 48, 49, 200)]
+    spans, seen, block = [[] for _ in texts], [], secrets.Scanner._block
+    monkeypatch.setattr(secrets.Scanner, "_block", lambda self, numbers, first, size: seen.append(len(first)) or block(
+        self, numbers, first, size))
+    scanner = secrets.Scanner(networks)
+    tokens = secrets.Tokens(texts[:1], spans[:1])
+    assert not scanner.passed(tokens.flat, tokens.starts, tokens.ends).any()
+    assert len(tokens.starts) == 2000 and sum(seen) < 100  # plain words stay below the threshold by a bound
+    # the same windows pass with a bound that leaves out none
+    tokens = secrets.Tokens(texts, spans)
+    got = scanner.passed(tokens.flat, tokens.starts, tokens.ends)
+    monkeypatch.setattr(secrets.Scanner, "_bounded", lambda self, numbers, first, size: np.ones(len(first), bool))
+    assert got.any() and (got == scanner.passed(tokens.flat, tokens.starts, tokens.ends)).all()
+
+
 def test_copies_of_a_bare_secret_are_no_counterexamples(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(100).collect()
     rows = [(r.doc_id, r.text) for r in docs]
