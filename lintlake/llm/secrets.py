@@ -32,6 +32,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run is matched whole, so this equals runs of 16 and more
+#: Bytes of HEX as "x": a text without a run of them is not searched.
+_HEXES, _HEX_RUN = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256)), b"x" * 16
 #: Any token may be a secret; the network tells.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 _PART = r"(?:[A-Z]?[a-z]++[0-9]{0,4}+|[A-Z]++[0-9]{0,4}+|[0-9]++)"
@@ -81,7 +83,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    if _HEX_RUN in text.encode("utf-8", "surrogatepass").translate(_HEXES):
+        spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(spans)
 
 
@@ -145,7 +148,8 @@ class Tokens:
 
     def __init__(self, texts: list[str], spans: list[list[tuple[int, int, int]]]):
         gap = "\0" * LEFT
-        self.flat = np.frombuffer((gap + gap.join(texts) + "\0" * WIDTH).encode("utf-32-le"), np.uint32)
+        self.text = gap + gap.join(texts) + "\0" * WIDTH
+        self.flat = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
         self.begins = LEFT + np.cumsum([0] + [len(t) + LEFT for t in texts])
         letters = (self.flat < 128) & _TOKEN[np.minimum(self.flat, 127)]
         edges = np.flatnonzero(np.diff(np.concatenate([[0], letters.view(np.int8), [0]])))
@@ -225,14 +229,17 @@ def labelled(texts: list[str], seen: Seen) -> Iterator[tuple[bool, int, int, int
     token, around = tokens.hashes(starts, ends)
     new = seen.new(token, around)
     starts, ends, token, around = (x[new] for x in (starts, ends, token, around))
-    number = np.searchsorted(tokens.begins, starts, "right") - 1
-    begins = tokens.begins[number]
-    for no, s, e, t, h in zip(number.tolist(), (starts - begins).tolist(), (ends - begins).tolist(),
-                              token.view(np.int64).tolist(), (around ^ U64(1 << 63)).view(np.int64).tolist()):  # in the same order, signed
-        text = texts[no]
+    text, room = tokens.text, ["\0" * n for n in range(BODY, -1, -1)]
+    for s, e, t, h in zip(starts.tolist(), ends.tolist(), token.view(np.int64).tolist(),
+                          (around ^ U64(1 << 63)).view(np.int64).tolist()):  # in the same order, signed
         if PLAIN.fullmatch(text, s, e):
-            at = s if e - s <= BODY else (starts_at := places(s, e))[h % len(starts_at)]
-            yield False, fold(text[s:e]), t, h, window(text, at, e)
+            own = text[s:e]
+            if e - s <= BODY:  # no text ends within LEFT or RIGHT characters of another
+                w = text[s - LEFT:e] + room[e - s] + text[e:e + RIGHT]
+            else:
+                starts_at = places(s, e)
+                w = window(text, starts_at[h % len(starts_at)], e)
+            yield False, fold(own), t, h, w
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -548,6 +555,11 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_acces
                      ("base_spans", pa.string()), ("spans", pa.string())])
 
 
+def _logit(p: float) -> float:
+    """Of a probability as :meth:`Network.probability` has them; the least one is that of any small logit."""
+    return np.inf if p >= 1 else -np.inf if p < 1e-13 else float(np.log(p / (1 - p)))
+
+
 class Scanner:
     """The networks over whole texts: every character is convolved once.
 
@@ -576,9 +588,15 @@ class Scanner:
         self.ordered_mean = np.ascontiguousarray(self.mean[order])
         self.largest = np.where(np.repeat(np.arange(len(networks)), FILTERS)[:, None] == np.arange(len(networks)),
                                 largest[:, None], 0).astype(np.float32)[order]
-        # activations are sums of three entries of tables, logits of 2 * FILTERS activations: far more than their rounding
+        # bounds count activations, sums of three entries, in steps of 1 / scale: half a step is lost in each
         most = sum(np.abs(t).max(axis=0) for t in self.ordered)
-        self.slack = 1e-4 * (1 + most @ (np.abs(self.largest) + np.abs(self.ordered_mean)))
+        scale = 32000 / max(float(most.max()), 1e-6)
+        # far more than what logits lose in single precision, and the steps
+        slack = 1e-4 + (1e-4 * most + 1.6 / scale) @ (np.abs(self.largest) + np.abs(self.ordered_mean))
+        #: No window with a smaller bound reaches the threshold; a probability near 1 tells its logit to 0.001.
+        self.least = np.array([_logit(n.threshold) - 0.01 - n.shift for n in networks]) / [n.scale for n in networks] - slack
+        self.ordered = [np.rint(t * scale).astype(np.int16) for t in self.ordered]
+        self.largest, self.ordered_mean = self.largest / np.float32(scale), self.ordered_mean / np.float32(scale)
 
     def passed(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each token of ``flat`` and each network whether a window over it reaches the threshold.
@@ -630,9 +648,9 @@ class Scanner:
     def _cells(self, numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The largest activations of each cell of ``n`` places, and running sums of what their mean adds."""
         pairs = numbers[:-1] * CODES + numbers[1:]
-        out = np.empty((n // CELL, len(self.largest)), np.float32)
+        out = np.empty((n // CELL, len(self.largest)), np.int16)
         sums = np.zeros((n + 1, len(self.networks)))
-        active, more, none = (np.zeros((min(n, BOUND_STEP), len(self.largest)), np.float32) for _ in range(3))
+        active, more, none = (np.zeros((min(n, BOUND_STEP), len(self.largest)), np.int16) for _ in range(3))
         for at in range(0, n, BOUND_STEP):
             size = min(n - at, BOUND_STEP)
             active, more, none = active[:size], more[:size], none[:size]
@@ -642,7 +660,7 @@ class Scanner:
             for table, own in zip(self.ordered[1:], places[1:]):
                 np.add(active, np.take(table, own, axis=0, out=more, mode="clip"), out=active)
             np.maximum(active, none, out=active)  # much faster than with a number
-            mean = (active @ self.ordered_mean).reshape(CELL, size // CELL, -1)
+            mean = (active.astype(np.float32) @ self.ordered_mean).reshape(CELL, size // CELL, -1)
             sums[at + 1:at + size + 1].reshape(size // CELL, CELL, -1)[:] = mean.transpose(1, 0, 2)
             top = active.reshape(CELL, size // CELL, -1)
             while len(top) > 1:
@@ -652,7 +670,7 @@ class Scanner:
 
     def _may_pass(self, cell: np.ndarray, sums: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         end = first + size + AROUND
-        bound = (sums[first + LEFT + size] - sums[first + LEFT]) / size[:, None] + [n.w[4][0] for n in self.networks] + self.slack
+        bound = (sums[first + LEFT + size] - sums[first + LEFT]) / size[:, None] + [n.w[4][0] for n in self.networks]
         left = np.arange(len(first))
         for column, low, high in ((slice(0, self.raising), first // CELL, (end - 1) // CELL + 1),  # cells that are touched
                                   (slice(self.raising, None), -(-first // CELL), end // CELL)):  # cells within: 2 or more
@@ -663,12 +681,10 @@ class Scanner:
                 if len(own):
                     both = np.take(top, low[own], axis=0)
                     np.maximum(both, np.take(top, low[own] + cells[own] - reach, axis=0), out=both)
-                    bound[left[own]] += both @ self.largest[column]
+                    bound[left[own]] += both.astype(np.float32) @ self.largest[column]
                 top = np.maximum(top[:max(0, len(top) - reach)], top[reach:])
                 reach *= 2
-            passed = [1 / (1 + np.exp(-np.clip(n.scale * bound[left, i] + n.shift, -30, 30))) >= n.threshold
-                      for i, n in enumerate(self.networks)]
-            left = left[np.any(passed, axis=0)]
+            left = left[(bound[left] >= self.least).any(axis=1)]
         may = np.zeros(len(first), bool)
         may[left] = True
         return may

@@ -193,6 +193,20 @@ def test_only_windows_that_may_pass_are_convolved_twice(monkeypatch):
     assert got.any() and (got == scanner.passed(tokens.flat, tokens.starts, tokens.ends)).all()
 
 
+def test_texts_without_a_run_of_hex_digits_are_not_searched(monkeypatch):
+    searched = []
+
+    class Watched:
+        def finditer(self, text):
+            searched.append(text)
+            return re.finditer("[0-9a-f]{16,}", text)
+
+    monkeypatch.setattr(secrets, "HEX", Watched())
+    texts = ["", "plain words " * 9, "0123456789abcde", "0123456789abcdeF0123456789", "é0123456789abcdef", "ab" * 8, "é" * 20, "x" * 16]
+    assert [secrets.base_spans(t) for t in texts] == [[], [], [], [], [(1, 2, 17)], [(0, 2, 16)], [], []]
+    assert searched == ["é0123456789abcdef", "ab" * 8]
+
+
 def test_copies_of_a_bare_secret_are_no_counterexamples(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(100).collect()
     rows = [(r.doc_id, r.text) for r in docs]
