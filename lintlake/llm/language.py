@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, mix, ship, text_chunks, worker_cache, written
+from .common import U64, bounded_batches, mix, ship, text_chunks, tidy, worker_cache, written
 
 ship(__name__)
 
@@ -29,6 +29,8 @@ SMOOTHING = 0.5
 STEPS = 12
 #: A further language has to gain this many times log(number of trigrams).
 PENALTY = 1.5
+#: Texts whose trigrams are counted at once: the count table is texts x bins.
+COUNTED_TEXTS = 32
 UNKNOWN = "und"
 
 
@@ -111,7 +113,7 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "doc_id"))
     chosen = _small(near.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct())
     rows = labelled.select("text", "lang", "doc_id").join(chosen, ["doc_id", "lang"]).select("text", "lang")
-    counts = rows.mapInArrow(_count, "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(
+    counts = rows.mapInArrow(tidy("language", _count), "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(
         F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.full((BINS, len(langs)), SMOOTHING)
@@ -133,6 +135,18 @@ def _expect(p: np.ndarray, counts: np.ndarray, starts: np.ndarray, of: np.ndarra
     return share, np.add.reduceat(fit, starts)
 
 
+def _cells(bins: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """text number * BINS + bin of the cells that are not empty, and their counts; ``of`` ascends."""
+    used, counts = [], []
+    for first in range(0, n, COUNTED_TEXTS):
+        a, b = np.searchsorted(of, [first, first + COUNTED_TEXTS])
+        cells = np.bincount((of[a:b] - first) * BINS + bins[a:b])
+        own = np.flatnonzero(cells)
+        used.append(own + first * BINS)
+        counts.append(cells[own])
+    return np.concatenate(used or [bins]), np.concatenate(counts or [bins])
+
+
 def mixture(bins: np.ndarray, of: np.ndarray, n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Proportions (texts x languages), zero outside of the selected set and for texts without trigrams.
 
@@ -140,11 +154,10 @@ def mixture(bins: np.ndarray, of: np.ndarray, n: int, table: np.ndarray) -> tupl
     """
     languages = table.shape[1]
     shares, fits, totals = np.zeros((n, languages), np.float32), np.zeros(n), np.zeros(n)
-    cells = np.bincount(of * BINS + bins, minlength=n * BINS)
-    used = np.flatnonzero(cells)
+    used, counts = _cells(bins, of, n)
     if not len(used) or not languages:
         return shares, fits, totals
-    counts, of, p = cells[used].astype(np.float32), used // BINS, table[used % BINS]
+    counts, of, p = counts.astype(np.float32), used // BINS, table[used % BINS]
     present, starts, of = np.unique(of, return_index=True, return_inverse=True)
     total = np.add.reduceat(counts, starts)
     full, fit = _expect(p, counts, starts, of, np.full((len(present), languages), 1 / languages, np.float32), STEPS)
@@ -193,7 +206,7 @@ def _predict(langs: list[str], model):
         table = model.value
         for batch in batches:
             names, scores, fitted = [], [], []
-            # fewer texts at once where texts are short: the count table is texts x bins
+            # fewer texts at once where texts are short
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
                 for first, last, data, offsets in text_chunks(part):
@@ -232,7 +245,7 @@ def identify(docs: DataFrame, row: Column, per_language: int = SAMPLE_PER_LANGUA
     langs, table = learn(labelled, per_language)
     rows = docs.select(row.alias("row"), text.alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predict(langs, spark.sparkContext.broadcast(table)),
+    return rows.mapInArrow(tidy("language", _predict(langs, spark.sparkContext.broadcast(table))),
                            f"row {kind}, lang_pred string, score double, fitted boolean")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    U64, bounded_batches, hashed_words, mix, numbered_shingles, shingle_sets, ship, text_chunks, words_of, written,
+    U64, bounded_batches, hashed_words, mix, numbered_shingles, shingle_sets, ship, text_chunks, tidy, words_of, written,
 )
 from .components import components
 
@@ -135,7 +135,7 @@ def _sign(width: int):
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, digest of the word sequence, sketch (uint16 registers)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_sign(width), "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
+    return rows.mapInArrow(tidy("minhash", _sign(width)), "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -193,13 +193,13 @@ def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int,
         f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     likely = written(
         sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-        .mapInArrow(_plausible(percent / 100 - MARGIN), "a bigint, b bigint"), "likely")
+        .mapInArrow(tidy("minhash", _plausible(percent / 100 - MARGIN)), "a bigint, b bigint"), "likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     needed = texts.join(wanted, "doc_id", "left_semi")
     both = likely.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
         needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(
-        _confirm(width, percent), "a bigint, b bigint").distinct(), "links")
+        tidy("minhash", _confirm(width, percent)), "a bigint, b bigint").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # one row for each word sequence; the semi join looks at (id, sequence), so ids may repeat
     sketches = written(known.join(reps, ["doc_id", "digest"], "left_semi")
                        .select("doc_id", "n_shingles", "sketch"), "sketches")
-    keys = sketches.select("doc_id", "sketch").mapInArrow(_bands, "key bigint, doc_id bigint")
+    keys = sketches.select("doc_id", "sketch").mapInArrow(tidy("minhash", _bands), "key bigint, doc_id bigint")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     members = written(keys.join(shared.select("key", "lo"), "key"), "buckets")
     # later rounds only read the texts of documents that share a bucket

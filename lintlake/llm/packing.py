@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, ship, text_chunks, written
+from .common import bounded_batches, ship, text_chunks, tidy, written
 from .tokens import encoder, with_end
 
 ship(__name__)
@@ -62,7 +62,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, spaced: bool = False, end_id:
     own = F.lit(None) if group is None else group
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        own.cast("bigint").alias("group")).mapInArrow(
-        _cut(tokenizer, spaced, end_id, capacity),
+        tidy("tokens", _cut(tokenizer, spaced, end_id, capacity)),
         "group bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 

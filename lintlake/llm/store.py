@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir
 from ..sources.files import local_path
-from .common import U64, bounded_batches, mix, ship, text_chunks, written
+from .common import U64, bounded_batches, mix, ship, text_chunks, tidy, written
 from .tokens import encoder, with_end
 
 ship(__name__)
@@ -239,7 +239,7 @@ class TokenStore:
         # equal ids are ordered by their text, so that runs agree
         ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
             F.col("doc_id").asc_nulls_first(), "text")
-        records = written(ordered.mapInArrow(_write(folder, tokenizer, spaced, end_id, width),
+        records = written(ordered.mapInArrow(tidy("tokens", _write(folder, tokenizer, spaced, end_id, width)),
                           "doc_id bigint, occurrence bigint, shard int, offset bigint, n_tokens bigint"), "records")
         # one row a shard
         totals = records.groupBy("shard").agg(F.sum("n_tokens").alias("n_ids"), F.count("*").alias("n_docs"))
