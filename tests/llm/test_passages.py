@@ -268,3 +268,32 @@ def test_chains_of_one_fragment_grow_as_others():
         assert (x - before[0], x + k + after[0], y - before[0], y + k + after[0], matched[0]) == (s, e, s2, e2, equal)
         longer += before[0] + after[0] > 20
     assert longer > 50
+
+
+def test_fuzzy_passages_whose_runs_occur_earlier_are_found(spark):
+    """Every equal run of the passage is held first by a document that holds nothing else of it."""
+    rng = random.Random(21)
+    words = lambda n: [f"r{rng.randint(0, 10 ** 9)}" for _ in range(n)]
+    own = words(63)
+    changed = [words(1)[0] if n % 8 == 7 else w for n, w in enumerate(own)]
+    runs = [own[n:n + 7] for n in range(0, 63, 8)]
+    rows = [(i, " ".join(words(20) + t + words(20))) for i, t in enumerate(runs)]
+    rows += [(i, " ".join(words(120) + t + words(120))) for i, t in ((40, own), (50, changed))]
+    got = passages.repeated_passages(table(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(50, 40)}
+    assert len({p for r in got for p in range(r.start_word, r.end_word)}) >= 60
+
+
+def test_further_holders_are_compared_in_blocks(spark, monkeypatch):
+    rng = random.Random(22)
+    words = lambda n: [f"r{rng.randint(0, 10 ** 9)}" for _ in range(n)]
+    common, passages_ = words(7), [words(60) for _ in range(8)]
+    rows = [(i, " ".join(words(70) + passages_[i % 8][:30] + common + passages_[i % 8][30:] + words(70))) for i in range(8, 24)]
+    rows = [(i, t if i < 16 else " ".join(w if n % 7 else f"{w}x{i}" if w not in common else w for n, w in enumerate(t.split())))
+            for i, t in rows]
+    rows.append((0, " ".join(common)))
+    rows += [(100 + 10 * i + j, " ".join(p[n:n + 6])) for i, p in enumerate(passages_) for j, n in enumerate(range(0, 54, 6))]
+    one = sorted(tuple(r) for r in passages.repeated_passages(table(spark, rows)).collect())
+    monkeypatch.setattr(passages, "BLOCK", 5)
+    assert sorted(tuple(r) for r in passages.repeated_passages(table(spark, rows)).collect()) == one
+    assert {(r[0], r[3]) for r in one} == {(i, i - 8) for i in range(16, 24)}
