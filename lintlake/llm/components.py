@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_driver, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,12 +16,13 @@ def components(links: DataFrame) -> DataFrame:
     stars around the component minima.  Each step is one aggregate with map-side combine and
     one join on the node, so a node with very many neighbours is split like any skewed join
     key.  The edges of every round are written to the shared folder; the driver only learns
-    whether they are stars already.
+    whether they are stars already, and keeps nothing of the rounds before.
     """
     edges = written(
         links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
         .distinct(), "edges")
     while not _stars(edges):
+        free_driver(edges.sparkSession)
         both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select(
             "v", F.least("v", "m").alias("m"))
@@ -32,6 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(
             joined.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
             .union(least.select("v", F.col("m").alias("u"))).distinct(), "edges")
+    free_driver(edges.sparkSession)
     nodes = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
     roots = edges.select(F.col("u").alias("node"), F.col("u").alias("component"))
     return nodes.union(roots).groupBy("node").agg(F.min("component").alias("component"))

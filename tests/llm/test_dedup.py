@@ -189,3 +189,15 @@ def test_batch_given_again_after_its_append(spark):
     assert [r.doc_id for r in exact.drop_exact_duplicates(docs, index, "one").collect()] == [3]
     assert not any(r.kept for r in exact.exact_duplicates(docs, index, "two").collect())
     assert index.unbucketed().count() == 2
+
+
+def test_every_round_of_components_frees_the_driver(spark, monkeypatch):
+    import importlib
+
+    module, freed, rounds = importlib.import_module("lintlake.llm.components"), [], []
+    free, write = module.free_driver, module.written
+    monkeypatch.setattr(module, "free_driver", lambda session: (freed.append(1), free(session)))
+    monkeypatch.setattr(module, "written", lambda df, name: (rounds.append(name), write(df, name))[1])
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")
+    assert {tuple(r) for r in module.components(links).collect()} == {(i, 0) for i in range(61)}
+    assert len(freed) == len(rounds) > 2
